@@ -7,13 +7,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIX = 0x9E3779B97F4A7C15
-WORD_LIMIT = 400_000
+WORD_LIMIT = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,17 +76,14 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def slices(texts: list, most: int = 4_000_000):
-    """Index ranges of texts that hold about `most` characters, or one text."""
-    start, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if len(texts) > start:
-        yield start, len(texts)
+def slices(texts: pa.Array, most: int = 1_000_000):
+    """(start, stop, texts) of stretches of an Arrow array of about `most` bytes, or one text; few are Python objects at once."""
+    total = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right")))
+        yield start, stop, texts.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 #: Bits of the largest membership filter (16 MB); it bounds what is broadcast, whatever the number of keys.

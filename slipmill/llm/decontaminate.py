@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -97,9 +96,8 @@ def _scanner(grams, n: int):
     def scan(texts: pa.Array) -> pa.Array:
         held = grams.value
         known, out = GramSet(held, n) if isinstance(held, list) else held, []
-        values = texts.to_pylist()
-        for a, b in slices(values):
-            each = [grams_words(t) for t in values[a:b]]
+        for _, _, values in slices(texts):
+            each = [grams_words(t) for t in values]
             first = np.cumsum([0, *map(len, each)])
             words = [w for x in each for w in x]
             ends = np.repeat(first[1:], np.diff(first))

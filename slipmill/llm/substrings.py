@@ -54,16 +54,16 @@ class Anchors:
         return fold(low)
 
 
-def _runs(texts: list, anchors: Anchors, a: int, b: int):
-    """Words of documents a to b end to end, and the runs of windows with one anchor: document, first word, windows, anchor."""
-    each = [words_of(t) for t in texts[a:b]]
+def _runs(texts: list, anchors: Anchors):
+    """Words of the texts end to end, and the runs of windows with one anchor: document, first word, windows, anchor."""
+    each = [words_of(t) for t in texts]
     first = np.cumsum([0, *map(len, each)])
     words = [w for x in each for w in x]
     none = np.zeros(0, np.int64)
     if len(words) < WINDOW:
         return words, first, none, none, none, none.view(np.uint64)
     key = anchors.of(words)
-    doc = np.repeat(np.arange(b - a), np.diff(first))[: len(key)]
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))[: len(key)]
     whole = np.arange(len(key)) + WINDOW <= first[doc + 1]
     begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])]))
     sizes = np.diff(np.append(begins, len(key)))
@@ -78,9 +78,9 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchors = Anchors()
     for batch in batches:
-        ids, texts = _ids(batch), batch["text"].to_pylist()
-        for a, b in slices(texts):
-            *_, doc, _, _, key = _runs(texts, anchors, a, b)
+        ids = _ids(batch)
+        for a, b, texts in slices(batch["text"]):
+            *_, doc, _, _, key = _runs(texts, anchors)
             if not len(key):
                 continue
             own = ids[a:b][doc]
@@ -103,9 +103,9 @@ def _suffix_runs(bits, heavy_bits):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
         for batch in batches:
-            ids, keys, texts = _ids(batch), batch["text_key"].to_numpy(), batch["text"].to_pylist()
-            for a, b in slices(texts):
-                words, first, docs, begins, sizes, key = _runs(texts, anchors, a, b)
+            ids, keys = _ids(batch), batch["text_key"].to_numpy()
+            for a, _, texts in slices(batch["text"]):
+                words, first, docs, begins, sizes, key = _runs(texts, anchors)
                 shared = passes(bits.value, key)
                 docs, begins, sizes, key = docs[shared], begins[shared], sizes[shared], key[shared]
                 longer = passes(heavy_bits.value, key)

@@ -163,7 +163,7 @@ def demux(media: bytes) -> tuple[bytes, list[tuple[int, int, bool]], int]:
 
 
 def encode_udf():
-    return F.arrow_udf(lambda texts: pa.array([mux(padded(t)) for t in texts.to_pylist()], pa.large_binary()), T.BinaryType())
+    return F.arrow_udf(lambda texts: pa.array([mux(padded(t)) for t in texts.to_pylist()], pa.binary()), T.BinaryType())
 
 
 READ = T.StructType([
