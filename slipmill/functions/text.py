@@ -44,6 +44,13 @@ def replaced(c: Column, fixes: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda acc, f: F.regexp_replace(acc, f[0], f[1]), fixes, c)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row, whatever refers to them: the optimizer doesn't copy what a
+    generator made into later expressions, as it does with plain projections."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def first(c: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null if nothing matches or the group is empty."""
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
@@ -65,11 +72,13 @@ def clean_blanks(c: Column) -> Column:
 def fix_terms(c: Column) -> Column:
     """Misread terms, except where the right one would stand before three digits."""
 
-    def one(acc: Column, term: tuple[str, str]) -> Column:
-        done = F.regexp_replace(acc, rf"(?i)\b{term[0]}\b", term[1])
-        return F.when(done.rlike(term[1] + r"\s*\d{3,}"), acc).otherwise(done)
+    terms = F.array(*[F.struct(F.lit(rf"(?i)\b{old}\b").alias("old"), F.lit(new).alias("new"), F.lit(new + r"\s*\d{3,}").alias("bad")) for old, new in TERMS])
+
+    def one(acc: Column, term: Column) -> Column:
+        done = F.regexp_replace(acc, term["old"], term["new"])
+        return F.when(F.regexp_like(done, term["bad"]), acc).otherwise(done)
 
-    return reduce(one, TERMS, c)
+    return F.aggregate(terms, c, one)
 
 
 def _tagged(line: Column, number: Column) -> Column:
@@ -108,7 +117,8 @@ def fix_digits(c: Column) -> Column:
         around = F.lower(F.substring(c, F.greatest(at - 10, F.lit(1)), F.least(at - 1, F.lit(10)) + 10))
         return (at > 0) & near.rlike(r"[\d.]") & ~around.rlike("vouch|date|supp")
 
-    return reduce(lambda acc, kv: F.when(approved(kv[0]), F.replace(acc, F.lit(kv[0]), F.lit(kv[1]))).otherwise(acc), DIGITS_FOR.items(), c)
+    taken = [(F.when(approved(k), F.lit(k)).otherwise(F.lit("")), F.when(approved(k), F.lit(v)).otherwise(F.lit(""))) for k, v in DIGITS_FOR.items()]
+    return F.call_function("translate", c, F.concat(*[x for x, _ in taken]), F.concat(*[x for _, x in taken]))
 
 
 def fix_amounts(c: Column) -> Column:
@@ -157,5 +167,5 @@ def amounts(c: Column) -> Column:
 def correct_text(docs: DataFrame, column: str = "raw_ocr_text") -> DataFrame:
     """The receipt-term chain over a text column, in stages that keep the plan small; null stays null."""
     for step in (clean_blanks, fix_terms, tag_early_numbers, fix_labels, tag_voucher_numbers, fix_digits, fix_amounts, clean_blanks):
-        docs = docs.withColumn(column, step(F.col(column)))
+        docs = once(docs, {column: step(F.col(column))})
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.functions.text import first, fix_global, lines
+from slipmill.functions.text import first, fix_global, lines, once
 from slipmill.functions.values import MONEY, calendar_date, compact_date, deduction_scale, repaired_item
 
 NUMBER_PATTERNS = (r"(?:voucher\s*number|vouchernumber|voucher\s*no)[\s:]*(\d{2,4})\b", r"(?:nu[a-z]*ber|no)[\s:]*(\d{2,4})\b", r"(?:number|num|#)[\s:]*(\d{2,4})\b")
@@ -122,12 +122,12 @@ def extract_v2(docs: DataFrame) -> DataFrame:
     Null text has no field and confidence 0. All in built-in expressions; no shuffle.
     """
     t, ln = F.col("_t"), F.col("_ln")
-    docs = docs.withColumn("_t", fix_global(F.coalesce("raw_ocr_text", F.lit("")))).withColumn("_ln", lines(t))
+    docs = once(once(docs, {"_t": fix_global(F.coalesce("raw_ocr_text", F.lit("")))}), {"_ln": lines(t)})
     date, date_c = v2_date(t, ln)
     gross, gross_c = v2_gross(t)
-    docs = docs.withColumns({"voucher_number": v2_number(t), "voucher_date": date, "_dc": date_c, "gross_total": gross, "_gc": gross_c, "items": v2_items(ln)})
+    docs = once(docs, {"voucher_number": v2_number(t), "voucher_date": date, "_dc": date_c, "gross_total": gross, "_gc": gross_c, "items": v2_items(ln)})
     supplier, supplier_c = v2_supplier(t, ln, F.col("voucher_date").isNotNull())
-    docs = docs.withColumns({"supplier_name": supplier, "_sc": supplier_c, "deductions": v2_deductions(t, F.col("gross_total"))})
+    docs = once(docs, {"supplier_name": supplier, "_sc": supplier_c, "deductions": v2_deductions(t, F.col("gross_total"))})
     docs = docs.withColumn("total_deductions", F.when(F.size("deductions") > 0, _sum(F.col("deductions"), "amount")))
     rest = F.col("gross_total") - F.coalesce("total_deductions", F.lit(0))
     said = first(t, NET_LINE).try_cast(MONEY)
@@ -189,10 +189,13 @@ def candidates(docs: DataFrame, as_of: str = "2031-01-01", extended: bool = Fals
     from slipmill.operators.validate import adjusted_confidence, field_errors
 
     t, ln = F.col("_t"), F.col("_ln")
-    docs = docs.withColumn("_t", F.coalesce("raw_ocr_text", F.lit(""))).withColumn("_ln", lines(t))
+    docs = once(docs.withColumn("_t", F.coalesce("raw_ocr_text", F.lit(""))), {"_ln": lines(t)})
+    tried = quality_strategies(t, ln, extended)
+    docs = once(docs, {f"_v{i}": value for i, (*_, value) in enumerate(tried)})
+    docs = once(docs, {f"_e{i}": field_errors(field, F.col(f"_v{i}"), as_of) for i, (field, *_) in enumerate(tried)})
     made = []
-    for i, (field, strategy, base, value) in enumerate(quality_strategies(t, ln, extended)):
-        errors = field_errors(field, value, as_of)
+    for i, (field, strategy, base, _) in enumerate(tried):
+        value, errors = F.col(f"_v{i}"), F.col(f"_e{i}")
         row = F.struct(F.lit(field).alias("field"), F.lit(strategy).alias("strategy"), F.lit(i).alias("ord"), value.alias("value"), adjusted_confidence(field, F.lit(base), value, errors).alias("confidence"), (F.size(errors) == 0).alias("valid"), errors.alias("errors"))
         made.append(F.when(F.nullif(value, F.lit("")).isNotNull(), row))
     return docs.select("voucher_id", F.inline(F.array_compact(F.array(*made))))
@@ -229,11 +232,14 @@ QUALITY_DEDUCTIONS = (
 
 def quality_deductions(t: Column, gross: Column) -> Column:
     """The first amount in range of each type; commission (4 %) and damages (5 %) of gross where none was found."""
+    def in_range(kind: str, pattern: str, most: int, low: int, high: int) -> Column:
+        read = lambda x: F.bround(deduction_scale(F.regexp_replace(x, r"[,\-\s]", "").try_cast("decimal(14,4)"), kind), 2).cast(MONEY)
+        amounts = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: read(x))
+        return F.get(F.filter(amounts, lambda x: x.between(low, min(most, 2 * high))), F.lit(0))
+
     made = []
-    for kind, pattern, most, low, high in QUALITY_DEDUCTIONS:
-        amounts = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x, kind=kind: F.bround(deduction_scale(F.regexp_replace(x, r"[,\-\s]", "").try_cast("decimal(14,4)"), kind), 2).cast(MONEY))
-        fits = lambda x, most=most, low=low, high=high: x.between(low, min(most, 2 * high))
-        found = F.get(F.filter(amounts, fits), F.lit(0))
+    for kind, *rule in QUALITY_DEDUCTIONS:
+        found = in_range(kind, *rule)
         share = {"Commission": "0.04BD", "Less for Damages": "0.05BD"}.get(kind)
         name = F.when(found.isNotNull(), kind).otherwise("Commission @4%" if kind == "Commission" else kind)
         amount = F.coalesce(found, F.bround(gross * F.expr(share), 2)) if share else found
