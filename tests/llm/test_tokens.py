@@ -1,9 +1,9 @@
 """Against counting the edited text from scratch."""
 
 import random
+import re
 
 import pytest
-import regex
 
 from slipmill.llm import tokens
 
@@ -44,7 +44,7 @@ def test_only_the_region(counter):
 
 def test_query(spark, sf, counter):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    pattern = regex.compile(tokens.EDIT_PATTERN)
+    pattern = re.compile(tokens.EDIT_PATTERN)
     got = tokens.op3_token_counts(spark, sf).collect()
     assert len(got) == len(docs) and sum(r["n_edits"] for r in got) > 20
     for r in got:
