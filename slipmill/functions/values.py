@@ -62,3 +62,22 @@ def repaired_item(quantity: Column, price: Column, amount: Column) -> tuple[Colu
     slack = F.greatest(expected * 0.25, F.lit(5))
     swap = (F.abs(amount - expected) > slack) & (F.abs(price - expected) <= slack)
     return F.when(swap, amount).otherwise(price), F.when(swap, price).otherwise(amount)
+
+
+DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy", "d-M-yy", "d.M.yy", "yyyy-M-d", "d MMM yyyy", "d MMMM yyyy", "ddMMyyyy")
+
+
+def any_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """The date of a text in the first format that fits it whole; two-digit years are of this century."""
+    c = F.initcap(F.trim(c))
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
+
+
+def region_number(c: Column, hundredths: bool = False) -> Column:
+    """A number whose comma is a decimal one before one or two last digits, else a group's; if asked for, the last two
+    of four digits or more without a point are decimals."""
+    c = F.regexp_replace(F.regexp_replace(c, " ", ""), "[·•‚]", ".")
+    c = F.when(~c.contains(".") & c.rlike(r",\d{1,2}$"), F.replace(c, F.lit(","), F.lit("."))).otherwise(F.replace(c, F.lit(",")))
+    if hundredths:
+        c = F.regexp_replace(c, r"^(\d{2,})(\d{2})$", "$1.$2")
+    return c.try_cast("decimal(18,4)")

@@ -56,3 +56,45 @@ def text_quality(text: Column) -> Column:
     odd = F.length(F.regexp_replace(text, r"[A-Za-z0-9\s.,:/()%@&-]", "")) / F.greatest(F.length(text), F.lit(1))
     score = 50 + words + F.when(text.rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"), 10).otherwise(0) + F.when(text.rlike(r"\d+\.\d{2}"), 10).otherwise(0) - 30 * odd
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+
+
+ODD = r"[^\p{L}\p{N}_ \t\n\r\f./\-(),]"
+
+
+def structure_quality(text: Column) -> Column:
+    """100, less 20 for a merged number, 5 for each garbled amount, 15, 15 and 10 for the words voucher, date and total
+    if missing, and the percentage of odd characters if above 10; 0 at least, and for null or empty text."""
+    odd = F.regexp_count(text, F.lit(ODD)) / F.greatest(F.length(text), F.lit(1))
+    lost = (
+        F.when(text.rlike(r"(?i)vouchernumber\d{8,}"), 20).otherwise(0) + 5 * F.regexp_count(text, F.lit(r"\d{5,}\.\d{2}"))
+        + sum((F.when(F.lower(text).contains(w), 0).otherwise(n) for w, n in (("date", 15), ("total", 10))), F.when(F.lower(text).contains("voucher"), 0).otherwise(15))
+        + F.when(odd > 0.1, F.floor(odd * 100)).otherwise(0)
+    )
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(0), 100 - lost)).cast("long")
+
+
+def supplier_issues(text: Column, supplier: Column, vendor: Column) -> Column:
+    """Why a supplier's name is doubtful: label_without_value, too_short, has_vendor; empty if it isn't."""
+    s = F.coalesce(supplier, F.lit(""))
+    return F.array_compact(F.array(
+        F.when(F.lower(text).rlike("supp nam") & (s == ""), "label_without_value"), F.when(s.isin("AS", "A", "S", "O", "I", "L"), "too_short"),
+        F.when((s != "") & (F.coalesce(vendor, F.lit("")) != "") & F.upper(s).contains(F.upper(vendor)), "has_vendor"),
+    ))
+
+
+def supplier_length(supplier: Column) -> Column:
+    n = F.length(F.coalesce(supplier, F.lit("")))
+    return F.when(n == 0, "none").when(n < 2, "short").when(n > 50, "long").otherwise("ok")
+
+
+def values_match(a: Column, b: Column) -> Column:
+    """Two texts alike: as numbers within 0.01, else trimmed and lower-cased; null matches null alone."""
+    x, y = a.try_cast("decimal(18,4)"), b.try_cast("decimal(18,4)")
+    same = F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) < F.expr("0.01BD")).otherwise(F.lower(F.trim(a)) == F.lower(F.trim(b)))
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)
+
+
+def parser_scores(rows: DataFrame) -> DataFrame:
+    """(parser, n, correct, share, confidence) of rows (voucher_id, parser, field, predicted, actual, confidence)."""
+    hit = values_match(F.col("predicted"), F.col("actual")).cast("long")
+    return rows.groupBy("parser").agg(F.count("*").alias("n"), F.sum(hit).alias("correct"), F.avg(hit.cast("double")).alias("share"), F.avg("confidence").alias("confidence"))

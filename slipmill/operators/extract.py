@@ -78,8 +78,8 @@ def v2_gross(t: Column) -> tuple[Column, Column]:
 ITEM = r"(\d{1,3})\s+(\d{1,5}\.\d{2})\s+(\d{1,5}\.\d{2})"
 
 
-def v2_items(ln: Column) -> Column:
-    """Lines of quantity, price and amount that multiply, within 1 or a tenth of the amount."""
+def v2_items(ln: Column, share: float = 0.1) -> Column:
+    """Lines of quantity, price and amount that multiply, within 1 or a share of the amount."""
 
     def one(x: Column) -> Column:
         part = lambda g: first(x, ITEM, g)
@@ -90,7 +90,7 @@ def v2_items(ln: Column) -> Column:
 
     def fits(i: Column) -> Column:
         off = F.abs(i["line_amount"] - i["quantity"] * i["unit_price"])
-        return (off < 1) | (off < i["line_amount"] * 0.1)
+        return (off < 1) | (off < F.greatest(i["line_amount"], F.lit(1)) * share)
 
     return F.filter(F.transform(F.filter(ln, lambda x: x.rlike(ITEM)), one), fits)
 

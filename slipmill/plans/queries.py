@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipmill.functions import fuzzy, text, values
-from slipmill.operators import attempts, evaluate, extract, learn, publish, validate
+from slipmill.operators import attempts, context, evaluate, extract, learn, profiles, publish, validate
 from slipmill.plans import vouchers as vo
 from slipmill.streaming import streams
 
@@ -484,6 +484,169 @@ def streamed_accuracy(spark, sf_dir):
     return streams.run_to_end(streams.rolling_accuracy(streams.event_stream(spark, sf_dir)), "accuracy")
 
 
+# --- more profiles ---------------------------------------------------------------------------------------------
+
+
+def profiled(spark, sf_dir, profile: str) -> DataFrame:
+    return profiles.extract(vo.rendered(spark, sf_dir), profile)
+
+
+#: 4 % of gross, rounded half to even, in whole cents.
+FOUR_PERCENT = "CAST(((g4 // 100) + CASE WHEN g4 % 100 > 50 OR g4 % 100 = 50 AND (g4 // 100) % 2 = 1 THEN 1 ELSE 0 END) / 100.0 AS DECIMAL(12,2))"
+ADAPTIVE_SQL = f"SELECT *, CAST(c4 + damages + unloading + cash AS DECIMAL(12,2)) AS total FROM (SELECT *, {FOUR_PERCENT} AS c4 FROM (SELECT *, 4 * CAST(gross_total * 100 AS BIGINT) AS g4 FROM ({HEADS})))"
+REGION_LABELS = (("Comm", "commission"), ("LessForDamages", "damages"), ("UnLoading", "unloading"), ("L/FAndCash", "cash"))
+LABELLED_SQL = " UNION ALL ".join(f"SELECT voucher_id, '{kind}' AS deduction_type, {c} AS amount FROM ({HEADS})" for kind, c in REGION_LABELS)
+
+
+@query(FIELDS_SQL)
+def v1_fields(spark, sf_dir):
+    return profiled(spark, sf_dir, "v1").select("voucher_id", *HEAD_FIELDS)
+
+
+@query(f"SELECT voucher_id, voucher_number, voucher_date, supplier_name, gross_total, total AS total_deductions, CAST(gross_total - total AS DECIMAL(12,2)) AS net_total, CAST(75.25 AS DOUBLE) AS overall FROM ({ADAPTIVE_SQL})")
+def adaptive_fields(spark, sf_dir):
+    """Small commissions stand for 4 % of gross; a deduction above half of gross goes, which none of these is."""
+    return profiled(spark, sf_dir, "adaptive").select("voucher_id", *HEAD_FIELDS, "overall")
+
+
+@query(f"SELECT voucher_id, voucher_number, voucher_date, supplier_name, gross_total, {ALL_DEDUCTIONS} AS total_deductions, gross_total AS net_total FROM ({HEADS})")
+def robust_fields(spark, sf_dir):
+    """The largest amount is the net total and the second the gross one: here the same, as the total is found twice."""
+    return profiled(spark, sf_dir, "robust").select("voucher_id", *HEAD_FIELDS)
+
+
+@query(f"SELECT voucher_id, voucher_number, voucher_date, supplier_name, CAST(95 AS INT) AS number_confidence FROM ({HEADS})")
+def enhanced_heads(spark, sf_dir):
+    return profiled(spark, sf_dir, "enhanced").select("voucher_id", "voucher_number", "voucher_date", "supplier_name", F.col("confidence.voucher_number").alias("number_confidence"))
+
+
+@query()
+def enhanced_totals(spark, sf_dir):
+    return profiled(spark, sf_dir, "enhanced").select("voucher_id", "gross_total", "net_total", "total_deductions")
+
+
+@query(FIELDS_SQL.replace("SELECT voucher_id,", "SELECT voucher_id, 'SHARMA TRADING MARKET' AS vendor_details,", 1))
+def base_fields(spark, sf_dir):
+    return profiled(spark, sf_dir, "base").select("voucher_id", "vendor_details", *HEAD_FIELDS)
+
+
+@query(LABELLED_SQL)
+def base_deductions(spark, sf_dir):
+    return profiled(spark, sf_dir, "base").select("voucher_id", F.inline("deductions"))
+
+
+@query(f"SELECT voucher_id, 'Item' AS item_name, CAST(quantity AS DECIMAL(10,2)) AS quantity, CAST(unit_price AS DECIMAL(10,2)) AS unit_price, line_amount FROM ({ITEMS})")
+def base_items(spark, sf_dir):
+    return profiled(spark, sf_dir, "base").select("voucher_id", F.inline("items"))
+
+
+def regions(spark, sf_dir) -> DataFrame:
+    t = F.col("raw_ocr_text")
+    kept = lambda p, want: F.array_join(F.filter(F.split(t, "\n"), lambda x: x.rlike(p) == want), "\n")
+    return vo.rendered(spark, sf_dir).select(
+        "voucher_id", F.substring_index(t, "\nQty Price", 1).alias("header_text"), F.replace(kept(r"^\(-\)", True), F.lit("(-) "), F.lit("")).alias("deductions_text"), kept("Total", True).alias("totals_text"),
+    )
+
+
+@query(f"SELECT voucher_id, 'SHARMA TRADING MARKET' AS vendor_details, voucher_number, voucher_date, supplier_name, gross_total, {NET} AS net_total FROM ({HEADS})")
+def region_fields(spark, sf_dir):
+    return profiles.region_fields(regions(spark, sf_dir)).select("voucher_id", "vendor_details", "voucher_number", "voucher_date", "supplier_name", "gross_total", "net_total")
+
+
+@query(LABELLED_SQL)
+def region_deductions(spark, sf_dir):
+    return profiles.region_fields(regions(spark, sf_dir)).select("voucher_id", F.inline("deductions"))
+
+
+SCORED = ("voucher_number", "voucher_date", "supplier_name", "gross_total", "net_total")
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS parser, 5 * count(*) AS n, CAST(sum({hits}) AS BIGINT) AS correct, sum({hits}) / (5 * count(*)) AS share FROM ({HEADS})" for p, hits in (("v2", "5"), ("v1", "5"), ("base", "5"), ("robust", "4"))))
+def parser_scores(spark, sf_dir):
+    """How many of five fields each profile gets right; the right values come from the tables."""
+    t = vo.truth(spark, sf_dir)
+    right = t.withColumn("net_total", (F.col("gross_total") - F.col("commission") - F.col("damages") - F.col("unloading") - F.col("cash")).cast("decimal(12,2)")).select("voucher_id", *[F.col(f).cast("string").alias(f"_{f}") for f in SCORED])
+    v, rows = vo.rendered(spark, sf_dir), None
+    for name in ("v2", "v1", "base", "robust"):
+        made = (extract.extract_v2(v) if name == "v2" else profiles.extract(v, name)).select("voucher_id", "overall", *[F.col(f).cast("string").alias(f) for f in SCORED])
+        made = made.select("voucher_id", F.lit(name).alias("parser"), "overall", *SCORED)
+        rows = made if rows is None else rows.unionByName(made)
+    both = rows.join(right, "voucher_id")
+    long = both.select("voucher_id", "parser", F.col("overall").alias("confidence"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("predicted"), F.col(f"_{f}").alias("actual")) for f in SCORED])))
+    return evaluate.parser_scores(long).select("parser", "n", "correct", "share")
+
+
+# --- contexts, suggestions, spans ------------------------------------------------------------------------------
+
+
+def examples(spark, sf_dir) -> DataFrame:
+    p = pairs(spark, sf_dir)
+    return learn.header_diffs(p).join(p.select("voucher_id", "raw_ocr_text", F.col("corrected.supplier_name").alias("supplier_name")), "voucher_id")
+
+
+CONTEXT_SQL = r"CASE field WHEN 'supplier_name' THEN 'name|supp\s*name' WHEN 'voucher_number' THEN 'voucher\s*number' ELSE 'grand' END"
+EXAMPLES_SQL = f"SELECT d.*, p.supplier_name FROM ({DIFFS_SQL}) d JOIN ({PAIRS_SQL}) p USING (voucher_id)"
+
+
+@query(f"SELECT field, {CONTEXT_SQL} AS context, corrected, count(*) AS n, min(voucher_id) AS first_seen FROM ({DIFFS_SQL}) GROUP BY 1, 2, 3")
+def context_model(spark, sf_dir):
+    return context.context_model(examples(spark, sf_dir))
+
+
+@query(f"SELECT supplier_name AS supplier_key, field, corrected, count(*) AS n, min(voucher_id) AS first_seen FROM ({EXAMPLES_SQL}) GROUP BY 1, 2, 3")
+def supplier_model(spark, sf_dir):
+    return context.supplier_model(examples(spark, sf_dir))
+
+
+@query(f"SELECT field, CASE WHEN field = 'supplier_name' AND n_items = 1 THEN 'middle' ELSE 'beginning' END AS place, count(*) AS n FROM ({DIFFS_SQL}) JOIN (SELECT voucher_id, n_items FROM ({HEADS})) USING (voucher_id) WHERE field <> 'net_total' GROUP BY 1, 2")
+def position_model(spark, sf_dir):
+    return context.position_model(examples(spark, sf_dir).where("field <> 'net_total'"))
+
+
+@query(f"SELECT field, 'before' AS side, CASE field WHEN 'supplier_name' THEN 'Name' ELSE 'Number' END AS word, count(*) AS n FROM ({DIFFS_SQL}) WHERE field <> 'net_total' GROUP BY 1, 2, 3")
+def neighbour_model(spark, sf_dir):
+    return context.neighbour_model(examples(spark, sf_dir).where("field <> 'net_total'"))
+
+
+@query()
+def suggestions(spark, sf_dir):
+    rows = examples(spark, sf_dir).where("voucher_id % 2 = 0 AND field <> 'net_total'")
+    made = context.suggestions(rows.drop("corrected"), examples(spark, sf_dir).where("voucher_id % 2 = 1 AND field <> 'net_total'"))
+    return made.select("voucher_id", "field", "auto", "suggestion", F.round("confidence", 9).alias("confidence"), "source", F.size("alternatives").alias("n_alternatives"))
+
+
+@query(f"SELECT voucher_id, CAST(101 AS INT) AS start, CAST(101 + length(supplier_name) AS INT) AS \"end\", 'ORG' AS label FROM ({HEADS})")
+def supplier_spans(spark, sf_dir):
+    return context.spans(parsed(spark, sf_dir)).where("label = 'ORG'")
+
+
+@query(f"SELECT voucher_id, CASE WHEN number_auto IS NULL AND supplier_auto <> supplier_name THEN NULL ELSE voucher_number END AS voucher_number, voucher_date, supplier_auto AS supplier_name FROM ({PAIRS_SQL})")
+def applied_models(spark, sf_dir):
+    """Numbers that the machine missed, found again by anchors of the supplier, where its name was read right."""
+    p = pairs(spark, sf_dir)
+    values = learn.value_model(learn.header_diffs(p))
+    right = p.select("voucher_id", "raw_ocr_text", "corrected.supplier_name", "corrected.voucher_number", "corrected.voucher_date")
+    machine = p.select("voucher_id", "raw_ocr_text", "original.supplier_name", "original.voucher_number", "original.voucher_date", "original.gross_total", "original.net_total")
+    return context.apply_learned(machine, values, learn.anchors(right, ("voucher_number", "voucher_date"))).select("voucher_id", "voucher_number", "voucher_date", "supplier_name")
+
+
+ODD_SQL = r"len(regexp_extract_all(text, '[^\p{L}\p{N}_ \t\n\r\f./\-(),]')) / greatest(length(text), 1)"
+
+
+@query(rf"""SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(0, 100 - CASE WHEN regexp_matches(text, '(?i)vouchernumber\d{{8,}}') THEN 20 ELSE 0 END - 5 * len(regexp_extract_all(text, '\d{{5,}}\.\d{{2}}'))
+ - CASE WHEN contains(lower(text), 'date') THEN 0 ELSE 15 END - CASE WHEN contains(lower(text), 'total') THEN 0 ELSE 10 END - CASE WHEN contains(lower(text), 'voucher') THEN 0 ELSE 15 END
+ - CASE WHEN {ODD_SQL} > 0.1 THEN CAST(floor({ODD_SQL} * 100) AS BIGINT) ELSE 0 END) END AS BIGINT) AS quality FROM documents""")
+def structure_quality(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", evaluate.structure_quality(F.col("text")).alias("quality"))
+
+
+@query(f"SELECT issue, count(*) AS n FROM (SELECT CASE WHEN voucher_id % 7 = 1 THEN 'label_without_value' WHEN voucher_id % 7 = 2 THEN 'too_short' WHEN voucher_id % 7 = 3 THEN 'has_vendor' END AS issue FROM ({HEADS})) WHERE issue IS NOT NULL GROUP BY issue")
+def supplier_issues(spark, sf_dir):
+    k = F.col("voucher_id") % 7
+    v = profiled(spark, sf_dir, "base").withColumn("supplier_name", F.when(k == 1, None).when(k == 2, "AS").when(k == 3, F.concat("supplier_name", F.lit(" "), F.lower("vendor_details"))).otherwise(F.col("supplier_name")))
+    return v.select(F.explode(evaluate.supplier_issues(F.col("raw_ocr_text"), F.col("supplier_name"), F.col("vendor_details"))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier spend recovered from text."""
     return supplier_spend(spark, sf_dir)
