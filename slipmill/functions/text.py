@@ -169,3 +169,8 @@ def correct_text(docs: DataFrame, column: str = "raw_ocr_text") -> DataFrame:
     for step in (clean_blanks, fix_terms, tag_early_numbers, fix_labels, tag_voucher_numbers, fix_digits, fix_amounts, clean_blanks):
         docs = once(docs, {column: step(F.col(column))})
     return docs
+
+
+def split_labels(c: Column) -> Column:
+    """A line of its own for a value that a label runs into."""
+    return replaced(c, ((r"(?i)(Voucher ?Number)(\d)", "$1\n$2"), (r"(?i)(Voucher ?Date)(\d)", "$1\n$2"), (r"(?i)(Supp ?Name)([A-Z])", "$1\n$2")))

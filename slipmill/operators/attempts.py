@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipmill.functions.fuzzy import ratio
@@ -50,3 +50,22 @@ def line_vote(attempts: DataFrame) -> DataFrame:
     score = F.col("confidence") + F.least(F.length("x") / 2, F.lit(10)) + plain * 10 + 5 * F.coalesce("like", F.lit(0.0))
     best = rows.join(like, ["voucher_id", "line", "attempt"], "left").groupBy("voucher_id", "line").agg(F.max_by("x", F.struct(score, -F.col("attempt"))).alias("x"))
     return best.groupBy("voucher_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "x"))), lambda s: s["x"]), "\n").alias("text"))
+
+
+def field_confidence(text: Column, n_attempts: Column) -> Column:
+    """Map of field to confidence by what the text shows; more attempts add 5 each, 20 at most, up to 95."""
+    amounts = F.regexp_count(text, F.lit(r"\d+\.\d{2}"))
+    base = {
+        "voucher_number": F.when(text.rlike(r"(?i)voucher\s*(?:no|number|#)?[:\s]*\d+"), 75).when(text.rlike(r"\b\d{3,}\b"), 60).otherwise(50),
+        "date": F.when(text.rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"), 75).when(text.rlike("(?i)date"), 65).otherwise(50),
+        "supplier": F.when(text.rlike("(?i)supp"), 70).otherwise(50), "amounts": F.when(amounts >= 3, 80).when(amounts >= 1, 65).otherwise(50), "items": F.lit(50),
+    }
+    bonus = F.when(n_attempts > 1, F.least(F.lit(20), n_attempts * 5)).otherwise(0)
+    return F.create_map(*[x for f, c in base.items() for x in (F.lit(f), F.when(bonus > 0, F.least(F.lit(95), c + bonus)).otherwise(c).cast("int"))])
+
+
+def compared_modes(attempts: DataFrame, one: str, other: str) -> DataFrame:
+    """One row: vouchers tried in both modes, wins of each, ties, and their mean confidences (columns voucher_id, mode, confidence)."""
+    both = attempts.where(F.col("mode").isin(one, other)).groupBy("voucher_id").agg(F.max(F.when(F.col("mode") == one, F.col("confidence"))).alias("a"), F.max(F.when(F.col("mode") == other, F.col("confidence"))).alias("b"))
+    ok = both.where("a IS NOT NULL AND b IS NOT NULL")
+    return ok.agg(F.count("*").alias("n"), F.count_if(F.expr("a > b")).alias("wins"), F.count_if(F.expr("b > a")).alias("losses"), F.count_if(F.expr("a = b")).alias("ties"), F.avg("a").alias("mean"), F.avg("b").alias("other_mean"))

@@ -127,12 +127,13 @@ def spans(rows: DataFrame) -> DataFrame:
     return rows.select("voucher_id", F.inline(made))
 
 
-def apply_learned(vouchers: DataFrame, values: DataFrame, anchors: DataFrame, least: float = 0.8) -> DataFrame:
-    """vouchers with supplier_name_suggested, and number, date and totals as learned anchors find them (surer than
+def apply_learned(vouchers: DataFrame, values: DataFrame, anchors: DataFrame, least: float = 0.8, fields: tuple[str, ...] = ("voucher_number", "voucher_date", "gross_total", "net_total")) -> DataFrame:
+    """vouchers with supplier_name_suggested, and `fields` (of number, date and totals) as learned anchors find them (surer than
     `least`); what no anchor finds stays as it was. One join per field, on the voucher."""
     out = suggest(vouchers, values, "supplier_name")
     read = {"voucher_number": lambda v: F.regexp_extract(v, r"^(\S+)", 1), "voucher_date": lambda v: any_date(v), "gross_total": lambda v: number(v).cast(MONEY), "net_total": lambda v: number(v).cast(MONEY)}
-    for field, parse in read.items():
+    for field in fields:
+        parse = read[field]
         found = find_by_anchor(vouchers.select("voucher_id", "raw_ocr_text", "supplier_name"), anchors, field).where(F.col("confidence") > least)
         out = out.join(found.select("voucher_id", parse(F.col("value")).alias("_v")), "voucher_id", "left").withColumn(field, F.coalesce("_v", field)).drop("_v")
     return out

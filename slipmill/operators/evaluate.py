@@ -98,3 +98,9 @@ def parser_scores(rows: DataFrame) -> DataFrame:
     """(parser, n, correct, share, confidence) of rows (voucher_id, parser, field, predicted, actual, confidence)."""
     hit = values_match(F.col("predicted"), F.col("actual")).cast("long")
     return rows.groupBy("parser").agg(F.count("*").alias("n"), F.sum(hit).alias("correct"), F.avg(hit.cast("double")).alias("share"), F.avg("confidence").alias("confidence"))
+
+
+def frequent_labels(texts: DataFrame, column: str, most: int = 20) -> DataFrame:
+    """(label, n): the words that stand most often before digits; ties by name."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"\b([a-z]+)[\s:]*\d"), F.lit(1))).alias("label"))
+    return words.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(most)

@@ -158,3 +158,9 @@ def apply_crop(boxes: DataFrame, model: DataFrame) -> DataFrame:
     moved = {s: F.greatest(F.lit(low).cast("double"), F.bround(F.col(f"auto_crop.{s}") + F.col(f"mean_{s}"))) for s, low in (("x", 0), ("y", 0), ("width", 10), ("height", 10))}
     sure = 0.6 * F.least(F.lit(0.95), F.col("n") / 50) + 0.4 * (1 - F.least(F.lit(0.5), spread / 100))
     return m.select(*boxes.columns, F.struct(*[v.alias(k) for k, v in moved.items()]).alias("suggested"), sure.alias("confidence"))
+
+
+def crop_scan(boxes: DataFrame, least: float = 20) -> DataFrame:
+    """One row: annotations, those with and without an automatic box, and those with a side below `least`."""
+    small = F.least("user_crop.width", "user_crop.height", "auto_crop.width", "auto_crop.height") < least
+    return boxes.agg(F.count("*").alias("n"), F.count("auto_crop").alias("with_auto"), F.count_if(F.col("auto_crop").isNull()).alias("without_auto"), F.count_if(small).alias("n_small"))

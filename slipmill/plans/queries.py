@@ -580,7 +580,7 @@ def parser_scores(spark, sf_dir):
 
 
 def examples(spark, sf_dir) -> DataFrame:
-    p = pairs(spark, sf_dir)
+    p = pairs(spark, sf_dir).persist()  # both sides of the join read it
     return learn.header_diffs(p).join(p.select("voucher_id", "raw_ocr_text", F.col("corrected.supplier_name").alias("supplier_name")), "voucher_id")
 
 
@@ -610,8 +610,9 @@ def neighbour_model(spark, sf_dir):
 
 @query()
 def suggestions(spark, sf_dir):
-    rows = examples(spark, sf_dir).where("voucher_id % 2 = 0 AND field <> 'net_total'")
-    made = context.suggestions(rows.drop("corrected"), examples(spark, sf_dir).where("voucher_id % 2 = 1 AND field <> 'net_total'"))
+    e = examples(spark, sf_dir).persist()
+    rows = e.where("voucher_id % 2 = 0 AND field <> 'net_total'")
+    made = context.suggestions(rows.drop("corrected"), e.where("voucher_id % 2 = 1 AND field <> 'net_total'"))
     return made.select("voucher_id", "field", "auto", "suggestion", F.round("confidence", 9).alias("confidence"), "source", F.size("alternatives").alias("n_alternatives"))
 
 
@@ -623,11 +624,11 @@ def supplier_spans(spark, sf_dir):
 @query(f"SELECT voucher_id, CASE WHEN number_auto IS NULL AND supplier_auto <> supplier_name THEN NULL ELSE voucher_number END AS voucher_number, voucher_date, supplier_auto AS supplier_name FROM ({PAIRS_SQL})")
 def applied_models(spark, sf_dir):
     """Numbers that the machine missed, found again by anchors of the supplier, where its name was read right."""
-    p = pairs(spark, sf_dir)
+    p = pairs(spark, sf_dir).persist()  # each model and each field reads it
     values = learn.value_model(learn.header_diffs(p))
     right = p.select("voucher_id", "raw_ocr_text", "corrected.supplier_name", "corrected.voucher_number", "corrected.voucher_date")
     machine = p.select("voucher_id", "raw_ocr_text", "original.supplier_name", "original.voucher_number", "original.voucher_date", "original.gross_total", "original.net_total")
-    return context.apply_learned(machine, values, learn.anchors(right, ("voucher_number", "voucher_date"))).select("voucher_id", "voucher_number", "voucher_date", "supplier_name")
+    return context.apply_learned(machine, values, learn.anchors(right, ("voucher_number", "voucher_date")), fields=("voucher_number", "voucher_date")).select("voucher_id", "voucher_number", "voucher_date", "supplier_name")
 
 
 ODD_SQL = r"len(regexp_extract_all(text, '[^\p{L}\p{N}_ \t\n\r\f./\-(),]')) / greatest(length(text), 1)"
@@ -647,6 +648,41 @@ def supplier_issues(spark, sf_dir):
     return v.select(F.explode(evaluate.supplier_issues(F.col("raw_ocr_text"), F.col("supplier_name"), F.col("vendor_details"))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT kind, count(*) AS n, CAST(sum(amount) AS DECIMAL(18,2)) AS total FROM (SELECT CASE deduction_type WHEN 'Comm' THEN 'Commission' WHEN 'LessForDamages' THEN 'Less For Damages' WHEN 'L/FAndCash' THEN 'L/F and Cash' ELSE 'UnLoading' END AS kind, amount FROM ({LABELLED_SQL})) GROUP BY kind")
+def canonical_deductions(spark, sf_dir):
+    d = profiles.region_fields(regions(spark, sf_dir)).select(F.inline("deductions"))
+    return d.groupBy(publish.canonical_kind(F.col("deduction_type")).alias("kind")).agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("total"))
+
+
+@query(f"SELECT voucher_id, CAST(5 AS BIGINT) AS n, CAST({ALL_DEDUCTIONS} + 1 AS DECIMAL(12,2)) AS total FROM ({HEADS})")
+def deduplicated_deductions(spark, sf_dir):
+    """Four types that were found stay; of the computed ones only the type that none of them has."""
+    v = profiles.region_fields(regions(spark, sf_dir)).withColumn("found", F.transform("deductions", lambda d: F.struct(publish.canonical_kind(d["deduction_type"]).alias("deduction_type"), d["amount"].alias("amount"))))
+    computed = F.array(*[F.struct(F.lit(k).alias("deduction_type"), F.lit(1).cast("decimal(12,2)").alias("amount")) for k in ("Commission @4%", "Damage", "Other")])
+    return v.withColumn("d", publish.one_of_each_kind(F.col("found"), computed)).select("voucher_id", F.size("d").cast("long").alias("n"), profiles.added(F.col("d"), "amount").alias("total"))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (a > b) AS wins, count(*) FILTER (b > a) AS losses, count(*) FILTER (a = b) AS ties, avg(a) AS mean, avg(b) AS other_mean FROM (SELECT voucher_id, max(confidence) FILTER (attempt = 0) AS a, max(confidence) FILTER (attempt = 3) AS b FROM ({ATTEMPTS_SQL}) GROUP BY voucher_id)")
+def compared_modes(spark, sf_dir):
+    return attempts.compared_modes(tried(spark, sf_dir).withColumn("mode", F.concat(F.lit("m"), F.col("attempt").cast("string"))), "m0", "m3")
+
+
+@query(f"SELECT voucher_id, CAST(95 AS INT) AS voucher_number, CAST(95 AS INT) AS date, CAST(90 AS INT) AS supplier, CAST(95 AS INT) AS amounts, CAST(70 AS INT) AS items FROM ({HEADS})")
+def field_confidences(spark, sf_dir):
+    c = attempts.field_confidence(F.col("raw_ocr_text"), F.lit(4))
+    return vo.rendered(spark, sf_dir).withColumn("c", c).select("voucher_id", *[F.col(f"c.{f}").alias(f) for f in ("voucher_number", "date", "supplier", "amounts", "items")])
+
+
+@query(f"SELECT count(*) AS n, count(*) AS with_auto, 0 AS without_auto, count(*) FILTER (least(aw, uw, ah, uh) < 20) AS n_small FROM ({BOXES_SQL})".replace("0 AS without", "CAST(0 AS BIGINT) AS without"))
+def crop_scan(spark, sf_dir):
+    return learn.crop_scan(boxes(spark, sf_dir))
+
+
+@query(r"SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\b([a-z]+)[\s:]*\d', 1)) AS label FROM documents) GROUP BY label ORDER BY n DESC, label LIMIT 20")
+def frequent_labels(spark, sf_dir):
+    return evaluate.frequent_labels(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier spend recovered from text."""
     return supplier_spend(spark, sf_dir)
