@@ -128,6 +128,8 @@ V1_RULES = (
 
 
 def v1_deductions(t: Column, ln: Column, gross: Column) -> Column:
+    """A percent sign or an amount with 4.00 in it, of any type, stands for a commission of 4 %."""
+
     def change(kind: str, a: Column, whole: Column) -> tuple[Column, Column]:
         percent = gross.isNotNull() & (whole.contains("%") | a.cast("string").contains("4.00") | whole.contains("4.008"))
         return F.when(percent, "Commission @4.0%").otherwise(kind), F.when(percent, gross * F.expr("0.04BD")).otherwise(a)
