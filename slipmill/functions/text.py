@@ -174,3 +174,19 @@ def correct_text(docs: DataFrame, column: str = "raw_ocr_text") -> DataFrame:
 def split_labels(c: Column) -> Column:
     """A line of its own for a value that a label runs into."""
     return replaced(c, ((r"(?i)(Voucher ?Number)(\d)", "$1\n$2"), (r"(?i)(Voucher ?Date)(\d)", "$1\n$2"), (r"(?i)(Supp ?Name)([A-Z])", "$1\n$2")))
+
+
+def split_merged(c: Column) -> Column:
+    """By line: a date label run into a number label and digits that begin with a date (after leading zeros) is split
+    into a line for the date and one for what follows; other lines get a blank where a capital follows a small letter."""
+    label = r"(?i)voucher\s*date\s*voucher\s*(?:number|no)(\d{6,10})"
+
+    def one(line: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(line, label, 1), "^0+", "")
+        day, month, year = (F.substring(digits, a, n) for a, n in ((1, 2), (3, 2), (5, 4)))
+        dated = (F.length(digits) >= 8) & day.try_cast("int").between(1, 31) & month.try_cast("int").between(1, 12) & year.try_cast("int").between(2020, 2030)
+        rest = F.nullif(F.trim(F.regexp_replace(line, rf"^.*?{label}", "")), F.lit(""))
+        split = F.concat(F.lit("VoucherDate "), F.concat_ws("/", day, month, year), F.lit("\n"), F.coalesce(rest, F.lit("VoucherNumber ")))
+        return F.when(dated, split).otherwise(F.replace(F.regexp_replace(line, "([a-z])([A-Z])", "$1 $2"), F.lit("  "), F.lit(" ")))
+
+    return F.array_join(F.transform(F.split(c, "\n"), one), "\n")

@@ -104,3 +104,63 @@ def frequent_labels(texts: DataFrame, column: str, most: int = 20) -> DataFrame:
     """(label, n): the words that stand most often before digits; ties by name."""
     words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"\b([a-z]+)[\s:]*\d"), F.lit(1))).alias("label"))
     return words.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(most)
+
+
+def quality_gap(vouchers: DataFrame, fields: tuple[str, ...], least: float = 60) -> DataFrame:
+    """One row: vouchers, those read well (confidence of `least`), those with all fields, and the gap between them."""
+    parsed = sum((F.col(f).isNull().cast("int") for f in fields), F.lit(0)) == 0
+    out = vouchers.agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= least).alias("well_read"), F.count_if(parsed).alias("parsed"))
+    return out.withColumn("gap", F.col("well_read") - F.col("parsed"))
+
+
+def failed(vouchers: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(voucher_id, raw_ocr_text) of vouchers that miss any of the fields."""
+    return vouchers.where(sum((F.col(f).isNull().cast("int") for f in fields), F.lit(0)) > 0).select("voucher_id", "raw_ocr_text")
+
+
+def around(text: Column, value: Column, width: int = 50) -> Column:
+    """The first place of the value in the text, whatever its case, with `width` characters on each side; null without."""
+    at = F.instr(F.lower(text), F.lower(value))
+    begin = F.greatest(at - width, F.lit(1))
+    return F.when((at > 0) & (F.length(value) > 0), F.substring(text, begin, at + F.length(value) + width - begin))
+
+
+def contexts(text: Column, value: Column, width: int = 20) -> Column:
+    """Each place of the value in the lower-cased text, with up to `width` characters of its line on each side."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(F.lower(value), F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
+    side = F.lit(f".{{0,{width}}}")
+    return F.when(F.length(value) > 0, F.regexp_extract_all(F.lower(text), F.concat(side, literal, side), F.lit(0)))
+
+
+def line_with(text: Column, value: Column) -> Column:
+    """The first line that has the value, trimmed; null without."""
+    return F.when(F.length(value) > 0, F.trim(F.get(F.filter(F.split(text, "\n"), lambda x: x.contains(value)), F.lit(0))))
+
+
+NUMERIC = ("gross_total", "net_total", "total_deductions")
+
+
+def field_accuracy(made: DataFrame, right: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(field, n, accuracy) of extracted against right values, joined on voucher_id: amounts by their mean relative
+    error, others by equality."""
+    both = made.select("voucher_id", *[F.col(f).cast("string").alias(f"_{f}") for f in fields]).join(right.select("voucher_id", *[F.col(f).cast("string").alias(f) for f in fields]), "voucher_id")
+    rows = both.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("predicted"), F.col(f).alias("actual")) for f in fields])))
+    amounts = rows.where(F.col("field").isin(*NUMERIC)).select("field", *[F.col(c).cast("decimal(18,4)").alias(c) for c in ("predicted", "actual")])
+    return text_accuracy(rows.where(~F.col("field").isin(*NUMERIC))).unionByName(numeric_accuracy(amounts).select("field", "n", "accuracy"))
+
+
+def improvement(before: DataFrame, after: DataFrame, least: int = 10) -> DataFrame:
+    """(field, n, before, after, absolute, percent) in percent with one decimal, of fields with `least` examples.
+
+    From an accuracy of 0, any gain is 100 percent.
+    """
+    a, b = F.col("before"), F.col("after")
+    both = before.select("field", "n", F.col("accuracy").alias("before")).join(after.select("field", F.col("accuracy").alias("after")), "field").where(F.col("n") >= least)
+    percent = F.when(a > 0, (b - a) / a * 100).when(b == 0, 0.0).otherwise(100.0)
+    shown = {"absolute": (b - a) * 100, "percent": percent, "before": a * 100, "after": b * 100}
+    return both.select("field", "n", *[F.bround(v, 1).alias(k) for k, v in shown.items()])
+
+
+def improvement_summary(rows: DataFrame) -> DataFrame:
+    """One row: fields, mean gain in percent, and the field that gained most (ties by name)."""
+    return rows.agg(F.count("*").alias("n_fields"), F.bround(F.avg("percent"), 1).alias("mean_percent"), F.min_by("field", F.struct(-F.col("percent"), "field")).alias("best_field"))

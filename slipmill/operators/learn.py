@@ -164,3 +164,29 @@ def crop_scan(boxes: DataFrame, least: float = 20) -> DataFrame:
     """One row: annotations, those with and without an automatic box, and those with a side below `least`."""
     small = F.least("user_crop.width", "user_crop.height", "auto_crop.width", "auto_crop.height") < least
     return boxes.agg(F.count("*").alias("n"), F.count("auto_crop").alias("with_auto"), F.count_if(F.col("auto_crop").isNull()).alias("without_auto"), F.count_if(small).alias("n_small"))
+
+
+def size_model(examples: DataFrame) -> DataFrame:
+    """One row: the number of examples and the mean sides of the boxes that people drew."""
+    return examples.agg(F.count("*").alias("n"), F.avg("user_crop.width").alias("width"), F.avg("user_crop.height").alias("height"))
+
+
+def suggest_size(boxes: DataFrame, model: DataFrame, share: float = 0.1) -> DataFrame:
+    """boxes with `sized` (width, height) and its confidence: a side that is off from the mean by more than `share` of
+    it becomes the mean, cut to a whole number; without examples boxes stay as they are, at confidence 0."""
+    m = boxes.join(F.broadcast(model.select(*[F.col(c).alias(f"_{c}") for c in ("n", "width", "height")])), how="cross")
+    side = lambda s: F.when((F.col(f"_{s}") > 0) & (F.abs(F.col(f"auto_crop.{s}") - F.col(f"_{s}")) > F.col(f"_{s}") * share), F.floor(f"_{s}").cast("double")).otherwise(F.col(f"auto_crop.{s}"))
+    return m.select(*boxes.columns, F.struct(side("width").alias("width"), side("height").alias("height")).alias("sized"), F.least(F.lit(0.9), F.coalesce("_n", F.lit(0)) / 100).alias("sized_confidence"))
+
+
+def correct_lines(rows: DataFrame, model: DataFrame, column: str = "raw_ocr_text", least: float = 0.7, longest: int = 4) -> DataFrame:
+    """rows (voucher_id, column, ...) whose lines are replaced where the substitutions know the whole line.
+
+    The model's stretches are of `longest` characters at most (as substitutions() makes them), so only lines that short
+    are looked up; each voucher's answers come back as a map of its few distinct short lines.
+    """
+    sure = best(model, ["bad"], "good").where((F.col("share") > least) & (F.length("bad") <= longest)).select("bad", "good")
+    short = rows.select("voucher_id", F.explode(F.array_distinct(F.filter(F.split(column, "\n"), lambda x: F.length(x).between(1, longest)))).alias("bad"))
+    known = short.join(sure, "bad").groupBy("voucher_id").agg(F.map_from_entries(F.collect_set(F.struct("bad", "good"))).alias("_known"))
+    fixed = F.array_join(F.transform(F.split(column, "\n"), lambda x: F.coalesce(F.try_element_at("_known", x), x)), "\n")
+    return rows.join(known, "voucher_id", "left").withColumn(column, F.when(F.col("_known").isNull(), F.col(column)).otherwise(fixed)).drop("_known")

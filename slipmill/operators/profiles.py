@@ -345,15 +345,15 @@ def base_heads(t: Column, ln: Column) -> dict[str, Column]:
     }
 
 
-def vendor(ln: Column) -> Column:
+def vendor(ln: Column, words: str = "Store|Traders|Bros|Company|Ltd|Ent|Sons") -> Column:
     """The first of five lines that is a business's name: in capitals, or with a word of such names."""
-    return head(F.filter(F.slice(ln, 1, 5), lambda x: (F.length(x) > 4) & ~x.rlike(r"(?i)Date|Voucher|Inv|No\.|^\d+$") & ((x == F.upper(x)) & (x != F.lower(x)) | x.rlike("(?i)Store|Traders|Bros|Company|Ltd|Ent|Sons"))))
+    return head(F.filter(F.slice(ln, 1, 5), lambda x: (F.length(x) > 4) & ~x.rlike(r"(?i)Date|Voucher|Inv|No\.|^\d+$") & ((x == F.upper(x)) & (x != F.lower(x)) | x.rlike(f"(?i){words}"))))
 
 
-def in_deductions(ln: Column) -> Column:
+def in_deductions(ln: Column, start: str = r"(?i)^(?:Less|Deductions?|Ded|\(-\))") -> Column:
     """By line: whether a deduction section began, on it or before, and no net or grand total came since."""
     places = lambda p: F.filter(F.transform(ln, lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull())
-    begins, ends = places(r"(?i)^(?:Less|Deductions?|Ded|\(-\))"), places(r"(?i)Net\s*Total|Grand\s*Total")
+    begins, ends = places(start), places(r"(?i)Net\s*Total|Grand\s*Total")
     last = lambda found, i: F.coalesce(F.array_max(F.filter(found, lambda k: k <= i)), F.lit(-1))
     return F.transform(ln, lambda x, i: last(begins, i) > last(ends, i))
 
@@ -456,3 +456,27 @@ def region_fields(docs: DataFrame) -> DataFrame:
         "deductions": F.array_compact(F.transform(d, deduction)).cast(DEDUCTION),
         "net_total": total(r"(?i)Net|Grand"), "gross_total": total(r"(?i)Gross|Sub\s*Total|^Total"),
     })
+
+
+def region_items(text: Column) -> Column:
+    """Items out of a region's lines: the last number is the amount, the two before it price and quantity.
+
+    Of two numbers the first is the price if it is 1, a quantity if the amount is a multiple of it (within a hundredth),
+    else the price. The name is what stands before the first digit. Lines that begin with a column's title are left out.
+    """
+    title = r"(?i)^(?:Qty|Price|Amount|Item|Name|Total|Particulars)"
+
+    def one(x: Column) -> Column:
+        found = each(x, r"([\d,]+(?:[.,]\d{1,2})?)")
+        n = F.size(found)
+        at = lambda back, hundredths=True: region_number(F.get(found, n - back), hundredths)
+        amount, other = at(1), F.when(n >= 2, at(2))
+        single = F.abs(other * amount - amount) < 0.01
+        counted = ~single & (other != 0) & (F.abs(F.try_mod(amount / other, F.lit(1))) < 0.01)
+        quantity = F.when(n >= 3, at(3, False)).when((n == 2) & counted, other)
+        price = F.when((n == 2) & counted, F.try_divide(amount, other)).otherwise(other)
+        name = F.trim(F.regexp_extract(x, r"^([^\d]*)", 1))
+        row = F.struct(F.when(F.length(name) >= 2, name).otherwise("Item").alias("item_name"), quantity.cast("decimal(10,2)").alias("quantity"), price.cast("decimal(10,2)").alias("unit_price"), amount.cast(MONEY).alias("line_amount"))
+        return F.when(~x.rlike(title) & (amount > 0), row)
+
+    return F.array_compact(F.transform(lines(keep_ascii(F.coalesce(text, F.lit("")))), one))

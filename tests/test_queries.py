@@ -8,7 +8,7 @@ import pytest
 
 from slipmill.plans import queries
 
-FAST = ["v2_fields", "v2_noisy_fields", "v2_items", "v2_deductions", "quality_fields", "quality_deductions", "supplier_spend", "receipts_published_twice", "batch_counters", "header_diffs", "best_values", "voted_attempts", "suggested_crops", "calibration", "streamed_counters", "clean_blanks", "v1_fields", "base_items", "region_deductions", "deduplicated_deductions", "compared_modes", "structure_quality", "neighbour_model"]
+FAST = ["v2_fields", "v2_noisy_fields", "v2_items", "v2_deductions", "quality_fields", "quality_deductions", "supplier_spend", "receipts_published_twice", "batch_counters", "header_diffs", "best_values", "voted_attempts", "suggested_crops", "calibration", "streamed_counters", "clean_blanks", "v1_fields", "base_items", "region_deductions", "deduplicated_deductions", "compared_modes", "structure_quality", "neighbour_model", "fixed_names", "split_merged_dates", "corrected_lines", "suggested_sizes", "last_patterns", "recovered", "supplier_contexts", "validated_fields", "region_items", "backup_fields"]
 
 
 def plain(v):
