@@ -145,8 +145,14 @@ def field_accuracy(made: DataFrame, right: DataFrame, fields: tuple[str, ...]) -
     error, others by equality."""
     both = made.select("voucher_id", *[F.col(f).cast("string").alias(f"_{f}") for f in fields]).join(right.select("voucher_id", *[F.col(f).cast("string").alias(f) for f in fields]), "voucher_id")
     rows = both.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("predicted"), F.col(f).alias("actual")) for f in fields])))
-    amounts = rows.where(F.col("field").isin(*NUMERIC)).select("field", *[F.col(c).cast("decimal(18,4)").alias(c) for c in ("predicted", "actual")])
-    return text_accuracy(rows.where(~F.col("field").isin(*NUMERIC))).unionByName(numeric_accuracy(amounts).select("field", "n", "accuracy"))
+    # One pass for both kinds, as text_accuracy and numeric_accuracy would count them.
+    p, a = (F.col(c).try_cast("decimal(18,4)") for c in ("predicted", "actual"))
+    share = F.when(a != 0, (F.abs(p - a) / F.abs(a)).cast("double"))
+    norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    amount = F.col("field").isin(*NUMERIC)
+    made = rows.groupBy("field").agg(F.count("*").alias("n"), F.count(p - a).alias("m"), F.avg((norm("predicted") == norm("actual")).cast("double")).alias("same"), F.avg(share).alias("mape"))
+    near = F.greatest(F.lit(0.0), 1 - F.coalesce("mape", F.lit(0.0)))
+    return made.where(~amount | (F.col("m") > 0)).select("field", F.when(amount, F.col("m")).otherwise(F.col("n")).alias("n"), F.when(amount, near).otherwise(F.col("same")).alias("accuracy"))
 
 
 def improvement(before: DataFrame, after: DataFrame, least: int = 10) -> DataFrame:

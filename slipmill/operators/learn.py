@@ -73,7 +73,8 @@ def anchor(text: Column, value: Column) -> Column:
     last = F.regexp_replace(F.element_at(F.concat(F.array(F.lit("")), before), -1), r"^[\s\S]*\n", "")
     words = F.filter(F.split(F.regexp_replace(last, r"[\s:\-=.]+$", ""), r"\s+"), lambda w: w != "")
     made = F.array_join(F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), F.lit(4)), " ")
-    return F.when(F.length(made) > 2, made)
+    # The search is costly where it fails, so it starts only where the value is; the filter has `made` computed once.
+    return F.when(F.lower(text).contains(F.lower(value)), F.get(F.filter(F.array(made), lambda m: F.length(m) > 2), F.lit(0)))
 
 
 def anchors(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:

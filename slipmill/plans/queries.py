@@ -646,7 +646,8 @@ def applied_models(spark, sf_dir):
     values = learn.value_model(learn.header_diffs(p))
     right = p.select("voucher_id", "raw_ocr_text", "corrected.supplier_name", "corrected.voucher_number", "corrected.voucher_date")
     machine = p.select("voucher_id", "raw_ocr_text", "original.supplier_name", "original.voucher_number", "original.voucher_date", "original.gross_total", "original.net_total")
-    return context.apply_learned(machine, values, learn.anchors(right, ("voucher_number", "voucher_date")), fields=("voucher_number", "voucher_date")).select("voucher_id", "voucher_number", "voucher_date", "supplier_name")
+    marks = learn.anchors(right, ("voucher_number", "voucher_date")).persist()
+    return context.apply_learned(machine, values, marks, fields=("voucher_number", "voucher_date")).select("voucher_id", "voucher_number", "voucher_date", "supplier_name")
 
 
 ODD_SQL = r"len(regexp_extract_all(text, '[^\p{L}\p{N}_ \t\n\r\f./\-(),]')) / greatest(length(text), 1)"
@@ -805,7 +806,7 @@ def validation(spark, sf_dir, held_out: bool) -> tuple[DataFrame, DataFrame]:
     made = profiles.extract(vo.rendered(spark, sf_dir, noisy=True), "base").select("voucher_id", "raw_ocr_text", *VALIDATED, "net_total").persist()
     both = made.select("voucher_id", "raw_ocr_text", F.struct(*VALIDATED).alias("original")).join(right.select("voucher_id", F.struct(*VALIDATED).alias("corrected")), "voucher_id")
     model = learn.value_model(learn.header_diffs(both, VALIDATED))
-    marks = learn.anchors(both.select("voucher_id", "raw_ocr_text", "corrected.*"), VALIDATED[:2])
+    marks = learn.anchors(both.select("voucher_id", "raw_ocr_text", "corrected.*"), VALIDATED[:2]).persist()  # each field reads the small model
     if held_out:
         made = made.where(~evaluate.in_training(F.col("voucher_id")))
     after = context.apply_learned(made, model, marks, fields=VALIDATED[:2])
@@ -838,7 +839,8 @@ def robust_path(spark, sf_dir):
     p = pairs(spark, sf_dir).persist()
     diffs = learn.header_diffs(p)
     right = p.select("voucher_id", "raw_ocr_text", "corrected.supplier_name", "corrected.voucher_number", "corrected.voucher_date")
-    made = robust.routed(rows, learn.substitutions(diffs), learn.value_model(diffs), learn.anchors(right, ("voucher_number", "voucher_date")))
+    marks = learn.anchors(right, ("voucher_number", "voucher_date")).persist()  # each field reads the small model
+    made = robust.routed(rows, learn.substitutions(diffs), learn.value_model(diffs), marks)
     return made.select("voucher_id", "voucher_number", "voucher_date", "action", F.size("warnings").cast("long").alias("n_warnings"))
 
 

@@ -93,3 +93,11 @@ def test_places_of_values(spark):
     assert one(spark, t, lambda c: evaluate.contexts(c, F.lit("RAVI/K"), 2)) == ["e ravi/k x", "ravi/k"]
     assert one(spark, t, lambda c: evaluate.line_with(c, F.lit("RAVI/K"))) == "Name RAVI/K x"
     assert one(spark, t, lambda c: evaluate.around(c, F.lit("zzz"))) is None and one(spark, None, lambda c: evaluate.line_with(c, F.lit("a"))) is None
+
+
+def test_field_accuracy(spark):
+    schema = "voucher_id long, supplier_name string, gross_total string"
+    made = spark.createDataFrame([(1, " Ravi", "90.00"), (2, None, None), (3, "x", "5.00"), (4, "", "7")], schema)
+    right = spark.createDataFrame([(1, "RAVI ", "100.00"), (2, "a", "1.00"), (3, "x", "0.00"), (4, None, "7.00")], schema)
+    got = {r.field: (r.n, round(r.accuracy, 6)) for r in evaluate.field_accuracy(made, right, ("supplier_name", "gross_total")).collect()}
+    assert got == {"supplier_name": (4, 0.75), "gross_total": (3, 0.95)}
