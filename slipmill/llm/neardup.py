@@ -21,6 +21,8 @@ LEAST_AGREEMENT = 0.64
 #: Members of a bucket that are compared with each other at a time, and of one task's share of a bucket.
 CHUNK, SHARE = 2048, 65_536
 HUBS, NEAREST = 32, 2
+#: Links that a row proposes to other classes of its bucket in the first exact round; later rounds take GROWTH times as many.
+PARTNERS, GROWTH = 8, 16
 
 
 def shingles(words: list[bytes], codes: WordCodes, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +97,8 @@ def _sign(texts: pa.Array) -> pa.Array:
 def _spanning(sig: np.ndarray, fresh: int) -> list[tuple[int, int, float]]:
     """Candidate links among rows of signatures: the maximum spanning forest by agreement, and each row's nearest ones.
 
-    A spanning forest keeps whatever is connected at any threshold. Rows before `fresh` were compared among
-    themselves before (hubs of the group's earlier chunks).
+    These are the first links to verify; agreement is an estimate, so what they leave apart is settled by _across.
+    Rows before `fresh` were compared among themselves before (hubs of the group's earlier chunks).
     """
     n = len(sig)
     if n == 2:
@@ -226,6 +228,136 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+PROPOSED = "doc long, other long, s double, degree long, rest boolean"
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many components of signatures agree, for each row of a and each of b."""
+    if len(a) * len(b) <= 256:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
+    out = np.zeros((len(a), len(b)), np.min_scalar_type(a.shape[1]))
+    for j in range(a.shape[1]):
+        out += a[:, j, None] == b[None, :, j]
+    return out
+
+
+def _proposals(left: np.ndarray, right: np.ndarray, docs: np.ndarray, root: np.ndarray, degree: np.ndarray, sig: np.ndarray, most: int) -> list[tuple[np.ndarray, ...]]:
+    """Links of rows of left to rows of right in other classes: of each row all, or 2 * most by verified links and by agreement.
+
+    Where a row has more, rest is true in its links.
+    """
+    m, out = sig.shape[1], []
+    agree = _agreement(sig[left], sig[right])
+    may = (agree >= np.ceil(LEAST_AGREEMENT * m - 1e-9)) & (root[left][:, None] != root[right][None, :])
+    for i in np.flatnonzero(may.any(axis=1)).tolist():
+        at = np.flatnonzero(may[i])
+        rest = len(at) > 2 * most
+        if rest:
+            s = agree[i, at].astype(np.int64)
+            by_degree = degree[right[at]] * (m + 1) + s
+            at = at[np.union1d(np.argpartition(-s, most)[:most], np.argpartition(-by_degree, most)[:most])]
+        k = right[at]
+        out.append((np.full(len(k), docs[left[i]]), docs[k], agree[i, at] / m, degree[k], np.full(len(k), rest)))
+    return out
+
+
+def _compare(rows: dict[str, list], block: tuple[int, int], most: int) -> list[tuple[np.ndarray, ...]]:
+    docs, root, degree, part = (np.array(rows[c], np.int64) for c in ("doc", "root", "degree", "part"))
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(docs), -1)
+    if block[0] != block[1]:
+        left, right = np.flatnonzero(part == block[0]), np.flatnonzero(part == block[1])
+    else:  # members of the most frequent class needn't meet each other
+        values, inverse, n = np.unique(root, return_inverse=True, return_counts=True)
+        left, right = np.flatnonzero(inverse != n.argmax()), np.arange(len(docs))
+    return _proposals(left, right, docs, root, degree, sig, most) if len(left) and len(right) else []
+
+
+def _blocks(most: int):
+    """Compares the rows of each block (key, a, b) of a partition that is sorted by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, current, rows = ("doc", "root", "degree", "part", "sig"), None, {}
+
+        def batch_of(found: list) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["doc", "other", "s", "degree", "rest"])
+
+        out: list = []
+        for batch in batches:
+            for key, a, b, *row in zip(*(batch[c].to_pylist() for c in ("key", "a", "b", *names)), strict=True):
+                if (key, a, b) != current:
+                    if current:
+                        out += _compare(rows, current[1:], most)
+                        if len(out) > 10_000:
+                            yield from batch_of(out)
+                            out = []
+                    current, rows = (key, a, b), {c: [] for c in names}
+                for c, v in zip(names, row, strict=True):
+                    rows[c].append(v)
+        if current:
+            out += _compare(rows, current[1:], most)
+        yield from batch_of(out)
+
+    return run
+
+
+def _across(rows: DataFrame, root: DataFrame, linked: DataFrame, most: int) -> DataFrame:
+    """PROPOSED links between rows (key, doc, sig) that share a bucket and are of different classes.
+
+    Each pair of such rows is compared once in a bucket.
+    """
+    degree = linked.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    known = cut(degree.join(root, "node", "left").select(F.col("node").alias("doc"), F.coalesce("root", "node").alias("root"), "degree"))
+    of = lambda df: df.join(known, "doc", "left").withColumns({"root": F.coalesce("root", "doc"), "degree": F.coalesce("degree", F.lit(0).cast("long"))})
+    sizes = of(rows.select("key", "doc")).groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
+    met = of(rows.join(cut(mixed.select("key")), "key"))
+    zero = F.lit(0)
+    met = met.select("key", zero.alias("a"), zero.alias("b"), "doc", "root", "degree", zero.alias("part"), "sig")
+    return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_blocks(most), PROPOSED)
+
+
+def _merged(root: DataFrame, edges: DataFrame) -> DataFrame:
+    """root after edges (x, y) between nodes of it or others: classes that they join get the least root."""
+    at = lambda name, as_: root.select(F.col("node").alias(name), F.col("root").alias(as_))
+    ends = edges.join(at("x", "rx"), "x", "left").join(at("y", "ry"), "y", "left")
+    top = cut(components(ends.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))))
+    moved = root.join(top.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return cut(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(top))
+
+
+def _still_open(links: DataFrame, root: DataFrame) -> DataFrame:
+    at = lambda name, as_: root.select(F.col("node").alias(name), F.col("root").alias(as_))
+    open_ = links.join(at("x", "rx"), "x", "left").join(at("y", "ry"), "y", "left")
+    return open_.where("coalesce(rx, x) <> coalesce(ry, y)").select(links.columns)
+
+
+def _exact(rows: DataFrame, docs: DataFrame, root: DataFrame, linked: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """root after all links between classes within buckets are verified; those of `tried` (x, y) were before.
+
+    Every round proposes a bounded number of links a row, first those to rows with many verified links, and takes more
+    in the next one, until no row holds any back: then each link that may join two classes is verified.
+    """
+    most = PARTNERS
+    while True:
+        pair = [F.greatest("doc", "other").alias("x"), F.least("doc", "other").alias("y")]
+        found = stored(_across(rows, root, linked, most).select("doc", *pair, "s", "degree", "rest"), "across")
+        more = not found.where("rest").isEmpty()
+        fresh = stored(found.groupBy("doc", "x", "y").agg(F.max("s").alias("s"), F.max("degree").alias("degree")).join(tried, ["x", "y"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            first = cut(fresh.groupBy("doc").agg(F.max(F.struct("degree", "s", "x", "y")).alias("l")).select("l.x", "l.y").distinct())
+            sure = _verified(first, docs, similarity)
+            root = _merged(root, sure)
+            rest = cut(_still_open(fresh.select("x", "y").distinct().join(first, ["x", "y"], "left_anti"), root))
+            late = _verified(rest, docs, similarity)
+            if not late.isEmpty():
+                root = _merged(root, late)
+            linked, tried = cut(linked.unionByName(sure).unionByName(late)), cut(tried.unionByName(first).unionByName(rest))
+        if not more:
+            return root
+        most *= GROWTH
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row: class_id is the least doc_id that is linked to it, directly or in steps.
 
@@ -251,21 +383,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # A bucket of more than SHARE members is dealt over several tasks, anew in each band.
     heavy = cut(shared.where(F.col("n") > SHARE).select("key", F.ceil(F.col("n") / SHARE).alias("shares")))
     if heavy.isEmpty():
-        rows = rows.withColumn("salt", F.lit(0).cast("long"))
+        dealt = rows.withColumn("salt", F.lit(0).cast("long"))
     else:
-        rows = rows.join(heavy, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "key"), F.col("shares")), F.lit(0).cast("long"))).drop("shares")
-    found = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc").mapInArrow(_candidates, "x long, y long, s double")
+        dealt = rows.join(heavy, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "key"), F.col("shares")), F.lit(0).cast("long"))).drop("shares")
+    found = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc").mapInArrow(_candidates, "x long, y long, s double")
     links = stored(found.groupBy("x", "y").agg(F.max("s").alias("s")), "links")
     # Each document's best link first; of the rest only those that could still join two classes.
-    first = links.groupBy("x").agg(F.max_by("y", F.struct("s", -F.col("y"))).alias("y"))
+    first = cut(links.groupBy("x").agg(F.max_by("y", F.struct("s", -F.col("y"))).alias("y")))
     sure = _verified(first, docs, similarity)
     root = components(sure)
-    at = lambda name, as_: root.select(F.col("node").alias(name), F.col("root").alias(as_))
-    open_ = links.join(first, ["x", "y"], "left_anti").join(at("x", "rx"), "x", "left").join(at("y", "ry"), "y", "left")
-    open_ = open_.where("coalesce(rx, x) <> coalesce(ry, y)").select("x", "y")
+    open_ = cut(_still_open(links.join(first, ["x", "y"], "left_anti").select("x", "y"), root))
     more = _verified(open_, docs, similarity)
     if not more.isEmpty():
-        root = components(sure.unionByName(more))
+        root = _merged(root, more)
+    root = _exact(rows, docs, root, sure.unionByName(more), cut(first.unionByName(open_)), similarity)
     top = reps.select("a", "b", F.col("doc_id").alias("rep")).join(root, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("root", "rep").alias("top"))
     out = signed.select("doc_id", "a", "b").join(top, ["a", "b"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("class_id"))
