@@ -304,16 +304,22 @@ def _blocks(most: int):
 def _across(rows: DataFrame, root: DataFrame, linked: DataFrame, most: int) -> DataFrame:
     """PROPOSED links between rows (key, doc, sig) that share a bucket and are of different classes.
 
-    Each pair of such rows is compared once in a bucket.
+    Each pair of such rows is compared once in a bucket, whatever its size: buckets of more than CHUNK rows are cut into
+    parts, and each two parts are a block of their own, but for those within the most frequent class of the bucket.
     """
     degree = linked.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     known = cut(degree.join(root, "node", "left").select(F.col("node").alias("doc"), F.coalesce("root", "node").alias("root"), "degree"))
     of = lambda df: df.join(known, "doc", "left").withColumns({"root": F.coalesce("root", "doc"), "degree": F.coalesce("degree", F.lit(0).cast("long"))})
     sizes = of(rows.select("key", "doc")).groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
-    met = of(rows.join(cut(mixed.select("key")), "key"))
-    zero = F.lit(0)
-    met = met.select("key", zero.alias("a"), zero.alias("b"), "doc", "root", "degree", zero.alias("part"), "sig")
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("classes > 1")
+    mixed = cut(mixed.select("key", "n", F.col("top.root").alias("most"), F.col("top.n").alias("n_most")))
+    part = lambda n: F.ceil(n / F.lit(CHUNK))
+    met = of(rows.join(mixed, "key")).withColumns({"few": part(F.col("n") - F.col("n_most")), "many": part(F.col("n_most")), "h": F.xxhash64("doc", "key")})
+    whole, most_ = F.col("n") <= CHUNK, F.col("root") == F.col("most")
+    met = met.withColumn("part", F.when(whole, F.lit(0)).when(most_, F.col("few") + F.pmod("h", "many")).otherwise(F.pmod("h", "few")))
+    last = F.when(whole, F.lit(0)).when(most_, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    met = met.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "degree", "part", "sig")
     return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_blocks(most), PROPOSED)
 
 

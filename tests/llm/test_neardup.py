@@ -148,3 +148,12 @@ def test_star(spark):
     want = brute_sets(docs)
     assert sum(c == 500 for _, c in want) == 401
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_classes_over_chunks(spark):
+    """Buckets of about 2500 rows: all are linked to one row of the first chunk, and to no other."""
+    base = " ".join(f"w{k}" for k in range(204))
+    docs = [(i, base + "".join(f" t{i}.{k}" for k in range(16 if i == 1500 else 29))) for i in range(5000)]
+    got = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {c for _, c in brute_sets(docs)} == {0}
+    assert [tuple(r) for r in got.where("class_id <> 0").collect()] == []
