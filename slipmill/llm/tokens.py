@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -15,8 +16,14 @@ from pyspark.sql import types as T
 #: The vocabulary (ranks of a byte-level BPE) and the pre-token pattern that goes with it: fixed values.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for ASCII texts, where the classes are these.
+ASCII_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 #: A pre-token depends on its own characters and this many after them at most.
 REACH = 4
+#: Pre-tokens of a leaf; characters after an edit that are split again at first.
+LEAF, CONTEXT = 64, 16
+#: Edits at most so many characters apart are one region.
+NEAR = 48
 CACHE = 400_000
 
 
@@ -30,7 +37,11 @@ class Counter(dict):
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("pre", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.split = regex.compile(PATTERN).findall
+        self._ascii, self._any = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
+
+    def split(self, text: str) -> list[str]:
+        """The text's pre-tokens."""
+        return self._ascii(text) if text.isascii() else self._any(text)
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= CACHE:
@@ -38,112 +49,149 @@ class Counter(dict):
         n = self[piece] = len(self.encode(piece))
         return n
 
+    def tokens(self, pieces: list[str]) -> int:
+        return sum(map(self.__getitem__, pieces))
+
 
 class PretokenTree:
-    """Sums of tokens and characters over a document's pre-tokens; an edit replaces the leaves it touches.
+    """Sums of tokens and characters over a document's pre-tokens; an edit replaces the pre-tokens that it touches.
 
-    A leaf holds one pre-token, or after an edit the pre-tokens that took the place of a region (later leaves of the
-    region are empty), so that a change is a few leaf updates and their paths to the root.
+    A leaf holds LEAF pre-tokens in a row, and after edits those that took their place; inner nodes add up two nodes
+    each. An edit finds its leaf by descent, changes the leaves of its region and updates their paths to the root.
     """
 
     def __init__(self, text: str, counter: Counter):
         self.counter = counter
-        self.leaves = counter.split(text)
-        self.n = len(self.leaves)
-        self.size = 1 << max(0, (self.n - 1).bit_length())
-        self.tokens = self._sums([*map(counter.__getitem__, self.leaves)])
-        self.chars = self._sums([*map(len, self.leaves)])
+        pieces = counter.split(text)
+        self.n = len(pieces)
+        self.blocks = [pieces[i : i + LEAF] for i in range(0, self.n, LEAF)] or [[]]
+        self.size = 1 << (len(self.blocks) - 1).bit_length()
+        self.sums = self._tree([*map(counter.tokens, self.blocks)])
+        self.chars = self._tree([sum(map(len, x)) for x in self.blocks])
         self.encoded = 0
 
-    def _sums(self, values: list[int]) -> list[int]:
-        tree = np.zeros(2 * self.size, np.int64)
-        tree[self.size : self.size + len(values)] = values
-        at = self.size
-        while at > 1:
-            tree[at // 2 : at] = tree[at : 2 * at : 2] + tree[at + 1 : 2 * at : 2]
-            at //= 2
-        return tree.tolist()  # single cells are read and written from now on
+    def _tree(self, leaves: list[int]) -> list[int]:
+        tree = [0] * self.size + leaves + [0] * (self.size - len(leaves))
+        for node in range(self.size - 1, 0, -1):
+            tree[node] = tree[2 * node] + tree[2 * node + 1]
+        return tree
+
+    @property
+    def leaves(self) -> list[str]:
+        return [x for block in self.blocks for x in block]
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.sums[1]
 
     @property
     def length(self) -> int:
         return self.chars[1]
 
     def _find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds character `at`, and the character it begins with."""
-        node, left = 1, at
+        """The leaf that holds character `at`, and the place of it in the leaf."""
+        node, chars = 1, self.chars
         while node < self.size:
             node *= 2
-            if left >= self.chars[node] and self.chars[node + 1]:
-                left -= self.chars[node]
+            if at >= chars[node] and chars[node + 1]:
+                at -= chars[node]
                 node += 1
-        return node - self.size, at - left
-
-    def _set(self, leaf: int, pieces: list[str]) -> None:
-        self.leaves[leaf] = "".join(pieces)
-        tokens = sum(map(self.counter.__getitem__, pieces)) - self.tokens[leaf + self.size]
-        chars = len(self.leaves[leaf]) - self.chars[leaf + self.size]
-        node, sums, lengths = leaf + self.size, self.tokens, self.chars
-        if tokens or chars:
-            while node:
-                sums[node] += tokens
-                lengths[node] += chars
-                node >>= 1
+        return node - self.size, at
+
+    def _add(self, leaf: int, tokens: int, chars: int) -> None:
+        node, sums, lengths = leaf + self.size, self.sums, self.chars
+        while node:
+            sums[node] += tokens
+            lengths[node] += chars
+            node >>= 1
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Puts `new` in the place of characters start to end."""
-        if not self.n:
-            self.leaves, self.n = [""], 1
-        i, begin = self._find(max(0, start - REACH)) if self.length else (0, 0)
-        j, more = i, 6
-        window, bounds = "", [0]  # old text from leaf i on, and where each of its leaves ends
+        leaf, at = self._find(max(0, start - REACH))
+        block = self.blocks[leaf]
+        ends = [*accumulate(map(len, block))]
+        i = bisect_right(ends, at)  # the pre-token that holds the character: none before it can change
+        begin = ends[i - 1] if i else 0
+        a = start - max(0, start - REACH) + at - begin
+        b, more = a + end - start, CONTEXT
         while True:
-            while j < self.n and (len(window) < end - begin or len(bounds) <= more):
-                window += self.leaves[j]
-                bounds.append(len(window))
-                j += 1
-                if len(bounds) > more and len(window) >= end - begin + more:
-                    break
-            a, b = start - begin, end - begin
-            shift = len(new) - (b - a)
+            old, last = block[i:], leaf  # from here on to the end of a leaf, with enough context after the edit
+            if last + 1 < len(self.blocks) and (short := b + more - self.chars[leaf + self.size] + begin) > 0:
+                while short > 0 and last + 1 < len(self.blocks):
+                    last += 1
+                    old += self.blocks[last]
+                    short -= self.chars[last + self.size]
+            stop = bisect_left(ends, begin + b + more) + 1 - i if last == leaf else len(old)
+            whole = stop >= len(old) and last + 1 == len(self.blocks)
+            old = old[:stop]  # of a leaf only what the context asks for is split again
+            k = len(old)
+            limits = [*accumulate(map(len, old))]
+            window = "".join(old)
             text = window[:a] + new + window[b:]
-            old = {x + shift: k for k, x in enumerate(bounds) if x >= b}
-            pieces, at = [], 0
-            for piece in self.counter.split(text):
-                if j < self.n and at + len(piece) + REACH > len(text):
+            sure = len(text) if whole else len(text) - REACH
+            shift, changed = len(new) - (b - a), a + len(new)
+            same = bisect_left(limits, b)
+            pieces, done, found = self.counter.split(text), 0, None
+            for n, piece in enumerate(pieces, 1):
+                done += len(piece)
+                if done > sure:
                     break  # it may go on after the window
-                pieces.append(piece)
-                at += len(piece)
-                if at >= a + len(new) and at in old and (at < len(text) or j >= self.n or at + REACH <= len(text)):
-                    break
-            if at in old and at >= a + len(new) or j >= self.n:
+                if done >= changed:
+                    while same < k and limits[same] + shift < done:
+                        same += 1
+                    if same < k and limits[same] + shift == done:  # from here on the pre-tokens are the old ones
+                        found = n, same + 1
+                        break
+            if found or whole:
                 break
-            more *= 2
-        last = i + old[at] if at in old else self.n
-        self.encoded += len(pieces)
-        self._set(i, pieces)
-        for k in range(i + 1, last):
-            if self.leaves[k]:
-                self._set(k, [])
+            more *= 4
+        n, k = found or (len(pieces), len(old))
+        self.encoded += n
+        fresh, gone = pieces[:n], old[:k]
+        if k <= len(block) - i:
+            block[i : i + k] = fresh
+            self._add(leaf, self.counter.tokens(fresh) - self.counter.tokens(gone), shift)
+            return
+        own = block[i:]
+        block[i:] = fresh
+        self._add(leaf, self.counter.tokens(fresh) - self.counter.tokens(own), sum(map(len, fresh)) - sum(map(len, own)))
+        k, leaf = k - len(own), leaf + 1
+        while k > 0:
+            own = self.blocks[leaf][:k]
+            del self.blocks[leaf][:k]
+            self._add(leaf, -self.counter.tokens(own), -sum(map(len, own)))
+            k, leaf = k - len(own), leaf + 1
 
 
 #: The edits of the production query, what a cleaning step would mask or shorten: addresses, hexadecimal secrets,
 #: long numbers, repeated marks.
 EDIT_PATTERN = r"(?P<email>(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+)|(?P<secret>\b[0-9a-f]{32,}\b)|(?P<number>\d{4,})|(?P<marks>(?P<mark>[!?.$%&*#|])(?P=mark)+)"
-NO_ADDRESS = re.compile(EDIT_PATTERN[EDIT_PATTERN.index("|(?P<secret>") + 1 :])
+SECRET, NUMBER, MARKS = re.compile(r"[0-9a-f]{32}"), re.compile(r"\d{4,}"), re.compile(r"([!?.$%&*#|])\1+")
 EDIT_TEXTS = {"email": "<email>", "secret": "<secret>", "number": "#", "marks": "."}
 
 
 def edits_of(text: str, pattern: re.Pattern) -> list[tuple[int, int, str]]:
     """Ranges that don't overlap, in order, with what takes their place."""
-    if "@" not in text:  # then no address can be found, and the pattern without them gives the same, faster
-        pattern = NO_ADDRESS
+    if "@" not in text and not SECRET.search(text):  # then only numbers and marks are left, which never overlap
+        found = [(*m.span(), "#") for m in NUMBER.finditer(text)]
+        marks = [(*m.span(), ".") for m in MARKS.finditer(text)]
+        return sorted(found + marks) if found and marks else found or marks
     return [(m.start(), m.end(), EDIT_TEXTS[m.lastgroup]) for m in pattern.finditer(text)]
 
 
+def regions(text: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The edits (in order, not overlapping), those at most NEAR characters apart as one: their contexts meet."""
+    out: list[tuple[int, int, list[str]]] = []
+    for start, end, new in edits:
+        if out and start - out[-1][1] <= NEAR:
+            a, b, parts = out[-1]
+            parts += text[b:start], new
+            out[-1] = a, end, parts
+        else:
+            out.append((start, end, [new]))
+    return [(a, b, "".join(parts)) for a, b, parts in out]
+
+
 COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in ("n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_chars_after", "n_tokens_after")])
 
 
@@ -164,7 +212,7 @@ def count_edited(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             tree = PretokenTree(text, counter)
             todo = sorted((e["start"], e["end"], e["text"]) for e in edits or []) if own else edits_of(text, pattern)
             row = {"n_pretokens": tree.n, "n_tokens": tree.total, "n_edits": len(todo)}
-            for e in reversed(todo):
+            for e in reversed(regions(text, todo)):
                 tree.edit(*e)
             out.append(row | {"n_reencoded": tree.encoded, "n_chars_after": tree.length, "n_tokens_after": tree.total})
         return pa.array(out, pa.struct([(c, pa.int64()) for c in made]))

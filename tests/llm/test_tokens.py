@@ -33,6 +33,17 @@ def test_random_edits(counter):
         new = apply(text, edits)
         assert "".join(tree.leaves) == new, k
         assert (tree.total, tree.length) == (len(counter.encode(new)), len(new)), (k, text, edits)
+        joined = tokens.PretokenTree(text, counter)
+        for e in reversed(tokens.regions(text, edits)):
+            joined.edit(*e)
+        assert "".join(joined.leaves) == new and joined.total == tree.total
+
+
+def test_ascii_pattern(counter):
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(map(chr, rng.choices(range(128), k=200))) + "".join(rng.choices(" \n\t\x1c'sdlv9a.", k=100))
+        assert counter._ascii(text) == counter._any(text)
 
 
 def test_only_the_region(counter):
