@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import MIX, WordCodes, cut, fold, may_hold, membership_filter, passes, slices, stored, utf8, without_ids
+from slipmill.llm.common import MIX, WordCodes, cut, fold, forget, may_hold, membership_filter, passes, slices, stored, utf8, without_ids
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99995.
 BANDS, ROWS = 25, 5
 #: Pairs whose signatures agree less are not verified: over four standard deviations below 0.8.
 LEAST_AGREEMENT = 0.64
-#: Members of a bucket that are compared with each other at a time, and of one task's share of a bucket.
-CHUNK, SHARE = 2048, 65_536
-HUBS, NEAREST = 32, 2
+#: Members of a bucket that are compared with each other at a time.
+CHUNK = 2048
 #: Links that a row proposes to other classes of its bucket in the first exact round; later rounds take GROWTH times as many.
 PARTNERS, GROWTH = 8, 16
 
@@ -94,83 +93,78 @@ def _sign(texts: pa.Array) -> pa.Array:
     return pa.array(out, SIGNED_ARROW)
 
 
-def _spanning(sig: np.ndarray, fresh: int) -> list[tuple[int, int, float]]:
-    """Candidate links among rows of signatures: the maximum spanning forest by agreement, and each row's nearest ones.
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many components of signatures agree, for each row of a and each of b."""
+    if len(a) * len(b) <= 256:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
+    out = np.zeros((len(a), len(b)), np.min_scalar_type(a.shape[1]))
+    for j in range(a.shape[1]):
+        out += a[:, j, None] == b[None, :, j]
+    return out
 
-    These are the first links to verify; agreement is an estimate, so what they leave apart is settled by _across.
-    Rows before `fresh` were compared among themselves before (hubs of the group's earlier chunks).
+
+def _spanning(sig: np.ndarray) -> list[tuple[int, int, float]]:
+    """The maximum spanning forest by agreement among rows of signatures (Prim's algorithm): the first links to verify.
+
+    Agreement is an estimate, so what these leave apart is settled by the exact rounds.
     """
-    n = len(sig)
-    if n == 2:
-        s = float((sig[0] == sig[1]).mean())
-        return [(0, 1, s)] if s >= LEAST_AGREEMENT else []
-    found: dict[tuple[int, int], float] = {}
-    agree = np.zeros((n, n), np.float32)
-    for j in range(sig.shape[1]):
-        agree += sig[:, j, None] == sig[None, :, j]
-    agree /= sig.shape[1]
+    n, m = sig.shape
+    agree = _agreement(sig, sig).astype(np.int64)
     np.fill_diagonal(agree, -1)
-    agree[:fresh, :fresh] = -1
-    for k in range(min(NEAREST, n - 1)):
-        top = agree.argmax(axis=1) if not k else np.argpartition(-agree, k, axis=1)[:, k]
-        for i, j in enumerate(top.tolist()):
-            if agree[i, j] >= LEAST_AGREEMENT:
-                found[min(i, j), max(i, j)] = float(agree[i, j])
-    best, source = agree[0].copy(), np.zeros(n, np.int64)  # Prim's algorithm
+    best, source, out = agree[0].copy(), np.zeros(n, np.int64), []
     done = np.zeros(n, bool)
     done[0] = True
     for _ in range(n - 1):
         i = int(np.where(done, -2, best).argmax())
         done[i] = True
-        if best[i] >= LEAST_AGREEMENT:
-            j = int(source[i])
-            found[min(i, j), max(i, j)] = float(best[i])
+        if best[i] >= np.ceil(LEAST_AGREEMENT * m - 1e-9):
+            out.append((i, int(source[i]), float(best[i] / m)))
         better = agree[i] > best
         best[better], source[better] = agree[i][better], i
-    return [(i, j, s) for (i, j), s in found.items()]
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the buckets of a partition that is sorted by bucket; a bucket is taken a chunk at a time."""
-    current, ids, sigs, hubs = None, [], [], ([], [])
-    out: list[tuple[int, int, float]] = []
-
-    def close(last: bool) -> None:
-        nonlocal ids, sigs, hubs
-        all_ids, all_sigs = hubs[0] + ids, hubs[1] + sigs
-        if len(all_ids) > 1 and ids:
-            links = _spanning(np.stack([np.frombuffer(s, np.uint16) for s in all_sigs]), len(hubs[0]))
-            for i, j, s in links:
-                x, y = all_ids[i], all_ids[j]
-                if x != y:
-                    out.append((max(x, y), min(x, y), s))
-            if not last:  # the members with most links meet the next chunks
-                degree = np.bincount([k for i, j, _ in links for k in (i, j)], minlength=len(all_ids))
-                top = np.argsort(-degree, kind="stable")[:HUBS].tolist()
-                hubs = [all_ids[i] for i in top], [all_sigs[i] for i in top]
-        ids, sigs = [], []
-        if last:
-            hubs = ([], [])
-
-    def flush() -> pa.RecordBatch:
-        rows = list(dict.fromkeys(out))
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["x", "y", "s"])
+    return out
+
 
+def _grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], names: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Groups of equal `by` of a partition that is sorted by it."""
+    current, rows = None, {}
     for batch in batches:
-        for key, salt, doc, sig in zip(*(batch[c].to_pylist() for c in ("key", "salt", "doc", "sig")), strict=True):
-            if (key, salt) != current:
-                close(True)
-                current = (key, salt)
-            elif len(ids) >= CHUNK:
-                close(False)
-            ids.append(doc)
-            sigs.append(sig)
-        if out:
-            yield flush()
-    close(True)
-    if out:
-        yield flush()
+        for key, row in zip(zip(*(batch[c].to_pylist() for c in by), strict=True), zip(*(batch[c].to_pylist() for c in names), strict=True), strict=True):
+            if key != current:
+                if current is not None:
+                    yield current, rows
+                current, rows = key, {c: [] for c in names}
+            for c, v in zip(names, row, strict=True):
+                rows[c].append(v)
+    if current is not None:
+        yield current, rows
+
+
+def _batches(found: Iterator[list[np.ndarray]], names: list[str], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of about `most` rows out of columns that come in pieces."""
+    held, n = [], 0
+    for columns in found:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first links (x > y) within the parts (key, part) of a partition that is sorted by them."""
+
+    def found() -> Iterator[list[np.ndarray]]:
+        for _, rows in _grouped(batches, ("key", "part"), ("doc", "sig")):
+            if len(rows["doc"]) > 1:
+                doc = np.array(rows["doc"], np.int64)
+                links = _spanning(np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(doc), -1))
+                if links:
+                    i, j = (doc[[x[k] for x in links]] for k in (0, 1))
+                    yield [np.maximum(i, j), np.minimum(i, j)]
+
+    return _batches(found(), ["x", "y"])
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -195,173 +189,197 @@ def _similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def _verified(links: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The links (x, y) whose texts are similar enough; only texts that a bounded filter says may be linked move."""
-    spark = links.sparkSession
-    links = cut(links)
-    ends = links.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    keyed = cut(ends.withColumn("k", F.xxhash64("doc_id")))
-    may = may_hold(spark, membership_filter(keyed, "k", keyed.count()), F.xxhash64("doc_id"))
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").where(may)
-    # Repeated rows of an id are one document: the greatest text stands for it.
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    pairs = links.join(texts.withColumnsRenamed({"doc_id": "x", "text": "tx"}), "x").join(texts.withColumnsRenamed({"doc_id": "y", "text": "ty"}), "y")
+def _verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The links (x, y, ...) whose texts are similar enough, stored.
+
+    Each end of a link fetches its text, and a link is a group of its two ends, so that a document with many links is
+    no hot key; the join that fetches is of two stored tables, whose hot partitions Spark splits.
+    """
+    more = [c for c in links.columns if c not in ("x", "y")]
+    ends = links.withColumn("doc", F.explode(F.array("x", "y"))).join(texts, "doc")
+    end = lambda c: F.max(F.when(F.col("doc") == F.col(c), F.col("text")))
+    both = ends.groupBy("x", "y", *more).agg(end("x").alias("tx"), end("y").alias("ty"))
     s = F.arrow_udf(_similar, T.DoubleType())(F.col("tx"), F.col("ty"))
-    return cut(pairs.select("x", "y", s.alias("s")).where(F.col("s") >= similarity - 1e-12).select("x", "y"))
+    return stored(both.select("x", "y", *more, s.alias("s")).where(F.col("s") >= similarity - 1e-12).drop("s"), "verified")
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (x, y) as stars (node, least node) of what is connected within about EDGES edges of the partition."""
+
+    def stars(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        i, j = at[: len(x)], at[len(x) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, label[i], low)
+            np.minimum.at(new, label[j], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        other = label != np.arange(len(nodes))
+        return [nodes[other], nodes[label[other]]]
+
+    def found() -> Iterator[list[np.ndarray]]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch[c].to_numpy() for c in ("x", "y")])
+                n += batch.num_rows
+            if n >= EDGES:
+                yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return _batches(found(), ["x", "y"])
+
+
+#: Edges that are contracted at a time in a task.
+EDGES = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each component of edges (x, y), by alternating large and small stars."""
-    edges = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
-    seen = None
+    """(node, root): the least node of each component of edges (x, y), by alternating large and small stars.
+
+    What is connected within a task is contracted first, which shortens paths, so few rounds are left.
+    """
+    edges = edges.where("x <> y").select("x", "y").mapInArrow(_contract, "x long, y long")
+    seen, edges = None, stored(edges, "edges")
     while True:
-        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        both = edges.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.*")
         least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        large = large.where("x <> y").distinct()
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y")
         least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))
-        edges = cut(small.where("x <> y").distinct())
+        small = large.join(least, "x").select(F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct("x", F.col("m").alias("y")))).alias("e")).select("e.*")
+        last, edges = edges, stored(small.where("x <> y").distinct(), "edges")
+        forget(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
         seen = now
 
 
-PROPOSED = "doc long, other long, s double, degree long, rest boolean"
-
-
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many components of signatures agree, for each row of a and each of b."""
-    if len(a) * len(b) <= 256:
-        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
-    out = np.zeros((len(a), len(b)), np.min_scalar_type(a.shape[1]))
-    for j in range(a.shape[1]):
-        out += a[:, j, None] == b[None, :, j]
-    return out
+PROPOSED = "doc long, other long, rx long, ry long, s double, rest boolean"
 
 
-def _proposals(left: np.ndarray, right: np.ndarray, docs: np.ndarray, root: np.ndarray, degree: np.ndarray, sig: np.ndarray, most: int) -> list[tuple[np.ndarray, ...]]:
-    """Links of rows of left to rows of right in other classes: of each row all, or 2 * most by verified links and by agreement.
+def _proposals(left: np.ndarray, right: np.ndarray, doc: np.ndarray, root: np.ndarray, sig: np.ndarray, most: int) -> Iterator[list[np.ndarray]]:
+    """Links of rows of left to rows of right in other classes: of each row all, or the `most` of greatest agreement.
 
     Where a row has more, rest is true in its links.
     """
-    m, out = sig.shape[1], []
+    m = sig.shape[1]
     agree = _agreement(sig[left], sig[right])
     may = (agree >= np.ceil(LEAST_AGREEMENT * m - 1e-9)) & (root[left][:, None] != root[right][None, :])
     for i in np.flatnonzero(may.any(axis=1)).tolist():
         at = np.flatnonzero(may[i])
-        rest = len(at) > 2 * most
+        rest = len(at) > most
         if rest:
-            s = agree[i, at].astype(np.int64)
-            by_degree = degree[right[at]] * (m + 1) + s
-            at = at[np.union1d(np.argpartition(-s, most)[:most], np.argpartition(-by_degree, most)[:most])]
+            at = at[np.argpartition(-agree[i, at].astype(np.int64), most)[:most]]
         k = right[at]
-        out.append((np.full(len(k), docs[left[i]]), docs[k], agree[i, at] / m, degree[k], np.full(len(k), rest)))
-    return out
-
-
-def _compare(rows: dict[str, list], block: tuple[int, int], most: int) -> list[tuple[np.ndarray, ...]]:
-    docs, root, degree, part = (np.array(rows[c], np.int64) for c in ("doc", "root", "degree", "part"))
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(docs), -1)
-    if block[0] != block[1]:
-        left, right = np.flatnonzero(part == block[0]), np.flatnonzero(part == block[1])
-    else:  # members of the most frequent class needn't meet each other
-        values, inverse, n = np.unique(root, return_inverse=True, return_counts=True)
-        left, right = np.flatnonzero(inverse != n.argmax()), np.arange(len(docs))
-    return _proposals(left, right, docs, root, degree, sig, most) if len(left) and len(right) else []
+        yield [np.full(len(k), doc[left[i]]), doc[k], np.full(len(k), root[left[i]]), root[k], agree[i, at] / m, np.full(len(k), rest)]
 
 
 def _blocks(most: int):
     """Compares the rows of each block (key, a, b) of a partition that is sorted by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, current, rows = ("doc", "root", "degree", "part", "sig"), None, {}
-
-        def batch_of(found: list) -> Iterator[pa.RecordBatch]:
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["doc", "other", "s", "degree", "rest"])
-
-        out: list = []
-        for batch in batches:
-            for key, a, b, *row in zip(*(batch[c].to_pylist() for c in ("key", "a", "b", *names)), strict=True):
-                if (key, a, b) != current:
-                    if current:
-                        out += _compare(rows, current[1:], most)
-                        if len(out) > 10_000:
-                            yield from batch_of(out)
-                            out = []
-                    current, rows = (key, a, b), {c: [] for c in names}
-                for c, v in zip(names, row, strict=True):
-                    rows[c].append(v)
-        if current:
-            out += _compare(rows, current[1:], most)
-        yield from batch_of(out)
+        def found() -> Iterator[list[np.ndarray]]:
+            for (_, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "sig")):
+                doc, root, part = (np.array(rows[c], np.int64) for c in ("doc", "root", "part"))
+                if a != b:
+                    left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
+                else:  # members of the most frequent class needn't meet each other
+                    _, inverse, n = np.unique(root, return_inverse=True, return_counts=True)
+                    left, right = np.flatnonzero(inverse != n.argmax()), np.arange(len(doc))
+                if len(left) and len(right):
+                    yield from _proposals(left, right, doc, root, np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(doc), -1), most)
+
+        return _batches(found(), ["doc", "other", "rx", "ry", "s", "rest"])
 
     return run
 
 
-def _across(rows: DataFrame, root: DataFrame, linked: DataFrame, most: int) -> DataFrame:
-    """PROPOSED links between rows (key, doc, sig) that share a bucket and are of different classes.
+def _across(state: DataFrame, most: int) -> DataFrame | None:
+    """PROPOSED links between rows of state (doc, keys, sig, root) that share a bucket and are of different classes.
 
     Each pair of such rows is compared once in a bucket, whatever its size: buckets of more than CHUNK rows are cut into
     parts, and each two parts are a block of their own, but for those within the most frequent class of the bucket.
+    None if no bucket holds two classes.
     """
-    degree = linked.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    known = cut(degree.join(root, "node", "left").select(F.col("node").alias("doc"), F.coalesce("root", "node").alias("root"), "degree"))
-    of = lambda df: df.join(known, "doc", "left").withColumns({"root": F.coalesce("root", "doc"), "degree": F.coalesce("degree", F.lit(0).cast("long"))})
-    sizes = of(rows.select("key", "doc")).groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = state.select(F.explode("keys").alias("key"), "root").groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("classes > 1")
-    mixed = cut(mixed.select("key", "n", F.col("top.root").alias("most"), F.col("top.n").alias("n_most")))
+    mixed = stored(mixed.select("key", "n", F.col("top.root").alias("most"), F.col("top.n").alias("n_most")), "mixed")
+    if mixed.isEmpty():
+        return None
     part = lambda n: F.ceil(n / F.lit(CHUNK))
-    met = of(rows.join(mixed, "key")).withColumns({"few": part(F.col("n") - F.col("n_most")), "many": part(F.col("n_most")), "h": F.xxhash64("doc", "key")})
+    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "sig").join(mixed, "key")
+    met = rows.withColumns({"few": part(F.col("n") - F.col("n_most")), "many": part(F.col("n_most")), "h": F.xxhash64("doc", "key")})
     whole, most_ = F.col("n") <= CHUNK, F.col("root") == F.col("most")
     met = met.withColumn("part", F.when(whole, F.lit(0)).when(most_, F.col("few") + F.pmod("h", "many")).otherwise(F.pmod("h", "few")))
     last = F.when(whole, F.lit(0)).when(most_, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
     met = met.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "degree", "part", "sig")
+    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "part", "sig")
     return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_blocks(most), PROPOSED)
 
 
-def _merged(root: DataFrame, edges: DataFrame) -> DataFrame:
-    """root after edges (x, y) between nodes of it or others: classes that they join get the least root."""
-    at = lambda name, as_: root.select(F.col("node").alias(name), F.col("root").alias(as_))
-    ends = edges.join(at("x", "rx"), "x", "left").join(at("y", "ry"), "y", "left")
-    top = cut(components(ends.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))))
-    moved = root.join(top.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    return cut(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(top))
-
+def _linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the documents of reps that are of one class with another one: root is the class's least id.
 
-def _still_open(links: DataFrame, root: DataFrame) -> DataFrame:
-    at = lambda name, as_: root.select(F.col("node").alias(name), F.col("root").alias(as_))
-    open_ = links.join(at("x", "rx"), "x", "left").join(at("y", "ry"), "y", "left")
-    return open_.where("coalesce(rx, x) <> coalesce(ry, y)").select(links.columns)
+    First the links of forests within buckets are verified; then, in rounds, those between classes that are left, of
+    each row a bounded number at a time and more in the next round, until no row holds any back: then each pair that
+    shares a bucket, may be similar and may join two classes has been verified.
+    """
+    spark = docs.sparkSession
+    shared = stored(reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    bits = spark.sparkContext.broadcast(membership_filter(shared, "key", shared.count()))
 
+    def keep(bands: pa.Array) -> pa.Array:
+        keys = np.array(bands.to_pylist(), np.int64).reshape(-1, BANDS)
+        ok = passes(bits.value, keys.reshape(-1).view(np.uint64)).reshape(keys.shape)
+        return pa.array([k[o].tolist() for k, o in zip(keys, ok, strict=True)], pa.list_(pa.int64()))
 
-def _exact(rows: DataFrame, docs: DataFrame, root: DataFrame, linked: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
-    """root after all links between classes within buckets are verified; those of `tried` (x, y) were before.
+    met = reps.select(F.col("doc_id").alias("doc"), F.arrow_udf(keep, T.ArrayType(T.LongType()))(F.col("bands")).alias("keys"), "sig")
+    met = stored(met.where(F.size("keys") > 0), "met")
+    may = may_hold(spark, membership_filter(met.select(F.xxhash64("doc").alias("k")), "k", met.count()), F.xxhash64("doc_id"))
+    # Repeated rows of an id are one document: the greatest text stands for it.
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").where(may).groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = stored(texts.withColumnRenamed("doc_id", "doc"), "texts")
 
-    Every round proposes a bounded number of links a row, first those to rows with many verified links, and takes more
-    in the next one, until no row holds any back: then each link that may join two classes is verified.
-    """
+    heavy = stored(shared.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).alias("parts")), "heavy")
+    rows = met.select(F.explode("keys").alias("key"), "doc", "sig")
+    if heavy.isEmpty():
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    else:  # a large bucket is dealt in parts, anew in each band
+        rows = rows.join(heavy, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc", "key"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
+    found = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_forests, "x long, y long")
+    tried = stored(found.distinct(), "tried")
+    root = components(_verified(tried, texts, similarity))
     most = PARTNERS
     while True:
-        pair = [F.greatest("doc", "other").alias("x"), F.least("doc", "other").alias("y")]
-        found = stored(_across(rows, root, linked, most).select("doc", *pair, "s", "degree", "rest"), "across")
-        more = not found.where("rest").isEmpty()
-        fresh = stored(found.groupBy("doc", "x", "y").agg(F.max("s").alias("s"), F.max("degree").alias("degree")).join(tried, ["x", "y"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            first = cut(fresh.groupBy("doc").agg(F.max(F.struct("degree", "s", "x", "y")).alias("l")).select("l.x", "l.y").distinct())
-            sure = _verified(first, docs, similarity)
-            root = _merged(root, sure)
-            rest = cut(_still_open(fresh.select("x", "y").distinct().join(first, ["x", "y"], "left_anti"), root))
-            late = _verified(rest, docs, similarity)
-            if not late.isEmpty():
-                root = _merged(root, late)
-            linked, tried = cut(linked.unionByName(sure).unionByName(late)), cut(tried.unionByName(first).unionByName(rest))
+        state = met.join(root, F.col("doc") == F.col("node"), "left").select("doc", "keys", "sig", F.coalesce("root", "doc").alias("root"))
+        state = stored(state, "state")
+        proposed = _across(state, most)
+        if proposed is None:
+            return root
+        proposed = stored(proposed, "proposed")
+        more = not proposed.where("rest").isEmpty()
+        pair = proposed.select(F.greatest("doc", "other").alias("x"), F.least("doc", "other").alias("y"), F.least("rx", "ry").alias("ra"), F.greatest("rx", "ry").alias("rb"), F.lit(False).alias("old"))
+        none = F.lit(None).cast("long")
+        fresh = pair.unionByName(tried.select("x", "y", none.alias("ra"), none.alias("rb"), F.lit(True).alias("old")))
+        fresh = stored(fresh.groupBy("x", "y").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.max("old").alias("old")).where("NOT old").drop("old"), "fresh")
+        sure = _verified(fresh, texts, similarity)
+        if not sure.isEmpty():
+            top = components(sure.select(F.col("rb").alias("x"), F.col("ra").alias("y")))
+            ids = state.select("doc", "root").join(top.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left")
+            root = stored(ids.select(F.col("doc").alias("node"), F.coalesce("to", "root").alias("root")).where("node <> root"), "root")
+        forget(state)
+        forget(proposed)
         if not more:
             return root
-        most *= GROWTH
+        tried, most = tried.unionByName(fresh.select("x", "y")), most * GROWTH
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -371,38 +389,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     weighted by count; fewer than five words are one shingle) is at least `similarity`. A text without words is
     linked to none. Rows of the same doc_id are one document. A null doc_id has no class: class_id is null.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     signed = stored(docs.withColumn("s", F.arrow_udf(_sign, SIGNED)(F.col("text"))).select("doc_id", "s.*"), "signed")
     # Equal shingle sets are one class from the start; its least id stands for it.
     own = signed.where("doc_id IS NOT NULL AND a IS NOT NULL")
     reps = stored(own.groupBy("a", "b").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select("a", "b", "r.*"), "reps")
-    shared = stored(reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bands")
-    bits = spark.sparkContext.broadcast(membership_filter(shared, "key", shared.count()))
-
-    def keep(bands: pa.Array) -> pa.Array:
-        keys = np.array(bands.to_pylist(), np.int64).reshape(-1, BANDS)
-        ok = passes(bits.value, keys.reshape(-1).view(np.uint64)).reshape(keys.shape)
-        return pa.array([k[o].tolist() for k, o in zip(keys, ok, strict=True)], pa.list_(pa.int64()))
-
-    rows = reps.withColumn("key", F.explode(F.arrow_udf(keep, T.ArrayType(T.LongType()))(F.col("bands")))).select("key", F.col("doc_id").alias("doc"), "sig")
-    # A bucket of more than SHARE members is dealt over several tasks, anew in each band.
-    heavy = cut(shared.where(F.col("n") > SHARE).select("key", F.ceil(F.col("n") / SHARE).alias("shares")))
-    if heavy.isEmpty():
-        dealt = rows.withColumn("salt", F.lit(0).cast("long"))
-    else:
-        dealt = rows.join(heavy, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "key"), F.col("shares")), F.lit(0).cast("long"))).drop("shares")
-    found = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc").mapInArrow(_candidates, "x long, y long, s double")
-    links = stored(found.groupBy("x", "y").agg(F.max("s").alias("s")), "links")
-    # Each document's best link first; of the rest only those that could still join two classes.
-    first = cut(links.groupBy("x").agg(F.max_by("y", F.struct("s", -F.col("y"))).alias("y")))
-    sure = _verified(first, docs, similarity)
-    root = components(sure)
-    open_ = cut(_still_open(links.join(first, ["x", "y"], "left_anti").select("x", "y"), root))
-    more = _verified(open_, docs, similarity)
-    if not more.isEmpty():
-        root = _merged(root, more)
-    root = _exact(rows, docs, root, sure.unionByName(more), cut(first.unionByName(open_)), similarity)
+    root = _linked(docs, reps, similarity)
     top = reps.select("a", "b", F.col("doc_id").alias("rep")).join(root, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("root", "rep").alias("top"))
     out = signed.select("doc_id", "a", "b").join(top, ["a", "b"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("class_id"))
