@@ -19,9 +19,11 @@ BANDS, ROWS = 25, 5
 #: Pairs whose signatures agree less are not verified: over four standard deviations below 0.8.
 LEAST_AGREEMENT = 0.64
 #: Members of a bucket that are compared with each other at a time.
-CHUNK = 2048
+CHUNK = 1024
 #: Links that a row proposes to other classes of its bucket in the first exact round; later rounds take GROWTH times as many.
 PARTNERS, GROWTH = 8, 16
+#: What the hashes' first halves, by which blocks compare sets, may be wrong by; entries that are compared at a time.
+MARGIN, ENTRIES = 0.01, 1_000_000
 
 
 def shingles(words: list[bytes], codes: WordCodes, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,24 +184,82 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (above[both] / x[both] + below[both] / y[both])).sum())
 
 
-def _similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
+SET = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.BinaryType())])
+
+
+def _shingled(texts: pa.Array) -> pa.Array:
+    """Each text's shingles (8 bytes each, sorted) and their counts (4 bytes each; none if all are 1)."""
     codes, out = WordCodes(), []
-    for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True):
-        out.append(probability_jaccard(shingles(words_of(x), codes, SHINGLE), shingles(words_of(y), codes, SHINGLE)))
-    return pa.array(out, pa.float64())
+    for _, _, values in slices(texts):
+        for t in values:
+            words = words_of(t)
+            h, n = shingles(words, codes, SHINGLE) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            out.append({"h": h.tobytes(), "n": b"" if (n == 1).all() else n.astype(np.uint32).tobytes()})
+    return pa.array(out, pa.struct([("h", pa.binary()), ("n", pa.binary())]))
+
 
+def _weighted(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    elements = np.frombuffer(h, np.uint64)
+    return elements, np.frombuffer(n, np.uint32).astype(float) if n else np.ones(len(elements))
 
-def _verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The links (x, y, ...) whose texts are similar enough, stored.
 
-    Each end of a link fetches its text, and a link is a group of its two ends, so that a document with many links is
+def _similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
+    return pa.array([probability_jaccard(_weighted(**x), _weighted(**y)) for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.float64())
+
+
+class Sets:
+    """The shingle sets of a block's rows, end to end, with first halves of hashes as indices of a common table."""
+
+    def __init__(self, sets: list[dict]):
+        each = [_weighted(**x) for x in sets]
+        size = np.array([len(h) for h, _ in each])
+        values, self.codes = np.unique(np.concatenate([h >> np.uint64(32) for h, _ in each]).astype(np.uint32), return_inverse=True)
+        self.weights = np.concatenate([w for _, w in each])
+        self.size, self.start = size, np.cumsum(size) - size
+        self.total = np.array([w.sum() for _, w in each])
+        self.unit = bool((self.weights == 1).all())
+        self.table = np.zeros(len(values), np.uint8 if self.unit else float)
+
+    def bounds(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The probability Jaccard of row i and others, from above; exact where all counts are 1.
+
+        The sum over unshared elements is exact; over shared ones the greater of both sums stands for the sum of the greater.
+        """
+        own = slice(self.start[i], self.start[i] + self.size[i])
+        if self.unit:
+            self.table[self.codes[own]] = 1
+            both = np.add.reduceat(self.table[self.codes], self.start, dtype=np.int64)[others]
+            self.table[self.codes[own]] = 0
+            return both / (self.size[i] + self.size[others] - both)
+        self.table[self.codes[own]] = self.weights[own]
+        stops = np.searchsorted(np.cumsum(self.size[others]) // ENTRIES, np.arange(self.size[others].sum() // ENTRIES + 1), side="right")
+        parts = [self._bound(i, x) for x in np.split(others, stops[:-1]) if len(x)]
+        self.table[self.codes[own]] = 0
+        return np.concatenate(parts)
+
+    def _bound(self, i: int, others: np.ndarray) -> np.ndarray:
+        size = self.size[others]
+        of = np.repeat(np.arange(len(others)), size)
+        at = np.arange(len(of)) + np.repeat(self.start[others] - np.cumsum(size) + size, size)
+        x = self.table[self.codes[at]]
+        shared = x > 0
+        x, y, of = x[shared], self.weights[at[shared]], of[shared]
+        xs, ys = np.bincount(of, x, len(others)), np.bincount(of, y, len(others))
+        below = (self.total[i] - xs)[of] / x + (self.total[others] - ys)[of] / y + np.maximum(xs[of] / x, ys[of] / y)
+        return np.bincount(of, 1 / below, len(others))
+
+
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (x, y, ...) whose shingle sets are similar enough, stored.
+
+    Each end of a link fetches its set, and a link is a group of its two ends, so that a document with many links is
     no hot key; the join that fetches is of two stored tables, whose hot partitions Spark splits.
     """
     more = [c for c in links.columns if c not in ("x", "y")]
-    ends = links.withColumn("doc", F.explode(F.array("x", "y"))).join(texts, "doc")
-    end = lambda c: F.max(F.when(F.col("doc") == F.col(c), F.col("text")))
-    both = ends.groupBy("x", "y", *more).agg(end("x").alias("tx"), end("y").alias("ty"))
-    s = F.arrow_udf(_similar, T.DoubleType())(F.col("tx"), F.col("ty"))
+    ends = links.withColumn("doc", F.explode(F.array("x", "y"))).join(sets, "doc")
+    end = lambda c: F.max(F.when(F.col("doc") == F.col(c), F.col("set")))
+    both = ends.groupBy("x", "y", *more).agg(end("x").alias("sx"), end("y").alias("sy"))
+    s = F.arrow_udf(_similar, T.DoubleType())(F.col("sx"), F.col("sy"))
     return stored(both.select("x", "y", *more, s.alias("s")).where(F.col("s") >= similarity - 1e-12).drop("s"), "verified")
 
 
@@ -262,32 +322,39 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-PROPOSED = "doc long, other long, rx long, ry long, s double, rest boolean"
+PROPOSED = "doc long, other long, rx long, ry long, rest boolean"
 
 
-def _proposals(left: np.ndarray, right: np.ndarray, doc: np.ndarray, root: np.ndarray, sig: np.ndarray, most: int) -> Iterator[list[np.ndarray]]:
-    """Links of rows of left to rows of right in other classes: of each row all, or the `most` of greatest agreement.
+def _proposals(left: np.ndarray, right: np.ndarray, doc: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: Sets, most: int, least: float) -> Iterator[list[np.ndarray]]:
+    """Links of rows of left to rows of right in other classes that may be similar: of each row all, or `most`.
 
-    Where a row has more, rest is true in its links.
+    Pairs whose signatures or sets rule it out are settled here. A pair that shares several bands is compared in the
+    bucket of the first one alone. Where a row has more than `most`, rest is true in its links.
     """
-    m = sig.shape[1]
-    agree = _agreement(sig[left], sig[right])
-    may = (agree >= np.ceil(LEAST_AGREEMENT * m - 1e-9)) & (root[left][:, None] != root[right][None, :])
+    bands = sig.reshape(len(sig), -1, ROWS)
+    own = int((bands == bands[0]).all(axis=(0, 2)).argmax())  # the band whose bucket this is: all its rows agree there
+    agree = _agreement(sig[left], sig[right]) >= np.ceil(LEAST_AGREEMENT * sig.shape[1] - 1e-9)
+    may = agree & (root[left][:, None] != root[right][None, :])
     for i in np.flatnonzero(may.any(axis=1)).tolist():
-        at = np.flatnonzero(may[i])
+        at = right[may[i]]
+        at = at[~(bands[at, :own] == bands[left[i], :own]).all(axis=2).any(axis=1)]
+        if not len(at):
+            continue
+        bounds = sets.bounds(left[i], at)
+        at, bounds = at[bounds >= least], bounds[bounds >= least]
         rest = len(at) > most
         if rest:
-            at = at[np.argpartition(-agree[i, at].astype(np.int64), most)[:most]]
-        k = right[at]
-        yield [np.full(len(k), doc[left[i]]), doc[k], np.full(len(k), root[left[i]]), root[k], agree[i, at] / m, np.full(len(k), rest)]
+            at = at[np.argpartition(-bounds, most)[:most]]
+        if len(at):
+            yield [np.full(len(at), doc[left[i]]), doc[at], np.full(len(at), root[left[i]]), root[at], np.full(len(at), rest)]
 
 
-def _blocks(most: int):
+def _blocks(most: int, similarity: float):
     """Compares the rows of each block (key, a, b) of a partition that is sorted by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[list[np.ndarray]]:
-            for (_, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "sig")):
+            for (_, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "sig", "set")):
                 doc, root, part = (np.array(rows[c], np.int64) for c in ("doc", "root", "part"))
                 if a != b:
                     left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
@@ -295,14 +362,15 @@ def _blocks(most: int):
                     _, inverse, n = np.unique(root, return_inverse=True, return_counts=True)
                     left, right = np.flatnonzero(inverse != n.argmax()), np.arange(len(doc))
                 if len(left) and len(right):
-                    yield from _proposals(left, right, doc, root, np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(doc), -1), most)
+                    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(doc), -1)
+                    yield from _proposals(left, right, doc, root, sig, Sets(rows["set"]), most, similarity - MARGIN)
 
-        return _batches(found(), ["doc", "other", "rx", "ry", "s", "rest"])
+        return _batches(found(), ["doc", "other", "rx", "ry", "rest"])
 
     return run
 
 
-def _across(state: DataFrame, most: int) -> DataFrame | None:
+def _across(state: DataFrame, sets: DataFrame, most: int, similarity: float) -> DataFrame | None:
     """PROPOSED links between rows of state (doc, keys, sig, root) that share a bucket and are of different classes.
 
     Each pair of such rows is compared once in a bucket, whatever its size: buckets of more than CHUNK rows are cut into
@@ -315,14 +383,14 @@ def _across(state: DataFrame, most: int) -> DataFrame | None:
     if mixed.isEmpty():
         return None
     part = lambda n: F.ceil(n / F.lit(CHUNK))
-    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "sig").join(mixed, "key")
+    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "sig").join(mixed, "key").join(sets, "doc")
     met = rows.withColumns({"few": part(F.col("n") - F.col("n_most")), "many": part(F.col("n_most")), "h": F.xxhash64("doc", "key")})
     whole, most_ = F.col("n") <= CHUNK, F.col("root") == F.col("most")
     met = met.withColumn("part", F.when(whole, F.lit(0)).when(most_, F.col("few") + F.pmod("h", "many")).otherwise(F.pmod("h", "few")))
     last = F.when(whole, F.lit(0)).when(most_, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
     met = met.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "part", "sig")
-    return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_blocks(most), PROPOSED)
+    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "part", "sig", "set")
+    return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_blocks(most, similarity), PROPOSED)
 
 
 def _linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -346,7 +414,7 @@ def _linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     may = may_hold(spark, membership_filter(met.select(F.xxhash64("doc").alias("k")), "k", met.count()), F.xxhash64("doc_id"))
     # Repeated rows of an id are one document: the greatest text stands for it.
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").where(may).groupBy("doc_id").agg(F.max("text").alias("text"))
-    texts = stored(texts.withColumnRenamed("doc_id", "doc"), "texts")
+    sets = stored(texts.select(F.col("doc_id").alias("doc"), F.arrow_udf(_shingled, SET)(F.col("text")).alias("set")), "sets")
 
     heavy = stored(shared.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).alias("parts")), "heavy")
     rows = met.select(F.explode("keys").alias("key"), "doc", "sig")
@@ -355,31 +423,26 @@ def _linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     else:  # a large bucket is dealt in parts, anew in each band
         rows = rows.join(heavy, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc", "key"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
     found = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_forests, "x long, y long")
-    tried = stored(found.distinct(), "tried")
-    root = components(_verified(tried, texts, similarity))
+    root = components(_verified(stored(found.distinct(), "forests"), sets, similarity))
     most = PARTNERS
     while True:
         state = met.join(root, F.col("doc") == F.col("node"), "left").select("doc", "keys", "sig", F.coalesce("root", "doc").alias("root"))
         state = stored(state, "state")
-        proposed = _across(state, most)
+        proposed = _across(state, sets, most, similarity)
         if proposed is None:
             return root
-        proposed = stored(proposed, "proposed")
-        more = not proposed.where("rest").isEmpty()
-        pair = proposed.select(F.greatest("doc", "other").alias("x"), F.least("doc", "other").alias("y"), F.least("rx", "ry").alias("ra"), F.greatest("rx", "ry").alias("rb"), F.lit(False).alias("old"))
-        none = F.lit(None).cast("long")
-        fresh = pair.unionByName(tried.select("x", "y", none.alias("ra"), none.alias("rb"), F.lit(True).alias("old")))
-        fresh = stored(fresh.groupBy("x", "y").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.max("old").alias("old")).where("NOT old").drop("old"), "fresh")
-        sure = _verified(fresh, texts, similarity)
+        pair = proposed.groupBy(F.greatest("doc", "other").alias("x"), F.least("doc", "other").alias("y"))
+        fresh = stored(pair.agg(F.max(F.least("rx", "ry")).alias("ra"), F.max(F.greatest("rx", "ry")).alias("rb"), F.max("rest").alias("rest")), "fresh")
+        more = not fresh.where("rest").isEmpty()
+        sure = _verified(fresh.drop("rest"), sets, similarity)
         if not sure.isEmpty():
             top = components(sure.select(F.col("rb").alias("x"), F.col("ra").alias("y")))
             ids = state.select("doc", "root").join(top.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left")
             root = stored(ids.select(F.col("doc").alias("node"), F.coalesce("to", "root").alias("root")).where("node <> root"), "root")
         forget(state)
-        forget(proposed)
         if not more:
             return root
-        tried, most = tried.unionByName(fresh.select("x", "y")), most * GROWTH
+        most *= GROWTH
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -148,9 +148,20 @@ def test_star(spark):
 
 
 def test_classes_over_chunks(spark):
-    """Buckets of about 2500 rows: all are linked to one row of the first chunk, and to no other."""
+    """Buckets of about 1500 rows, over CHUNK: all are linked to one row of one part, and to no other."""
     base = " ".join(f"w{k}" for k in range(204))
-    docs = [(i, base + "".join(f" t{i}.{k}" for k in range(16 if i == 1500 else 29))) for i in range(5000)]
+    docs = [(i, base + "".join(f" t{i}.{k}" for k in range(16 if i == 900 else 29))) for i in range(3000)]
     got = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {c for _, c in brute_sets(docs)} == {0}
     assert [tuple(r) for r in got.where("class_id <> 0").collect()] == []
+
+
+def test_bounds():
+    rng = random.Random(9)
+    for unit in (True, False):
+        rows = [Counter({rng.randrange(40) << 32: 1 if unit else rng.randrange(1, 4) for _ in range(25)}) for _ in range(12)]
+        sets = neardup.Sets([{"h": np.array(sorted(r), np.uint64).tobytes(), "n": np.array([r[k] for k in sorted(r)], np.uint32).tobytes()} for r in rows])
+        for i, a in enumerate(rows):
+            got = sets.bounds(i, np.arange(12))
+            want = np.array([jaccard(a, b) for b in rows])
+            assert (got >= want - 1e-9).all() and (not unit or np.abs(got - want).max() < 1e-9)
