@@ -44,8 +44,10 @@ def line_vote(attempts: DataFrame) -> DataFrame:
     rows = attempts.select("voucher_id", "attempt", "confidence", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(F.trim("x") != "")
     other = rows.select("voucher_id", "line", F.col("attempt").alias("o"), F.col("x").alias("y"))
     pairs = rows.join(other, ["voucher_id", "line"]).where("attempt <> o")
-    known = pairs.where("x <> y").select("x", "y").distinct().withColumn("r", ratio(F.col("x"), F.col("y")))
-    like = pairs.join(known, ["x", "y"], "left").groupBy("voucher_id", "line", "attempt").agg(F.sum(F.coalesce("r", F.lit(1.0))).alias("like"))
+    # Equal lines are alike by 1 without a ratio: they get a key of their own, so that a usual line is no hot key.
+    pairs = pairs.withColumn("z", F.when(F.col("x") == F.col("y"), F.concat(F.lit("="), F.col("voucher_id").cast("string"))).otherwise(F.col("y")))
+    known = pairs.where("x <> y").select("x", F.col("y").alias("z")).distinct().withColumn("r", ratio(F.col("x"), F.col("z")))
+    like = pairs.join(known, ["x", "z"], "left").groupBy("voucher_id", "line", "attempt").agg(F.sum(F.coalesce("r", F.lit(1.0))).alias("like"))
     plain = F.length(F.regexp_replace("x", r"[^\x20-\x7E]", "")) / F.length("x")
     score = F.col("confidence") + F.least(F.length("x") / 2, F.lit(10)) + plain * 10 + 5 * F.coalesce("like", F.lit(0.0))
     best = rows.join(like, ["voucher_id", "line", "attempt"], "left").groupBy("voucher_id", "line").agg(F.max_by("x", F.struct(score, -F.col("attempt"))).alias("x"))

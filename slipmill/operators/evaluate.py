@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def in_training(key: Column, share: int = 80) -> Column:
-    """A fixed part of the keys, whatever the order of rows."""
-    return F.pmod(F.xxhash64(key), F.lit(100)) < share
+    """A fixed part of the keys, by an MD5 of them, whatever the order of rows."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 100 < share
 
 
 def text_accuracy(rows: DataFrame) -> DataFrame:
@@ -170,3 +170,48 @@ def improvement(before: DataFrame, after: DataFrame, least: int = 10) -> DataFra
 def improvement_summary(rows: DataFrame) -> DataFrame:
     """One row: fields, mean gain in percent, and the field that gained most (ties by name)."""
     return rows.agg(F.count("*").alias("n_fields"), F.bround(F.avg("percent"), 1).alias("mean_percent"), F.min_by("field", F.struct(-F.col("percent"), "field")).alias("best_field"))
+
+
+def error_tallies(rows: DataFrame) -> DataFrame:
+    """(error, n, share) over vouchers with structs `parsed` and `actual` (voucher_number, voucher_date, supplier_name,
+    gross_total): numbers missed and wrong, dates and suppliers missed, totals off by more than 10; shares are of all vouchers."""
+    p, a = (lambda f: F.col(f"parsed.{f}")), (lambda f: F.col(f"actual.{f}"))
+    missed = lambda f: a(f).isNotNull() & p(f).isNull()
+    errors = {
+        "voucher_number_missed": missed("voucher_number"), "voucher_number_wrong": p("voucher_number") != a("voucher_number"), "date_missed": missed("voucher_date"),
+        "supplier_missed": missed("supplier_name"), "total_wrong": F.abs(p("gross_total") - a("gross_total")) > 10,
+    }
+    counts = rows.agg(F.count("*").alias("all"), *[F.count_if(c).alias(e) for e, c in errors.items()])
+    return counts.select("all", F.inline(F.array(*[F.struct(F.lit(e).alias("error"), F.col(e).alias("n")) for e in errors]))).select("error", "n", F.try_divide("n", "all").alias("share"))
+
+
+def mean_confidence(tokens: DataFrame) -> DataFrame:
+    """(voucher_id, confidence): the mean of a reader's token confidences above 0, with two decimals; 0 without any."""
+    return tokens.groupBy("voucher_id").agg(F.coalesce(F.bround(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), 2), F.lit(0.0)).alias("confidence"))
+
+
+def image_quality(metrics: DataFrame) -> DataFrame:
+    """metrics (brightness, contrast, sharpness, noise_level, skew_angle, width) with their score from 0 to 100, and the
+    reading modes to try in order: few for a score of 70 or more, other ones from 40 on, and the strongest first below."""
+    lost = (
+        (~F.col("brightness").between(80, 220), 15), (F.col("contrast") < 30, 20), (F.col("sharpness") < 20, 15),
+        (F.col("noise_level") > 30, 20), (F.abs("skew_angle") > 2, 10), (F.col("width") < 1000, 10),
+    )
+    score = F.greatest(F.lit(0.0), 100.0 - sum((F.when(bad, n).otherwise(0) for bad, n in lost), F.lit(0)))
+    modes = lambda *m: F.array(*map(F.lit, m))
+    chosen = F.when(F.col("score") >= 70, modes("optimal", "enhanced", "simple")).when(F.col("score") >= 40, modes("optimal", "aggressive", "enhanced", "experimental")).otherwise(modes("aggressive", "experimental", "optimal", "enhanced"))
+    return metrics.withColumn("score", score.cast("double")).withColumn("modes", chosen)
+
+
+def failing_examples(vouchers: DataFrame, fields: tuple[str, ...], most: int = 100, snippet: int = 500) -> DataFrame:
+    """(voucher_id, snippet) of at most `most` vouchers that miss a field, the least ids first."""
+    return failed(vouchers, fields).orderBy("voucher_id").limit(most).select("voucher_id", F.substring("raw_ocr_text", 1, snippet).alias("snippet"))
+
+
+def issue_report(vouchers: DataFrame) -> DataFrame:
+    """(outcome, n) over vouchers (raw_ocr_text, supplier_name, vendor_details): each of a supplier's issues, its length
+    if that is unusual, or ok."""
+    issues = supplier_issues(F.col("raw_ocr_text"), F.col("supplier_name"), F.col("vendor_details"))
+    length = supplier_length(F.col("supplier_name"))
+    every = F.concat(issues, F.when(length != "ok", F.array(F.concat(F.lit("length_"), length))).otherwise(F.array()))
+    return vouchers.select(F.explode(F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("ok")))).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))

@@ -57,14 +57,29 @@ def substitutions(diffs: DataFrame) -> DataFrame:
     return blocks.groupBy("bad", "good").agg(F.sum("w").alias("n"), F.min("first_seen").alias("first_seen"))
 
 
-def apply_substitutions(rows: DataFrame, model: DataFrame, column: str, least: float = 0.8, uses: int = 2, most: int = 10_000) -> DataFrame:
+def apply_substitutions(rows: DataFrame, model: DataFrame, column: str, least: float = 0.8, uses: int = 2, longest: int = 4) -> DataFrame:
     """rows with learned substitutions folded over a text column, in the order in which they were first seen.
 
-    The model is one row of at most `most` substitutions, the most frequent ones of those that qualify.
+    Each distinct text meets those of its stretches (of `longest` characters at most, as substitutions() makes them) that
+    the model knows, by a join; texts that change are looked up again, for stretches that only replacements make, until
+    none gets a new one. So no text is folded over more than its own substitutions, however large the model.
     """
-    sure = best(model, ["bad"], "good").join(model.groupBy("bad").agg(F.min("first_seen").alias("first_seen")), "bad").where((F.col("share") >= least) & (F.col("total") >= uses))
-    subs = sure.orderBy(F.col("total").desc(), "bad").limit(most).agg(F.array_sort(F.collect_list(F.struct("first_seen", "bad", "good"))).alias("_subs"))
-    return rows.join(F.broadcast(subs), how="left").withColumn(column, F.aggregate("_subs", F.col(column), lambda acc, s: F.replace(acc, s["bad"], s["good"]))).drop("_subs")
+    firsts = model.groupBy("bad").agg(F.min("first_seen").alias("first_seen"))
+    sure = best(model, ["bad"], "good").join(firsts, "bad").where((F.col("share") >= least) & (F.col("total") >= uses)).select("bad", "good", "first_seen")
+    fold = lambda text, subs: F.aggregate(subs, text, lambda acc, s: F.replace(acc, s["bad"], s["good"]))
+    stretch = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_now") - n + 1, F.lit(1))), lambda i: F.substring("_now", i, F.lit(n)))
+    none = F.array().cast("array<struct<first_seen:bigint,bad:string,good:string>>")
+    texts = rows.select(F.col(column).alias("_text")).where("_text IS NOT NULL").distinct().select("_text", F.col("_text").alias("_now"), none.alias("_subs"))
+    while True:
+        parts = texts.select("_text", F.explode(F.array_distinct(F.flatten(F.array(*[stretch(n) for n in range(1, longest + 1)])))).alias("bad"))
+        own = parts.join(sure, "bad").groupBy("_text").agg(F.collect_set(F.struct(F.col("first_seen").cast("long").alias("first_seen"), "bad", "good")).alias("_own"))
+        every = F.array_sort(F.array_union("_subs", F.coalesce("_own", none)))
+        step = texts.join(own, "_text", "left").select("_text", F.size("_subs").alias("_had"), every.alias("_subs")).withColumn("_now", fold(F.col("_text"), F.col("_subs")))
+        texts = step.persist()  # small: distinct texts of a field
+        if texts.where("size(_subs) > _had").isEmpty():
+            break
+        texts = texts.drop("_had")
+    return rows.join(texts.select(F.col("_text").alias(column), "_now"), column, "left").withColumn(column, F.coalesce("_now", column)).select(rows.columns)
 
 
 def anchor(text: Column, value: Column) -> Column:
@@ -98,8 +113,11 @@ def find_by_anchor(rows: DataFrame, model: DataFrame, field: str, least: float =
     at = own.select("voucher_id", "anchor", "n", k.alias("k"), F.posexplode("ln").alias("line", "x"), "ln").withColumn("w", F.split("x", r"\s+")).where("size(w) >= k")
     at = at.select("voucher_id", "anchor", "n", "k", "line", "w", F.get("ln", F.col("line") + 1).alias("below"), F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("p"))
     at = at.withColumn("window", F.lower(F.array_join(F.slice("w", F.col("p"), F.col("k")), " "))).withColumn("key", F.lower("anchor")).where(ratio_bound(F.col("key"), F.col("window")) > least)
-    pairs = at.select("key", "window").distinct().withColumn("ratio", ratio(F.col("key"), F.col("window"))).where(F.col("ratio") > least).select("key", "window")
-    hits = at.join(pairs, ["key", "window"])
+    # Equal words need no ratio: only others meet the distinct pairs, so that the usual label is no hot key of the join.
+    same = F.col("key") == F.col("window")
+    at = at.withColumn("other", F.when(same, F.concat(F.lit("="), F.col("voucher_id").cast("string"))).otherwise(F.col("window")))
+    pairs = at.where(~same).select("key", "window").distinct().withColumn("ratio", ratio(F.col("key"), F.col("window"))).where(F.col("ratio") > least).select("key", F.col("window").alias("other"), F.lit(True).alias("near"))
+    hits = at.join(pairs, ["key", "other"], "left").where(same | F.col("near"))
     rest = F.array_join(F.slice("w", F.col("p") + F.col("k"), F.greatest(F.size("w") - F.col("p") - F.col("k") + 1, F.lit(0))), " ")
     value = F.regexp_replace(F.coalesce(F.nullif(F.regexp_replace(rest, r"^[\s:\-=.]+", ""), F.lit("")), F.col("below")), r"\s{2,}[\s\S]*$", "")
     chosen = hits.withColumn("value", value).where("value IS NOT NULL").groupBy("voucher_id").agg(F.max_by(F.struct("value", "n"), F.struct("n", -F.col("line"), -F.col("p"))).alias("b"))
@@ -127,10 +145,11 @@ def calibration(predictions: DataFrame) -> DataFrame:
 
 
 def last_n(rows: DataFrame, n: int, by: str, *keys: str) -> DataFrame:
-    """The latest n rows of each key (of all without keys)."""
+    """The latest n rows of each key (of all without keys); ties by the other columns, so that reruns agree."""
+    order = [F.col(by).desc(), *[F.col(c).desc() for c, kind in rows.dtypes if c != by and not kind.startswith("map")]]
     if not keys:
-        return rows.orderBy(F.col(by).desc()).limit(n)
-    w = Window.partitionBy(*keys).orderBy(F.col(by).desc())
+        return rows.orderBy(*order).limit(n)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
@@ -191,3 +210,99 @@ def correct_lines(rows: DataFrame, model: DataFrame, column: str = "raw_ocr_text
     known = short.join(sure, "bad").groupBy("voucher_id").agg(F.map_from_entries(F.collect_set(F.struct("bad", "good"))).alias("_known"))
     fixed = F.array_join(F.transform(F.split(column, "\n"), lambda x: F.coalesce(F.try_element_at("_known", x), x)), "\n")
     return rows.join(known, "voucher_id", "left").withColumn(column, F.when(F.col("_known").isNull(), F.col(column)).otherwise(fixed)).drop("_known")
+
+
+def logged_diffs(pairs: DataFrame) -> DataFrame:
+    """(voucher_id, field, auto, corrected) where maps `original` and `corrected` both have a field and differ in it."""
+    both = F.array_intersect(F.map_keys("original"), F.map_keys("corrected"))
+    rows = F.transform(both, lambda f: F.struct(f.alias("field"), F.col("original")[f].alias("auto"), F.col("corrected")[f].alias("corrected")))
+    return pairs.select("voucher_id", F.inline(F.filter(rows, lambda r: ~r["auto"].eqNullSafe(r["corrected"]))))
+
+
+def item_counts(pairs: DataFrame) -> DataFrame:
+    """(voucher_id, original, corrected) of vouchers whose numbers of items differ."""
+    o, c = F.coalesce(F.size("original.items"), F.lit(0)), F.coalesce(F.size("corrected.items"), F.lit(0))
+    return pairs.select("voucher_id", o.cast("long").alias("original"), c.cast("long").alias("corrected")).where("original <> corrected")
+
+
+def deduction_examples(pairs: DataFrame, by_count: bool = False) -> DataFrame:
+    """(voucher_id, field, auto, corrected): each corrected deduction of a voucher whose deductions were changed, as a
+    positive example (auto is empty). With by_count only a changed number of deductions counts as a change."""
+    o, c = F.col("original.deductions"), F.col("corrected.deductions")
+    changed = F.coalesce(F.size(o), F.lit(0)) != F.coalesce(F.size(c), F.lit(0)) if by_count else ~o.eqNullSafe(c)
+    return pairs.where(changed).select("voucher_id", F.explode(c).alias("d")).select("voucher_id", F.concat(F.lit("deduction_"), "d.deduction_type").alias("field"), F.lit("").alias("auto"), F.col("d.amount").cast("string").alias("corrected"))
+
+
+def feedback_examples(log: DataFrame) -> DataFrame:
+    """(voucher_id, field, auto, corrected, raw_ocr_text, source) from a correction log: its header fields (a map
+    `corrections`), items (an array of field, original, corrected) and deductions (an array of type and amount)."""
+    row = lambda field, auto, corrected: F.struct(field.alias("field"), auto.alias("auto"), corrected.alias("corrected"))
+    heads = F.transform(F.map_entries("corrections"), lambda e: row(e["key"], e["value"]["original"], e["value"]["corrected"]))
+    items = F.transform("items", lambda i: row(F.concat(F.lit("item_"), i["field"]), i["original"], i["corrected"]))
+    less = F.transform("deductions", lambda d: row(F.concat(F.lit("deduction_"), d["deduction_type"]), F.lit(""), d["amount"].cast("string")))
+    every = F.flatten(F.array_compact(F.array(heads, items, less)))
+    return log.select("voucher_id", "raw_ocr_text", "source", F.inline(every)).select("voucher_id", "field", "auto", "corrected", "raw_ocr_text", "source")
+
+
+def train(examples: DataFrame) -> dict[str, DataFrame]:
+    """Model tables out of examples (voucher_id, field, auto, corrected, raw_ocr_text, supplier_name, source): values,
+    substitutions, anchors, and the number of examples by source. Examples without a supplier make no anchors."""
+    spotted = examples.where("coalesce(corrected, '') <> ''").withColumn("anchor", anchor(F.col("raw_ocr_text"), F.col("corrected")))
+    marks = spotted.where("anchor IS NOT NULL AND supplier_name IS NOT NULL").groupBy(F.upper(F.trim("supplier_name")).alias("supplier_key"), "field", "anchor").agg(F.count("*").alias("n"), F.min("voucher_id").alias("first_seen"))
+    return {"values": value_model(examples), "substitutions": substitutions(examples), "anchors": marks, "sources": examples.groupBy("source").agg(F.count("*").alias("n"))}
+
+
+def train_all(examples: DataFrame, boxes: DataFrame) -> dict[str, DataFrame]:
+    """All models out of one table of examples, with the context models and the crop model of annotated boxes."""
+    from slipmill.operators import context
+
+    more = {"patterns": pattern_model(examples), "contexts": context.context_model(examples), "suppliers": context.supplier_model(examples), "places": context.position_model(examples), "neighbours": context.neighbour_model(examples)}
+    return train(examples) | more | {"crops": crop_model(crop_examples(boxes))}
+
+
+def model_summary(models: dict[str, DataFrame]) -> DataFrame:
+    """(model, rows, samples) of count models: how many patterns each holds, and how many examples stand behind them."""
+    each = [m.agg(F.lit(name).alias("model"), F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("samples")) for name, m in models.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def reliable_patterns(model: DataFrame, least: float = 0.8, uses: int = 3, most: int = 10) -> DataFrame:
+    """The surest patterns of pattern_model: of confidence `least`, used `uses` times or more; ties by use, then by key."""
+    ok = model.where((F.col("confidence") >= least) & (F.col("total") >= uses))
+    return ok.orderBy(F.col("confidence").desc(), F.col("total").desc(), "key").limit(most)
+
+
+def outcomes(predictions: DataFrame) -> DataFrame:
+    """(field, right, wrong, accuracy) of predictions (field, predicted, actual)."""
+    same = F.col("predicted").eqNullSafe(F.col("actual"))
+    return predictions.groupBy("field").agg(F.count_if(same).alias("right"), F.count_if(~same).alias("wrong"), F.avg(same.cast("double")).alias("accuracy"))
+
+
+def wrong_predictions(predictions: DataFrame) -> DataFrame:
+    """Predictions that were wrong, as corrections (voucher_id, field, auto, corrected) to learn from."""
+    return predictions.where(~F.col("predicted").eqNullSafe(F.col("actual"))).select("voucher_id", "field", F.col("predicted").alias("auto"), F.col("actual").alias("corrected"))
+
+
+def dataset_stats(logs: DataFrame) -> DataFrame:
+    """(source, n, last_updated) of logs (source, timestamp)."""
+    return logs.groupBy("source").agg(F.count("*").alias("n"), F.max("timestamp").alias("last_updated"))
+
+
+def cleaned_annotations(boxes: DataFrame, least: int = 20) -> DataFrame:
+    """Annotations whose automatic box has both sides of at least `least`; a missing side counts as 0."""
+    side = lambda s: F.coalesce(F.floor(f"auto_crop.{s}"), F.lit(0)) >= least
+    return boxes.where(side("width") & side("height"))
+
+
+def cleaning_report(boxes: DataFrame, least: int = 20) -> DataFrame:
+    """One row: annotations, kept and removed ones."""
+    kept = cleaned_annotations(boxes, least).agg(F.count("*").alias("kept"))
+    return boxes.agg(F.count("*").alias("total")).join(F.broadcast(kept), how="cross").withColumn("removed", F.col("total") - F.col("kept"))
+
+
+def self_recovery(rows: DataFrame, field: str) -> DataFrame:
+    """One row: vouchers (voucher_id, raw_ocr_text, supplier_name, field) that gave an anchor, and of how many the
+    anchors find the field's value again in the same text."""
+    found = find_by_anchor(rows, anchors(rows, (field,)), field)
+    both = rows.where(anchor(F.col("raw_ocr_text"), F.col(field).cast("string")).isNotNull()).select("voucher_id", F.col(field).cast("string").alias("own")).join(found, "voucher_id", "left")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("value") == F.col("own")).alias("recovered"))

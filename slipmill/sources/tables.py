@@ -29,9 +29,9 @@ def mark_processed(manifest: DataFrame, vouchers: DataFrame) -> DataFrame:
 
 
 def read_feedback(spark: SparkSession, paths: list[str], limit: int | None = None) -> DataFrame:
-    """Correction logs; lines that aren't records go, the last `limit` by time stay."""
+    """Correction logs; lines that aren't records go, the last `limit` by time stay (ties by id)."""
     rows = spark.read.schema(FEEDBACK).option("mode", "DROPMALFORMED").json(paths).where("id IS NOT NULL")
-    return rows if limit is None else rows.orderBy(F.col("timestamp").desc()).limit(limit)
+    return rows if limit is None else rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit)
 
 
 def append_feedback(rows: DataFrame, path: str) -> None:
@@ -43,6 +43,11 @@ def read_crop_annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CROPS).option("mode", "DROPMALFORMED").json(path).where("id IS NOT NULL")
 
 
+def append_crop_annotations(rows: DataFrame, path: str) -> None:
+    """Appends annotations that have an id, a file name and the user's box; others are rejected."""
+    rows.dropna(subset=["id", "original_filename"]).where("user_crop IS NOT NULL").write.mode("append").json(path)
+
+
 def write_model(model: DataFrame, folder: str, version: str) -> None:
     """A model table as Parquet under its version; an existing version isn't overwritten."""
     model.write.parquet(f"{folder}/version={version}")

@@ -14,8 +14,12 @@ EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="slipmill-")
+    """A new folder in the place that driver and executors share; only a local session may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="slipmill-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

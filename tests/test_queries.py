@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from slipmill.plans import queries
+from slipmill.plans import queries, records  # noqa: F401  records adds its queries
 
-FAST = ["v2_fields", "v2_noisy_fields", "v2_items", "v2_deductions", "quality_fields", "quality_deductions", "supplier_spend", "receipts_published_twice", "batch_counters", "header_diffs", "best_values", "voted_attempts", "suggested_crops", "calibration", "streamed_counters", "clean_blanks", "v1_fields", "base_items", "region_deductions", "deduplicated_deductions", "compared_modes", "structure_quality", "neighbour_model", "fixed_names", "split_merged_dates", "corrected_lines", "suggested_sizes", "last_patterns", "recovered", "supplier_contexts", "validated_fields", "region_items", "backup_fields"]
+FAST = ["v2_fields", "v2_noisy_fields", "v2_items", "v2_deductions", "quality_fields", "quality_deductions", "supplier_spend", "receipts_published_twice", "batch_counters", "header_diffs", "best_values", "voted_attempts", "suggested_crops", "calibration", "streamed_counters", "clean_blanks", "v1_fields", "base_items", "region_deductions", "deduplicated_deductions", "compared_modes", "structure_quality", "neighbour_model", "fixed_names", "split_merged_dates", "corrected_lines", "suggested_sizes", "last_patterns", "recovered", "supplier_contexts", "validated_fields", "region_items", "backup_fields", "replaced_items", "reprocessed_batch", "shown_vouchers", "validated_totals", "kept_items", "deduction_examples", "feedback_examples", "image_quality", "cross_checked", "error_tallies", "duplicate_files", "last_feedback", "crop_annotations", "streamed_once", "text_quality", "applied_substitutions", "line_votes", "batch_vouchers"]
 
 
 def plain(v):
