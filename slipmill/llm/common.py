@@ -63,6 +63,16 @@ def forget(df: DataFrame) -> None:
     store.delete(where, True)
 
 
+def packed(columns: list[str]) -> Column:
+    """A user's columns as one struct, `user`: whatever their names are, they clash with none that an operator makes."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("user")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns of `user` again."""
+    return [F.col("user").getField(c).alias(c) for c in columns]
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes that stand for equal texts (with the length, over 128 bits)."""
     return [F.xxhash64(text, F.lit(1)), F.xxhash64(F.lit(2), text)]
@@ -143,6 +153,6 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id isn't in ids (one column, doc_id). Texts that a bounded filter clears aren't shuffled."""
     keyed = cut(ids.select("doc_id", F.xxhash64("doc_id").alias("_k")))
     may = may_hold(docs.sparkSession, membership_filter(keyed, "_k", keyed.count()), F.xxhash64("doc_id"))
-    split = docs.withColumn("_may", may)
+    rows = docs.select(packed(docs.columns), "doc_id", may.alias("may"))
     gone = keyed.select("doc_id").distinct()
-    return split.where("NOT _may").unionByName(split.where("_may").join(gone, "doc_id", "left_anti").select(split.columns)).drop("_may")
+    return rows.where("NOT may").unionByName(rows.where("may").join(gone, "doc_id", "left_anti").select(rows.columns)).select(*unpacked(docs.columns))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import MIX, slices, stored, text_key, utf8
+from slipmill.llm.common import MIX, packed, slices, stored, text_key, unpacked, utf8
 
 N = 10
 #: UTF-8 bytes of benchmark text in one broadcast set; a larger benchmark is scanned in blocks of about this size.
@@ -26,25 +27,27 @@ def grams_words(text: str | None) -> list[bytes]:
 
 
 class GramSet:
-    """The windows of a block of items: hash arrays by window length, and the exact words with the items that have them."""
+    """The windows of a block of items: sorted hashes by window length, each with its item and place, for verification.
+
+    It holds the items' words once (equal words are one object) and 16 bytes a window.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.codes: dict[bytes, int] = {}
-        self.items: dict[bytes, set[str]] = defaultdict(set)
-        lengths: dict[int, set[bytes]] = defaultdict(set)
-        for item, text in items:
-            words = grams_words(text)
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1) if size else ():
-                gram = b" ".join(words[i : i + size])
-                self.items[gram].add(item)
-                lengths[size].add(gram)
-            for w in words:
-                self.codes[w] = xxhash.xxh3_64_intdigest(w) | 1
-        self.hashes = {}
-        for size, grams in lengths.items():
-            codes = np.array([[self.codes[w] for w in g.split(b" ")] for g in grams], np.uint64)
-            self.hashes[size] = np.unique(self.rolled(codes.reshape(-1), size)[::size])
+        held: dict[bytes, bytes] = {}
+        self.ids = [item for item, _ in items]
+        self.words = [[held.setdefault(w, w) for w in grams_words(text)] for _, text in items]
+        self.codes = {w: xxhash.xxh3_64_intdigest(w) | 1 for w in held}
+        found: dict[int, list[tuple]] = defaultdict(list)
+        for k, words in enumerate(self.words):
+            if words:
+                size = min(n, len(words))
+                h = self.rolled(np.fromiter(map(self.codes.__getitem__, words), np.uint64, len(words)), size)
+                found[size].append((h, np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32)))
+        self.grams = {}
+        for size, parts in found.items():
+            h, item, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.grams[size] = h[order], item[order], at[order]
 
     @staticmethod
     def rolled(codes: np.ndarray, size: int) -> np.ndarray:
@@ -58,7 +61,7 @@ class GramSet:
     def find(self, words: list[bytes], ends: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """Verified windows in the words of several documents; ends has, for each word, where its document ends."""
         codes = np.fromiter((self.codes.get(w, 0) for w in words), np.uint64, len(words))
-        for size, known in self.hashes.items():
+        for size, (known, item, place) in self.grams.items():
             if len(codes) < size:
                 continue
             at = np.flatnonzero(codes[: len(codes) - size + 1])
@@ -66,12 +69,26 @@ class GramSet:
             if not len(at):
                 continue
             h = self.rolled(codes, size)[at]
-            i = np.searchsorted(known, h)
-            for p in at[known[np.minimum(i, len(known) - 1)] == h].tolist():
-                if found := self.items.get(b" ".join(words[p : p + size])):
+            low = np.searchsorted(known, h)
+            hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == h)
+            for p, a, b in zip(at[hit].tolist(), low[hit].tolist(), np.searchsorted(known, h[hit], side="right").tolist(), strict=True):
+                window = words[p : p + size]
+                found = {self.ids[k] for k, x in zip(item[a:b].tolist(), place[a:b].tolist(), strict=True) if self.words[k][x : x + size] == window}
+                if found:
                     yield p, p + size, found
 
 
+_HELD: dict[tuple[str, int], GramSet] = {}
+
+
+def _held(name: str, items: list, n: int) -> GramSet:
+    """The set of a broadcast block, made once in each worker process; only the last one is kept."""
+    if (name, n) not in _HELD:
+        _HELD.clear()
+        _HELD[name, n] = GramSet(items, n)
+    return _HELD[name, n]
+
+
 SCANNED = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -92,10 +109,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scanner(grams, n: int):
     """An Arrow function from texts to their scan results."""
+    name = uuid.uuid4().hex
 
     def scan(texts: pa.Array) -> pa.Array:
-        held = grams.value
-        known, out = GramSet(held, n) if isinstance(held, list) else held, []
+        known, out = _held(name, grams.value, n), []
         for _, _, values in slices(texts):
             each = [grams_words(t) for t in values]
             first = np.cumsum([0, *map(len, each)])
@@ -114,14 +131,14 @@ def _scanner(grams, n: int):
     return F.arrow_udf(scan, SCANNED)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """Broadcasts of bounded blocks of (item, text); one block unless the benchmark is large."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Callable]:
+    """The number of blocks of (item, text), each of about block_bytes, and a function that broadcasts one of them."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast([(r["item"], r["text"]) for r in dealt.where(F.col("block") == i).toLocalIterator()]) for i in range(n)]
+    return n, lambda i: sc.broadcast([(r["item"], r["text"]) for r in dealt.where(F.col("block") == i).toLocalIterator()])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -132,17 +149,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     each. An empty benchmark hits nothing. If the benchmark is larger than block_bytes, each block is broadcast and
     scanned in its own pass, and the passes are added up by text.
     """
-    base = docs.drop("scan")
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        return base.withColumn("scan", _scanner(blocks[0], n)(F.col("text")))
+    names = [c for c in docs.columns if c != "scan"]
+    n_blocks, block = _blocks(benchmark, block_bytes)
+    if n_blocks == 1:
+        return docs.select(*[F.col(f"`{c}`") for c in names], _scanner(block(0), n)(F.col("text")).alias("scan"))
     a, b = text_key(F.col("text"))
-    keyed = base.withColumns({"_a": a, "_b": b})
+    keyed = docs.select(packed(names), "text", a.alias("_a"), b.alias("_b"))
     texts = keyed.select("_a", "_b", "text").dropDuplicates(["_a", "_b"])
-    passes = [stored(texts.select("_a", "_b", _scanner(x, n)(F.col("text")).alias("s")), "scan") for x in blocks]
-    rows = passes[0]
-    for more in passes[1:]:
-        rows = rows.unionByName(more)
+    rows = None
+    for i in range(n_blocks):  # one block at a time is held by the driver and the workers
+        held = block(i)
+        found = stored(texts.select("_a", "_b", _scanner(held, n)(F.col("text")).alias("s")), "scan")
+        held.destroy()
+        rows = found if rows is None else rows.unionByName(found)
 
     def add(spans: pa.Array) -> pa.Array:
         own = [merged([(s["start"], s["end"]) for s in x or []]) for x in spans.to_pylist()]
@@ -152,7 +171,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     added = added.withColumn("sp", F.arrow_udf(add, SCANNED["spans"].dataType)("sp"))
     hit = F.aggregate("sp", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     added = added.select("_a", "_b", F.struct(F.col("n").alias("n_words"), hit.alias("n_hit"), F.col("sp").alias("spans"), F.col("it").alias("items")).alias("scan"))
-    return keyed.join(added, ["_a", "_b"]).drop("_a", "_b")
+    return keyed.join(added, ["_a", "_b"]).select(*unpacked(names), "scan")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
@@ -160,9 +179,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     Cut texts are their normalised words that are left, joined by blanks; clean texts stay as they are.
     """
-    found = scan(docs, benchmark, **options)
+    # A column of docs named scan goes along packed.
+    found = scan(docs.select(packed(docs.columns), "text"), benchmark, **options)
     if remove == "documents":
-        return found.where("scan.n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+        return found.where("scan.n_hit = 0").select(*unpacked(docs.columns))
 
     def left(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
@@ -175,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         return pa.array(out, pa.string())
 
     text = F.arrow_udf(left, T.StringType())(F.col("text"), F.col("scan.spans"))
-    return found.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn("cut", text).select(*[F.col("cut").alias(c) if c == "text" else F.col("user").getField(c).alias(c) for c in docs.columns])
 
 
 def items_digest(items: Column) -> Column:

@@ -8,11 +8,11 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import utf8
+from slipmill.llm.common import packed, unpacked, utf8
 
 #: Families of languages by their ISO 639-1 codes. A language that isn't here is a family of its own.
 FAMILIES = {
@@ -24,7 +24,7 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BUCKETS = 1 << 14
-#: The training sample: about this many documents of each language, chosen by a hash of the text.
+#: The training sample: at most this many distinct texts of each language, those of the least hashes.
 PER_LANGUAGE = 300
 EPOCHS, COST = 8, 4.0
 LETTER = re.compile(r"[^\W\d_]")
@@ -73,13 +73,22 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """About per_language rows (text, lang) of each language, in two passes without a shuffle of texts."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    spread = 1 << 20
-    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(spread, -(-per_language * spread // n))))]) if counts else None
-    if rate is None:
+    """per_language distinct texts of each language, or all if it has fewer: those of the least hashes.
+
+    Only hashes are counted: a text counts once however often it stands, so copies can't fill the sample, and each
+    language keeps a text. The hash below which about four times as many lie bounds what is ranked.
+    """
+    spread = 1 << 40
+    keyed = labelled.select("lang", F.pmod(F.xxhash64("text"), F.lit(spread)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not counts:
         return labelled.limit(0)
-    return labelled.where(F.pmod(F.xxhash64("text"), F.lit(spread)) < rate[F.col("lang")])
+    below = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(spread, -(-4 * per_language * spread // max(1, n)))))])
+    few = keyed.where(F.col("h") < below[F.col("lang")]).distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)
+    most = {r["lang"]: r["h"] for r in few.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    last = F.create_map(*[x for lang, h in most.items() for x in (F.lit(lang), F.lit(h))])
+    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(spread)) <= last[F.col("lang")])
+    return chosen.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("text", "lang")
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
@@ -161,8 +170,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             out.append({"lang_pred": lang, "score": score})
         return pa.array(out, pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
 
-    base = docs.drop("lang_pred", "score", "_p")
-    return base.withColumn("_p", F.arrow_udf(run, PREDICTED)(F.col("text"))).select(*[F.col(f"`{c}`") for c in base.columns], "_p.*")
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(packed(names), F.arrow_udf(run, PREDICTED)(F.col("text")).alias("predicted")).select(*unpacked(names), "predicted.*")
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -173,7 +182,9 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs whose language was found; those with `und` (no text, or no letter in it) go."""
-    return identify(docs).where("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Columns of docs go along packed, so that those named like a result stay.
+    rows = docs.select(packed(docs.columns), "doc_id", "text", "lang")
+    return identify(rows).where("lang_pred <> 'und'").select(*unpacked(docs.columns))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slipmill.llm.common import packed, unpacked
+
 #: The weights of the sources in their order, repeated; how often a source's words may be taken at most.
 WEIGHTS, MOST = (5, 2, 1), 3
 SEED = "mix-1"
@@ -61,23 +63,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     drawn alike. An empty table gives an empty one. Columns of docs named like these are replaced.
     """
     made = ("size", "source_size", "target", "rate", "copies")
-    base = docs.drop(*made)
-    sized = base.withColumn("size", word_count(F.col("text")))
+    names = [c for c in docs.columns if c not in made]
+    sized = docs.select(packed(names), "doc_id", "source", word_count(F.col("text")).alias("size"))
     per = source_targets(sized.select("source", "size"), weights, most)
     per = per.withColumnsRenamed({c: f"_mix_{c}" for c in per.columns})
     out = sized.join(per, F.col("source").eqNullSafe(F.col("_mix_source")))
     rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return out.select(
-        *[F.col(f"`{c}`") for c in base.columns], "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), rate.alias("rate"),
+        *unpacked(names), "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), rate.alias("rate"),
         (whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).alias("copies"),
     )
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as mix() says, with the columns of docs."""
-    mixed = mix(docs, **options).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: each document as often as mix() says, with the columns of docs, whatever their names and values."""
+    mixed = mix(docs.select(packed(docs.columns), "doc_id", "source", "text"), **options).where("copies > 0")
+    return mixed.select("user", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*unpacked(docs.columns))
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -8,17 +8,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipmill.llm.common import cut, text_key
+from slipmill.llm.common import cut, packed, stored, text_key, unpacked
 
 SHARDS, ROUNDS, SLACK, BUCKETS, SUB_ROWS = 24, 3, 0.02, 1024, 20_000
+#: Groups of more rows than SALT_ROWS are dealt over SALTS tasks.
+SALT_ROWS, SALTS = 200, 64
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and other short columns, with size, text_crc32 and the two halves of the text's key."""
+    """The user's columns but text, packed, with doc_id, size, text_crc32 and the two halves of the text's key."""
     a, b = text_key(F.col("text"))
     keep = [c for c in docs.columns if c not in ("text", "size", "text_crc32", "shard", "slot", "law", "grown_shard")]
     return docs.select(
-        *[F.col(f"`{c}`") for c in keep], (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        packed(keep), "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), a.alias("_a"), b.alias("_b"), F.col("text").isNotNull().alias("_linked"),
     )
 
@@ -26,7 +28,8 @@ def measured(docs: DataFrame) -> DataFrame:
 def propagate(rows: DataFrame, shards: int, rounds: int, slack: float) -> DataFrame:
     """rows with _shard, after each group's members were drawn to the shard that holds most of its bytes.
 
-    A round joins each document with its group's best shard, and admits moves into a shard up to its quota: what is
+    A round joins each document with its group's best shard (groups of one aren't among them; the rows of a group are
+    salted over tasks, and each of the small side's rows goes to all salts), and admits moves into a shard up to its quota: what is
     left of its capacity plus what wants to leave it. A group moves as one (by its hash); a group of more than an
     eighth of a shard moves document by document, so that it can fill a shard in part.
     """
@@ -37,7 +40,10 @@ def propagate(rows: DataFrame, shards: int, rounds: int, slack: float) -> DataFr
         group = per.groupBy("_a", "_b").agg(F.max_by("_shard", F.struct("w", -F.col("_shard"))).alias("best"), F.sum("w").alias("all"), F.sum("n").alias("n")).where("n > 1")
         total = rows.agg(F.sum("size")).first()[0] or 0
         capacity = (1 + slack) * total / shards
-        wanted = rows.join(group, ["_a", "_b"], "left")
+        salted = stored(group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > SALT_ROWS, SALTS - 1).otherwise(0)))), "groups")
+        large = stored(salted.where("_salt = 1").select("_a", "_b", F.lit(SALTS).alias("salts")), "large")
+        dealt = rows.join(large, ["_a", "_b"], "left").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_a", "size"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        wanted = dealt.join(salted, ["_a", "_b", "_salt"], "left").drop("_salt")
         flows = wanted.groupBy("_shard", "best").agg(F.sum("size").alias("bytes")).collect()  # shards x shards at most
         load, inflow, outflow = np.zeros(shards), np.zeros(shards), np.zeros(shards)
         for f in flows:
@@ -112,8 +118,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: fl
     offsets = rows.groupBy("_shard", "_sub").count().withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inner = F.row_number().over(Window.partitionBy("_shard", "_sub").orderBy("doc_id", "_a", "_b"))
     slot = (F.col("_from") + inner - 1).cast("long").alias("slot")
-    keep = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("_") and c not in ("size", "text_crc32")]
-    return rows.join(offsets, ["_shard", "_sub"]).select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), slot, F.lit(None).cast("int").alias("grown_shard"))
+    return rows.join(offsets, ["_shard", "_sub"]).select(*unpacked(rows.schema["user"].dataType.names), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), slot, F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_shard(spark, sf_dir: str) -> DataFrame:

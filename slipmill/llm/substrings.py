@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import MIX, WordCodes, cut, fold, may_hold, membership_filter, passes, slices, stored, utf8
+from slipmill.llm.common import MIX, WordCodes, cut, fold, may_hold, membership_filter, packed, passes, slices, stored, unpacked, utf8
 
 WINDOW = 50
 #: A suffix's prefix ends with the least-hashed gram of GRAM words in its first WINDOW words: SPREAD grams to choose from.
@@ -243,8 +243,8 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     A null text has no words; a null doc_id is larger than all others, and null ones don't repeat each other; rows
     of one doc_id don't either. Columns of docs with these names are replaced.
     """
-    base = docs.drop("n_words", "n_removed", "kept_sha256", "kept", "_doc", "_key", "_cut")
-    keyed = base.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": F.xxhash64("text", F.lit(7))})
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept")]
+    keyed = docs.select(packed(names), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64("text", F.lit(7)).alias("_key"))
     found = stored(repeats(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("text_key"), "text")), "repeats")
     ids = found.select(F.xxhash64("doc", "text_key").alias("k"))
     may = may_hold(docs.sparkSession, membership_filter(ids, "k", found.count()), F.xxhash64("_doc", "_key"))
@@ -252,7 +252,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     hit = split.where("_may").join(found.withColumnsRenamed({"doc": "_doc", "text_key": "_key"}), ["_doc", "_key"], "left")
     clean = split.where("NOT _may").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
     whole = hit.unionByName(clean).withColumn("_cut", _cutter(with_text)(F.col("text"), F.col("spans")))
-    return whole.select(*[F.col(f"`{c}`") for c in base.columns], "_cut.*")
+    return whole.select(*unpacked(names), "_cut.*")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slipmill.llm.common import packed, unpacked
+
 #: The vocabulary (ranks of a byte-level BPE) and the pre-token pattern that goes with it: fixed values.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -217,9 +219,9 @@ def count_edited(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             out.append(row | {"n_reencoded": tree.encoded, "n_chars_after": tree.length, "n_tokens_after": tree.total})
         return pa.array(out, pa.struct([(c, pa.int64()) for c in made]))
 
-    base = docs.drop(*made, "_c")
+    names = [c for c in docs.columns if c not in made]
     counted = F.arrow_udf(count, COUNTED)(F.col("text"), F.col("edits") if own else F.lit(None).cast("int"))
-    return base.withColumn("_c", counted).select(*[F.col(f"`{c}`") for c in base.columns], "_c.*")
+    return docs.select(packed(names), counted.alias("counted")).select(*unpacked(names), "counted.*")
 
 
 _HELD: dict[str, Counter] = {}

@@ -20,6 +20,8 @@ from slipmill.llm.common import cut, membership_filter, passes, shared_dir, utf8
 
 #: The smallest payload that is stored once; lines of a block; directory rows that one broadcast may hold.
 LEAST, LINES, DIRECTORY_ROWS = 100, 512, 500_000
+#: Index blocks, and so up to LINES times as many range reads, of a task.
+BLOCKS_A_TASK = 128
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -198,18 +200,20 @@ def look_up(wanted: DataFrame, directory: DataFrame, with_payload: bool = True,
     if not total:
         return spark.createDataFrame([], FOUND)
     pieces = -(-total // directory_rows)
+    # By the directory's size: keys are small, and merging them by size would leave all range reads to one task.
+    tasks = min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCKS_A_TASK)))
     dealt = directory if pieces == 1 else cut(directory.repartitionByRange(pieces, "first_surt", "first_id").withColumn("piece", F.spark_partition_id()))
     out = None
     for k in range(pieces):
         rows = (dealt if pieces == 1 else dealt.where(F.col("piece") == k)).toArrow().to_pylist()
         rows.sort(key=lambda r: (r["first_surt"], r["first_id"]))
         held = spark.sparkContext.broadcast([tuple(r[c] for c in ("first_surt", "first_id", "file", "offset", "length")) for r in rows])
-        found = _search(wanted, held, by_id, with_payload)
+        found = _search(wanted, held, by_id, with_payload, tasks)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(wanted: DataFrame, held, by_id: bool, with_payload: bool) -> DataFrame:
+def _search(wanted: DataFrame, held, by_id: bool, with_payload: bool, tasks: int) -> DataFrame:
     def blocks(surts: pa.Array, ids: pa.Array) -> pa.Array:
         firsts = [(s, i) for s, i, *_ in held.value]
         out = []
@@ -246,7 +250,7 @@ def _search(wanted: DataFrame, held, by_id: bool, with_payload: bool) -> DataFra
 
     n = F.arrow_udf(blocks, T.ArrayType(T.IntegerType()))(F.col("surt"), F.col("page_id"))
     placed = wanted.withColumn("block", F.explode(n))
-    return placed.repartition("block").sortWithinPartitions("block", "surt", "page_id").mapInArrow(fetch, FOUND)
+    return placed.repartition(tasks, "block").sortWithinPartitions("block", "surt", "page_id").mapInArrow(fetch, FOUND)
 
 
 def open_file(name: str):
