@@ -131,36 +131,60 @@ def _suffix_runs(bits, heavy_bits):
     return emit
 
 
-def deep_nodes(runs: list[list[bytes]], windows: list[int], depth: int = WINDOW) -> np.ndarray:
-    """For each suffix that begins one of a run's first windows, in order: the number of its node at `depth` words.
-
-    The suffixes are ranked by their first 1, 2, 4, ... words (prefix doubling), which sorts them as a suffix tree
-    does; suffixes of equal rank at `depth` are the leaves below one internal node of that depth or more.
+def deep_nodes(runs: list[list[bytes]], windows: list[int], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix that begins one of a run's first windows, in order: its deep node's number, and the node's depth.
+
+    The suffixes are sorted as the leaves of their suffix tree are, by prefix doubling: ranks by the first 1, 2, 4, ...
+    words, until all differ (a mark of its own ends each run). The ranks, from the longest down, also give the longest
+    common prefix of each two neighbours. A stretch of neighbours with `depth` words in common or more is the leaves below
+    one internal node; the least of their common prefixes is its depth. What its leaves have in common is a maximal
+    repeat: no word can follow all of them. A leaf that shares less with both neighbours is a node of its own, of depth 0.
     """
     code: dict[bytes, int] = {}
-    flat = np.fromiter((code.setdefault(w, len(code)) for r in runs for w in r), np.int64)
-    rank, size = flat, 1
-
-    def doubled(rank: np.ndarray, ahead: int) -> np.ndarray:
-        pair = rank * np.int64(len(flat) + len(code) + 1)
-        pair[: len(pair) - ahead] += rank[ahead:] + 1
-        return np.unique(pair, return_inverse=True)[1]
-
-    while 2 * size <= depth:
-        rank, size = doubled(rank, size), 2 * size
-    if size < depth:
-        rank = doubled(rank, depth - size)
-    begins = np.cumsum([0, *map(len, runs)])[:-1]
-    return rank[np.concatenate([np.arange(x, x + n) for x, n in zip(begins.tolist(), windows, strict=True)])]
-
-
-OWNED = "run_a long, run_b long, at long, windows long, owner long"
+    ends = np.cumsum([len(r) + 1 for r in runs])
+    flat = np.empty(int(ends[-1]), np.int64)
+    begins = ends - [len(r) + 1 for r in runs]
+    for k, (r, x) in enumerate(zip(runs, begins.tolist(), strict=True)):
+        flat[x : x + len(r)] = np.fromiter((code.setdefault(w, len(code)) for w in r), np.int64, len(r))
+        flat[x + len(r)] = -1 - k
+    ranks, size = [np.unique(flat, return_inverse=True)[1]], 1
+    while True:
+        rank = ranks[-1]
+        pair = rank * np.int64(len(flat) + 1)
+        pair[: len(pair) - size] += rank[size:] + 1
+        values, rank = np.unique(pair, return_inverse=True)
+        if len(values) == len(flat):
+            break
+        ranks.append(rank)
+        size *= 2
+    leaves = np.concatenate([np.arange(x, x + n) for x, n in zip(begins.tolist(), windows, strict=True)])
+    order = np.argsort(rank[leaves], kind="stable")
+    at = leaves[order]
+    i, j, common = at[:-1].copy(), at[1:].copy(), np.zeros(max(0, len(at) - 1), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        inside = (i < len(flat)) & (j < len(flat))
+        same = inside.copy()
+        same[inside] = ranks[k][i[inside]] == ranks[k][j[inside]]
+        step = same * (1 << k)
+        common, i, j = common + step, i + step, j + step
+    breaks = np.concatenate([[True], common < depth])
+    node = np.cumsum(breaks) - 1
+    least = np.full(int(node[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, node[1:][~breaks[1:]], common[~breaks[1:]])
+    least[least == np.iinfo(np.int64).max] = 0
+    out = np.empty(len(order), np.int64)
+    out[order] = node
+    return out, least[out]
+
+
+OWNED = "run_a long, run_b long, at long, windows long, owner long, depth long"
 
 
 def _build_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Subtrees of a partition that is sorted by prefix, a memory-sized group of prefixes at a time.
 
-    Yields each run's windows with the least document below their deep node, as stretches of one owner.
+    Yields each run's windows with the least document below their deep node, as stretches of one owner, with the depth
+    of the deepest of their nodes.
     """
     held: dict[tuple[int, int], list] = {}
     total, prefix = 0, None
@@ -169,7 +193,7 @@ def _build_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = list(held)
         words = [held[r][0].split() for r in runs]
         sizes = [held[r][1] for r in runs]
-        node = deep_nodes(words, sizes)
+        node, depth = deep_nodes(words, sizes)
         low = np.repeat(np.array([held[r][2] for r in runs], np.int64), sizes)
         owner = np.full(int(node.max()) + 1, LAST, np.int64)
         np.minimum.at(owner, node, low)
@@ -178,7 +202,7 @@ def _build_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])]))
         first = np.cumsum([0, *sizes])[:-1]
         keys = np.array(runs, np.int64)[run[begins]]
-        columns = keys[:, 0], keys[:, 1], begins - first[run[begins]], np.diff(np.append(begins, len(run))), owner[begins]
+        columns = keys[:, 0], keys[:, 1], begins - first[run[begins]], np.diff(np.append(begins, len(run))), owner[begins], np.maximum.reduceat(depth, begins)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [x.split()[0] for x in OWNED.split(", ")])
 
     for batch in batches:
@@ -198,7 +222,8 @@ def _build_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, text_key, spans): for each document with such windows, where windows begin that also begin in a document
-    with a smaller doc_id, as stretches (at, windows). These are the maximal repeats in the later documents."""
+    with a smaller doc_id, as stretches (at, windows, depth); depth is that of the deepest node, in words: the length of
+    the longest maximal repeat that begins in the stretch, as far as its run of windows goes."""
     spark = docs.sparkSession
     counted = docs.select("doc", "text").mapInArrow(_count_anchors, "anchor long, low long, high long, n long")
     shared = counted.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high")
@@ -210,7 +235,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     content = suffixes.where("words IS NOT NULL").select("prefix", "run_a", "run_b", "windows", "low", "words")
     owned = content.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_build_trees, OWNED)
     places = suffixes.select("run_a", "run_b", "doc", "text_key", "start").join(owned, ["run_a", "run_b"]).where("owner < doc")
-    return places.groupBy("doc", "text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("at"), "windows")).alias("spans"))
+    return places.groupBy("doc", "text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("at"), "windows", "depth")).alias("spans"))
 
 
 CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])

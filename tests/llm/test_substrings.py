@@ -67,5 +67,23 @@ def test_query(spark, sf):
 
 def test_node_depth():
     a, b = [b"x%d" % i for i in range(60)], [b"x%d" % i for i in range(55)] + [b"y"] * 5
-    n = substrings.deep_nodes([a, b], [11, 11]).tolist()
+    n = substrings.deep_nodes([a, b], [11, 11])[0].tolist()
     assert n[:6] == n[11:17] and not set(n[6:11]) & set(n[17:])
+
+
+def test_deep_nodes():
+    """Against all pairs of suffixes: who shares a node, and its depth (the least that its leaves have in common)."""
+    import numpy as np
+
+    rng = random.Random(8)
+    for depth in (2, 3, 5):
+        runs = [[rng.choice((b"a", b"b")) for _ in range(rng.randrange(depth, 14))] for _ in range(rng.randrange(1, 6))] + [[b"a"] * 30]
+        windows = [len(r) - depth + 1 for r in runs]
+        node, deep = substrings.deep_nodes(runs, windows, depth)
+        suffixes = [r[i:] for r, n in zip(runs, windows) for i in range(n)]
+        common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        for i, x in enumerate(suffixes):
+            same = [j for j, y in enumerate(suffixes) if j != i and common(x, y) >= depth]
+            assert same == [j for j in np.flatnonzero(node == node[i]).tolist() if j != i]
+            group = [i, *same]
+            assert deep[i] == (min(common(suffixes[a], suffixes[b]) for a in group for b in group if a != b) if same else 0)
