@@ -45,11 +45,23 @@ def _folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df, written once as Parquet in the shared folder; columns can be pruned when it is read. It goes when the driver ends."""
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy", batch_rows: int | None = None) -> DataFrame:
+    """df, written once as Parquet in the shared folder; columns can be pruned when it is read. It goes when the driver ends.
+
+    batch_rows bounds the Arrow batches of this one write, for functions over wide rows; the session's setting comes back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    usual = spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, str(min(batch_rows, int(usual)) if int(usual) > 0 else batch_rows))
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(BATCH_ROWS, usual)
     store, where = _folder(spark, path)
     store.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)

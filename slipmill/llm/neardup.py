@@ -22,6 +22,8 @@ LEAST_AGREEMENT = 0.64
 CHUNK = 1024
 #: Links that a row proposes to other classes of its bucket in the first exact round; later rounds take GROWTH times as many.
 PARTNERS, GROWTH = 8, 16
+#: Rows of an Arrow batch where rows hold whole shingle sets.
+WIDE_ROWS = 500
 #: What the hashes' first halves, by which blocks compare sets, may be wrong by; entries that are compared at a time.
 MARGIN, ENTRIES = 0.01, 1_000_000
 
@@ -130,6 +132,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], names: tupl
     """Groups of equal `by` of a partition that is sorted by it."""
     current, rows = None, {}
     for batch in batches:
+        # Columns become Python objects a batch at a time; batches are small where rows are wide.
         for key, row in zip(zip(*(batch[c].to_pylist() for c in by), strict=True), zip(*(batch[c].to_pylist() for c in names), strict=True), strict=True):
             if key != current:
                 if current is not None:
@@ -260,7 +263,7 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     end = lambda c: F.max(F.when(F.col("doc") == F.col(c), F.col("set")))
     both = ends.groupBy("x", "y", *more).agg(end("x").alias("sx"), end("y").alias("sy"))
     s = F.arrow_udf(_similar, T.DoubleType())(F.col("sx"), F.col("sy"))
-    return stored(both.select("x", "y", *more, s.alias("s")).where(F.col("s") >= similarity - 1e-12).drop("s"), "verified")
+    return stored(both.select("x", "y", *more, s.alias("s")).where(F.col("s") >= similarity - 1e-12).drop("s"), "verified", batch_rows=WIDE_ROWS)
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +417,7 @@ def _linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     may = may_hold(spark, membership_filter(met.select(F.xxhash64("doc").alias("k")), "k", met.count()), F.xxhash64("doc_id"))
     # Repeated rows of an id are one document: the greatest text stands for it.
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").where(may).groupBy("doc_id").agg(F.max("text").alias("text"))
-    sets = stored(texts.select(F.col("doc_id").alias("doc"), F.arrow_udf(_shingled, SET)(F.col("text")).alias("set")), "sets")
+    sets = stored(texts.select(F.col("doc_id").alias("doc"), F.arrow_udf(_shingled, SET)(F.col("text")).alias("set")), "sets", batch_rows=WIDE_ROWS)
 
     heavy = stored(shared.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).alias("parts")), "heavy")
     rows = met.select(F.explode("keys").alias("key"), "doc", "sig")
@@ -432,7 +435,7 @@ def _linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
         if proposed is None:
             return root
         pair = proposed.groupBy(F.greatest("doc", "other").alias("x"), F.least("doc", "other").alias("y"))
-        fresh = stored(pair.agg(F.max(F.least("rx", "ry")).alias("ra"), F.max(F.greatest("rx", "ry")).alias("rb"), F.max("rest").alias("rest")), "fresh")
+        fresh = stored(pair.agg(F.max(F.least("rx", "ry")).alias("ra"), F.max(F.greatest("rx", "ry")).alias("rb"), F.max("rest").alias("rest")), "fresh", batch_rows=WIDE_ROWS)
         more = not fresh.where("rest").isEmpty()
         sure = _verified(fresh.drop("rest"), sets, similarity)
         if not sure.isEmpty():
@@ -453,7 +456,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     linked to none. Rows of the same doc_id are one document. A null doc_id has no class: class_id is null.
     """
     docs = docs.select("doc_id", "text")
-    signed = stored(docs.withColumn("s", F.arrow_udf(_sign, SIGNED)(F.col("text"))).select("doc_id", "s.*"), "signed")
+    signed = stored(docs.withColumn("s", F.arrow_udf(_sign, SIGNED)(F.col("text"))).select("doc_id", "s.*"), "signed", batch_rows=4 * WIDE_ROWS)
     # Equal shingle sets are one class from the start; its least id stands for it.
     own = signed.where("doc_id IS NOT NULL AND a IS NOT NULL")
     reps = stored(own.groupBy("a", "b").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select("a", "b", "r.*"), "reps")
