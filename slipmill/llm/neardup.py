@@ -21,7 +21,7 @@ LEAST_AGREEMENT = 0.64
 #: Members of a bucket that are compared with each other at a time.
 CHUNK = 1024
 #: Links that a row proposes to other classes of its bucket in the first exact round; later rounds take GROWTH times as many.
-PARTNERS, GROWTH = 8, 16
+PARTNERS, GROWTH = 64, 16
 #: Rows of an Arrow batch where rows hold whole shingle sets.
 WIDE_ROWS = 500
 #: What the hashes' first halves, by which blocks compare sets, may be wrong by; entries that are compared at a time.
@@ -187,22 +187,22 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (above[both] / x[both] + below[both] / y[both])).sum())
 
 
-SET = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.BinaryType())])
+SET = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.BinaryType()), T.StructField("half", T.BinaryType())])
 
 
 def _shingled(texts: pa.Array) -> pa.Array:
-    """Each text's shingles (8 bytes each, sorted) and their counts (4 bytes each; none if all are 1)."""
+    """Each text's shingles (8 bytes each, sorted), their counts (4 bytes each; none if all are 1), and their first halves."""
     codes, out = WordCodes(), []
     for _, _, values in slices(texts):
         for t in values:
             words = words_of(t)
             h, n = shingles(words, codes, SHINGLE) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            out.append({"h": h.tobytes(), "n": b"" if (n == 1).all() else n.astype(np.uint32).tobytes()})
-    return pa.array(out, pa.struct([("h", pa.binary()), ("n", pa.binary())]))
+            out.append({"h": h.tobytes(), "n": b"" if (n == 1).all() else n.astype(np.uint32).tobytes(), "half": (h >> np.uint64(32)).astype(np.uint32).tobytes()})
+    return pa.array(out, pa.struct([("h", pa.binary()), ("n", pa.binary()), ("half", pa.binary())]))
 
 
-def _weighted(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    elements = np.frombuffer(h, np.uint64)
+def _weighted(h: bytes, n: bytes, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    elements = np.frombuffer(h, kind)
     return elements, np.frombuffer(n, np.uint32).astype(float) if n else np.ones(len(elements))
 
 
@@ -214,9 +214,9 @@ class Sets:
     """The shingle sets of a block's rows, end to end, with first halves of hashes as indices of a common table."""
 
     def __init__(self, sets: list[dict]):
-        each = [_weighted(**x) for x in sets]
+        each = [_weighted(x["half"], x["n"], np.uint32) for x in sets]
         size = np.array([len(h) for h, _ in each])
-        values, self.codes = np.unique(np.concatenate([h >> np.uint64(32) for h, _ in each]).astype(np.uint32), return_inverse=True)
+        values, self.codes = np.unique(np.concatenate([h for h, _ in each]), return_inverse=True)
         self.weights = np.concatenate([w for _, w in each])
         self.size, self.start = size, np.cumsum(size) - size
         self.total = np.array([w.sum() for _, w in each])
@@ -259,7 +259,7 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     no hot key; the join that fetches is of two stored tables, whose hot partitions Spark splits.
     """
     more = [c for c in links.columns if c not in ("x", "y")]
-    ends = links.withColumn("doc", F.explode(F.array("x", "y"))).join(sets, "doc")
+    ends = links.withColumn("doc", F.explode(F.array("x", "y"))).join(sets.select("doc", F.struct("set.h", "set.n").alias("set")), "doc")
     end = lambda c: F.max(F.when(F.col("doc") == F.col(c), F.col("set")))
     both = ends.groupBy("x", "y", *more).agg(end("x").alias("sx"), end("y").alias("sy"))
     s = F.arrow_udf(_similar, T.DoubleType())(F.col("sx"), F.col("sy"))
@@ -386,7 +386,7 @@ def _across(state: DataFrame, sets: DataFrame, most: int, similarity: float) ->
     if mixed.isEmpty():
         return None
     part = lambda n: F.ceil(n / F.lit(CHUNK))
-    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "sig").join(mixed, "key").join(sets, "doc")
+    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "sig").join(mixed, "key").join(sets.select("doc", F.struct("set.half", "set.n").alias("set")), "doc")
     met = rows.withColumns({"few": part(F.col("n") - F.col("n_most")), "many": part(F.col("n_most")), "h": F.xxhash64("doc", "key")})
     whole, most_ = F.col("n") <= CHUNK, F.col("root") == F.col("most")
     met = met.withColumn("part", F.when(whole, F.lit(0)).when(most_, F.col("few") + F.pmod("h", "many")).otherwise(F.pmod("h", "few")))

@@ -160,7 +160,7 @@ def test_bounds():
     rng = random.Random(9)
     for unit in (True, False):
         rows = [Counter({rng.randrange(40) << 32: 1 if unit else rng.randrange(1, 4) for _ in range(25)}) for _ in range(12)]
-        sets = neardup.Sets([{"h": np.array(sorted(r), np.uint64).tobytes(), "n": np.array([r[k] for k in sorted(r)], np.uint32).tobytes()} for r in rows])
+        sets = neardup.Sets([{"half": (np.array(sorted(r), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes(), "n": np.array([r[k] for k in sorted(r)], np.uint32).tobytes()} for r in rows])
         for i, a in enumerate(rows):
             got = sets.bounds(i, np.arange(12))
             want = np.array([jaccard(a, b) for b in rows])
