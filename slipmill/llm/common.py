@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import re
 import tempfile
 import uuid
@@ -75,6 +78,45 @@ def forget(df: DataFrame) -> None:
     store.delete(where, True)
 
 
+#: Bytes of an Arrow batch of whole texts; it is set where the session has Spark's own bound.
+BATCH_BYTES, SPARKS_BYTES, TEXT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "64MB", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, on both sides of the pipe; a bound that a user has set stays."""
+    if spark.conf.get(BATCH_BYTES, SPARKS_BYTES).upper() in (SPARKS_BYTES, "67108864B", "67108864"):
+        spark.conf.set(BATCH_BYTES, TEXT_BYTES)
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system: idle workers stay for a minute, and what they keep counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def lean(f):
+    """f, an Arrow function over columns or over batches, after which (over batches: at whose end) memory is given back."""
+
+    @functools.wraps(f)
+    def over_columns(*columns):
+        try:
+            return f(*columns)
+        finally:
+            give_back()
+
+    @functools.wraps(f)
+    def over_batches(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return over_batches if inspect.isgeneratorfunction(f) else over_columns
+
+
 def packed(columns: list[str]) -> Column:
     """A user's columns as one struct, `user`: whatever their names are, they clash with none that an operator makes."""
     return F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("user")
@@ -158,7 +200,7 @@ def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def may_hold(spark: SparkSession, words: np.ndarray, key: Column) -> Column:
     """passes() as a column over a column of 64-bit keys."""
     held = spark.sparkContext.broadcast(words)
-    return F.arrow_udf(lambda keys: pa.array(passes(held.value, keys.to_numpy().view(np.uint64))), T.BooleanType())(key)
+    return F.arrow_udf(lean(lambda keys: pa.array(passes(held.value, keys.to_numpy().view(np.uint64)))), T.BooleanType())(key)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import MIX, packed, slices, stored, text_key, unpacked, utf8
+from slipmill.llm.common import MIX, bound_batches, lean, packed, slices, stored, text_key, unpacked, utf8
 
 N = 10
 #: UTF-8 bytes of benchmark text in one broadcast set; a larger benchmark is scanned in blocks of about this size.
@@ -111,6 +111,7 @@ def _scanner(grams, n: int):
     """An Arrow function from texts to their scan results."""
     name = uuid.uuid4().hex
 
+    @lean
     def scan(texts: pa.Array) -> pa.Array:
         known, out = _held(name, grams.value, n), []
         for _, _, values in slices(texts):
@@ -149,6 +150,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     each. An empty benchmark hits nothing. If the benchmark is larger than block_bytes, each block is broadcast and
     scanned in its own pass, and the passes are added up by text.
     """
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "scan"]
     n_blocks, block = _blocks(benchmark, block_bytes)
     if n_blocks == 1:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import packed, unpacked, utf8
+from slipmill.llm.common import bound_batches, lean, packed, slices, unpacked, utf8
 
 #: Families of languages by their ISO 639-1 codes. A language that isn't here is a family of its own.
 FAMILIES = {
@@ -156,12 +156,14 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     A text that is null or has no letter, and any text if the model has no language, is `und` with score 0.
     Equal texts get equal results; margins of 0 go to the later name of a pair, equal scores to the first name.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(texts: pa.Array) -> pa.Array:
         m = held.value
         weights, out = m["weights"], []
-        for t in texts.to_pylist():
+        for t in (t for _, _, values in slices(texts) for t in values):
             if t is None or not m["families"] or not LETTER.search(t):
                 out.append({"lang_pred": "und", "score": 0.0})
                 continue

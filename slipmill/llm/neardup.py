@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import MIX, WordCodes, cut, fold, forget, may_hold, membership_filter, passes, slices, stored, utf8, without_ids
+from slipmill.llm.common import MIX, WordCodes, bound_batches, cut, fold, forget, lean, may_hold, membership_filter, passes, slices, stored, utf8, without_ids
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99995.
@@ -70,6 +70,7 @@ SIGNED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lo
 SIGNED_ARROW = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
+@lean
 def _sign(texts: pa.Array) -> pa.Array:
     codes, m, out = WordCodes(), BANDS * ROWS, []
     for a, b, values in slices(texts):
@@ -157,6 +158,7 @@ def _batches(found: Iterator[list[np.ndarray]], names: list[str], most: int = 20
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
 
+@lean
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first links (x > y) within the parts (key, part) of a partition that is sorted by them."""
 
@@ -169,7 +171,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     i, j = (doc[[x[k] for x in links]] for k in (0, 1))
                     yield [np.maximum(i, j), np.minimum(i, j)]
 
-    return _batches(found(), ["x", "y"])
+    yield from _batches(found(), ["x", "y"])
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -190,6 +192,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 SET = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.BinaryType()), T.StructField("half", T.BinaryType())])
 
 
+@lean
 def _shingled(texts: pa.Array) -> pa.Array:
     """Each text's shingles (8 bytes each, sorted), their counts (4 bytes each; none if all are 1), and their first halves."""
     codes, out = WordCodes(), []
@@ -206,6 +209,7 @@ def _weighted(h: bytes, n: bytes, kind: type = np.uint64) -> tuple[np.ndarray, n
     return elements, np.frombuffer(n, np.uint32).astype(float) if n else np.ones(len(elements))
 
 
+@lean
 def _similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
     return pa.array([probability_jaccard(_weighted(**x), _weighted(**y)) for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.float64())
 
@@ -355,6 +359,7 @@ def _proposals(left: np.ndarray, right: np.ndarray, doc: np.ndarray, root: np.nd
 def _blocks(most: int, similarity: float):
     """Compares the rows of each block (key, a, b) of a partition that is sorted by them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[list[np.ndarray]]:
             for (_, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "sig", "set")):
@@ -368,7 +373,7 @@ def _blocks(most: int, similarity: float):
                     sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(doc), -1)
                     yield from _proposals(left, right, doc, root, sig, Sets(rows["set"]), most, similarity - MARGIN)
 
-        return _batches(found(), ["doc", "other", "rx", "ry", "rest"])
+        yield from _batches(found(), ["doc", "other", "rx", "ry", "rest"])
 
     return run
 
@@ -407,6 +412,7 @@ def _linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     shared = stored(reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     bits = spark.sparkContext.broadcast(membership_filter(shared, "key", shared.count()))
 
+    @lean
     def keep(bands: pa.Array) -> pa.Array:
         keys = np.array(bands.to_pylist(), np.int64).reshape(-1, BANDS)
         ok = passes(bits.value, keys.reshape(-1).view(np.uint64)).reshape(keys.shape)
@@ -455,6 +461,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     weighted by count; fewer than five words are one shingle) is at least `similarity`. A text without words is
     linked to none. Rows of the same doc_id are one document. A null doc_id has no class: class_id is null.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stored(docs.withColumn("s", F.arrow_udf(_sign, SIGNED)(F.col("text"))).select("doc_id", "s.*"), "signed", batch_rows=4 * WIDE_ROWS)
     # Equal shingle sets are one class from the start; its least id stands for it.
