@@ -256,6 +256,12 @@ class Sets:
         return np.bincount(of, 1 / below, len(others))
 
 
+def _needed(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sets that a bounded filter over docs (doc) doesn't rule out: all that a join with docs needs, and few others."""
+    docs = docs.distinct()
+    return sets.where(may_hold(sets.sparkSession, membership_filter(docs.select(F.xxhash64("doc").alias("k")), "k", docs.count()), F.xxhash64("doc")))
+
+
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links (x, y, ...) whose shingle sets are similar enough, stored.
 
@@ -263,7 +269,8 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     no hot key; the join that fetches is of two stored tables, whose hot partitions Spark splits.
     """
     more = [c for c in links.columns if c not in ("x", "y")]
-    ends = links.withColumn("doc", F.explode(F.array("x", "y"))).join(sets.select("doc", F.struct("set.h", "set.n").alias("set")), "doc")
+    ends = links.withColumn("doc", F.explode(F.array("x", "y")))
+    ends = ends.join(_needed(sets, ends.select("doc")).select("doc", F.struct("set.h", "set.n").alias("set")), "doc")
     end = lambda c: F.max(F.when(F.col("doc") == F.col(c), F.col("set")))
     both = ends.groupBy("x", "y", *more).agg(end("x").alias("sx"), end("y").alias("sy"))
     s = F.arrow_udf(_similar, T.DoubleType())(F.col("sx"), F.col("sy"))
@@ -329,31 +336,70 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+MET = "key long, a long, b long, doc long, root long, part long, sig binary"
 PROPOSED = "doc long, other long, rx long, ry long, rest boolean"
 
 
-def _proposals(left: np.ndarray, right: np.ndarray, doc: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: Sets, most: int, least: float) -> Iterator[list[np.ndarray]]:
-    """Links of rows of left to rows of right in other classes that may be similar: of each row all, or `most`.
+def _sides(a: int, b: int, part: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block that are compared: each on the left with each on the right."""
+    if a != b:
+        return np.flatnonzero(part == a), np.flatnonzero(part == b)
+    # Members of the most frequent class needn't meet each other.
+    _, inverse, n = np.unique(root, return_inverse=True, return_counts=True)
+    return np.flatnonzero(inverse != n.argmax()), np.arange(len(root))
+
 
-    Pairs whose signatures or sets rule it out are settled here. A pair that shares several bands is compared in the
-    bucket of the first one alone. Where a row has more than `most`, rest is true in its links.
+def _partners(left: np.ndarray, right: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of left with those rows of right that are of other classes and whose signatures agree enough.
+
+    A pair that shares several bands is compared in the bucket of the first one alone.
     """
     bands = sig.reshape(len(sig), -1, ROWS)
-    own = int((bands == bands[0]).all(axis=(0, 2)).argmax())  # the band whose bucket this is: all its rows agree there
-    agree = _agreement(sig[left], sig[right]) >= np.ceil(LEAST_AGREEMENT * sig.shape[1] - 1e-9)
-    may = agree & (root[left][:, None] != root[right][None, :])
+    own = int((bands == bands[0]).all(axis=(0, 2)).argmax())  # at most the band whose bucket this is: all its rows agree there
+    may = _agreement(sig[left], sig[right]) >= np.ceil(LEAST_AGREEMENT * sig.shape[1] - 1e-9)
+    may &= root[left][:, None] != root[right][None, :]
     for i in np.flatnonzero(may.any(axis=1)).tolist():
         at = right[may[i]]
         at = at[~(bands[at, :own] == bands[left[i], :own]).all(axis=2).any(axis=1)]
-        if not len(at):
-            continue
-        bounds = sets.bounds(left[i], at)
+        if len(at):
+            yield int(left[i]), at
+
+
+@lean
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block (key, a, b) of a partition that is sorted by them: the rows that have a partner in it."""
+
+    def found() -> Iterator[list[pa.Array]]:
+        for (key, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "sig")):
+            root, part = (np.array(rows[c], np.int64) for c in ("root", "part"))
+            left, right = _sides(a, b, part, root)
+            if len(left) and len(right):
+                kept = np.zeros(len(root), bool)
+                for i, at in _partners(left, right, root, np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(root), -1)):
+                    kept[i] = kept[at] = True
+                own = np.flatnonzero(kept).tolist()
+                for k in range(0, len(own), 4 * WIDE_ROWS):
+                    some = own[k : k + 4 * WIDE_ROWS]
+                    yield [[x] * len(some) for x in (key, a, b)] + [[rows[c][i] for i in some] for c in ("doc", "root", "part", "sig")]
+
+    names = [x.split()[0] for x in MET.split(", ")]
+    for columns in found():
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if x == "sig" else pa.int64()) for c, x in zip(columns, names, strict=True)], names)
+
+
+def _proposals(left: np.ndarray, right: np.ndarray, doc: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: Sets, most: int, least: float) -> Iterator[list[np.ndarray]]:
+    """Links of rows of left to rows of right in other classes that may be similar: of each row all, or `most`.
+
+    Pairs whose signatures or sets rule it out are settled here. Where a row has more than `most`, rest is true in its links.
+    """
+    for i, at in _partners(left, right, root, sig):
+        bounds = sets.bounds(i, at)
         at, bounds = at[bounds >= least], bounds[bounds >= least]
         rest = len(at) > most
         if rest:
             at = at[np.argpartition(-bounds, most)[:most]]
         if len(at):
-            yield [np.full(len(at), doc[left[i]]), doc[at], np.full(len(at), root[left[i]]), root[at], np.full(len(at), rest)]
+            yield [np.full(len(at), doc[i]), doc[at], np.full(len(at), root[i]), root[at], np.full(len(at), rest)]
 
 
 def _blocks(most: int, similarity: float):
@@ -364,11 +410,7 @@ def _blocks(most: int, similarity: float):
         def found() -> Iterator[list[np.ndarray]]:
             for (_, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "sig", "set")):
                 doc, root, part = (np.array(rows[c], np.int64) for c in ("doc", "root", "part"))
-                if a != b:
-                    left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
-                else:  # members of the most frequent class needn't meet each other
-                    _, inverse, n = np.unique(root, return_inverse=True, return_counts=True)
-                    left, right = np.flatnonzero(inverse != n.argmax()), np.arange(len(doc))
+                left, right = _sides(a, b, part, root)
                 if len(left) and len(right):
                     sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(doc), -1)
                     yield from _proposals(left, right, doc, root, sig, Sets(rows["set"]), most, similarity - MARGIN)
@@ -383,7 +425,7 @@ def _across(state: DataFrame, sets: DataFrame, most: int, similarity: float) ->
 
     Each pair of such rows is compared once in a bucket, whatever its size: buckets of more than CHUNK rows are cut into
     parts, and each two parts are a block of their own, but for those within the most frequent class of the bucket.
-    None if no bucket holds two classes.
+    Signatures are compared first; only rows that have a partner then fetch their sets. None if no row has one.
     """
     sizes = state.select(F.explode("keys").alias("key"), "root").groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("classes > 1")
@@ -391,13 +433,18 @@ def _across(state: DataFrame, sets: DataFrame, most: int, similarity: float) ->
     if mixed.isEmpty():
         return None
     part = lambda n: F.ceil(n / F.lit(CHUNK))
-    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "sig").join(mixed, "key").join(sets.select("doc", F.struct("set.half", "set.n").alias("set")), "doc")
+    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "sig").join(mixed, "key")
     met = rows.withColumns({"few": part(F.col("n") - F.col("n_most")), "many": part(F.col("n_most")), "h": F.xxhash64("doc", "key")})
     whole, most_ = F.col("n") <= CHUNK, F.col("root") == F.col("most")
     met = met.withColumn("part", F.when(whole, F.lit(0)).when(most_, F.col("few") + F.pmod("h", "many")).otherwise(F.pmod("h", "few")))
     last = F.when(whole, F.lit(0)).when(most_, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
     met = met.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "part", "sig", "set")
+    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "part", "sig")
+    met = met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_open_rows, MET)
+    met = stored(met, "met", batch_rows=4 * WIDE_ROWS)
+    if met.isEmpty():
+        return None
+    met = met.join(_needed(sets, met.select("doc")).select("doc", F.struct("set.half", "set.n").alias("set")), "doc")
     return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_blocks(most, similarity), PROPOSED)
 
 
