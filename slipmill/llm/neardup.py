@@ -336,7 +336,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-MET = "key long, a long, b long, doc long, root long, part long, sig binary"
+MET = "key long, a long, b long, doc long, root long, part long, open long, sig binary"
 PROPOSED = "doc long, other long, rx long, ry long, rest boolean"
 
 
@@ -349,10 +349,10 @@ def _sides(a: int, b: int, part: np.ndarray, root: np.ndarray) -> tuple[np.ndarr
     return np.flatnonzero(inverse != n.argmax()), np.arange(len(root))
 
 
-def _partners(left: np.ndarray, right: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _partners(left: np.ndarray, right: np.ndarray, root: np.ndarray, open_: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of left with those rows of right that are of other classes and whose signatures agree enough.
 
-    A pair that shares several bands is compared in the bucket of the first one alone.
+    A pair that shares several bands is compared in the bucket of the first one alone; one of its rows must be open.
     """
     bands = sig.reshape(len(sig), -1, ROWS)
     own = int((bands == bands[0]).all(axis=(0, 2)).argmax())  # at most the band whose bucket this is: all its rows agree there
@@ -360,6 +360,7 @@ def _partners(left: np.ndarray, right: np.ndarray, root: np.ndarray, sig: np.nda
     may &= root[left][:, None] != root[right][None, :]
     for i in np.flatnonzero(may.any(axis=1)).tolist():
         at = right[may[i]]
+        at = at if open_[left[i]] else at[open_[at] > 0]
         at = at[~(bands[at, :own] == bands[left[i], :own]).all(axis=2).any(axis=1)]
         if len(at):
             yield int(left[i]), at
@@ -370,29 +371,29 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block (key, a, b) of a partition that is sorted by them: the rows that have a partner in it."""
 
     def found() -> Iterator[list[pa.Array]]:
-        for (key, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "sig")):
-            root, part = (np.array(rows[c], np.int64) for c in ("root", "part"))
+        for (key, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "open", "sig")):
+            root, part, open_ = (np.array(rows[c], np.int64) for c in ("root", "part", "open"))
             left, right = _sides(a, b, part, root)
             if len(left) and len(right):
                 kept = np.zeros(len(root), bool)
-                for i, at in _partners(left, right, root, np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(root), -1)):
+                for i, at in _partners(left, right, root, open_, np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(root), -1)):
                     kept[i] = kept[at] = True
                 own = np.flatnonzero(kept).tolist()
                 for k in range(0, len(own), 4 * WIDE_ROWS):
                     some = own[k : k + 4 * WIDE_ROWS]
-                    yield [[x] * len(some) for x in (key, a, b)] + [[rows[c][i] for i in some] for c in ("doc", "root", "part", "sig")]
+                    yield [[x] * len(some) for x in (key, a, b)] + [[rows[c][i] for i in some] for c in ("doc", "root", "part", "open", "sig")]
 
     names = [x.split()[0] for x in MET.split(", ")]
     for columns in found():
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if x == "sig" else pa.int64()) for c, x in zip(columns, names, strict=True)], names)
 
 
-def _proposals(left: np.ndarray, right: np.ndarray, doc: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: Sets, most: int, least: float) -> Iterator[list[np.ndarray]]:
+def _proposals(left: np.ndarray, right: np.ndarray, doc: np.ndarray, root: np.ndarray, open_: np.ndarray, sig: np.ndarray, sets: Sets, most: int, least: float) -> Iterator[list[np.ndarray]]:
     """Links of rows of left to rows of right in other classes that may be similar: of each row all, or `most`.
 
     Pairs whose signatures or sets rule it out are settled here. Where a row has more than `most`, rest is true in its links.
     """
-    for i, at in _partners(left, right, root, sig):
+    for i, at in _partners(left, right, root, open_, sig):
         bounds = sets.bounds(i, at)
         at, bounds = at[bounds >= least], bounds[bounds >= least]
         rest = len(at) > most
@@ -408,12 +409,12 @@ def _blocks(most: int, similarity: float):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[list[np.ndarray]]:
-            for (_, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "sig", "set")):
-                doc, root, part = (np.array(rows[c], np.int64) for c in ("doc", "root", "part"))
+            for (_, a, b), rows in _grouped(batches, ("key", "a", "b"), ("doc", "root", "part", "open", "sig", "set")):
+                doc, root, part, open_ = (np.array(rows[c], np.int64) for c in ("doc", "root", "part", "open"))
                 left, right = _sides(a, b, part, root)
                 if len(left) and len(right):
                     sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(doc), -1)
-                    yield from _proposals(left, right, doc, root, sig, Sets(rows["set"]), most, similarity - MARGIN)
+                    yield from _proposals(left, right, doc, root, open_, sig, Sets(rows["set"]), most, similarity - MARGIN)
 
         yield from _batches(found(), ["doc", "other", "rx", "ry", "rest"])
 
@@ -421,25 +422,25 @@ def _blocks(most: int, similarity: float):
 
 
 def _across(state: DataFrame, sets: DataFrame, most: int, similarity: float) -> DataFrame | None:
-    """PROPOSED links between rows of state (doc, keys, sig, root) that share a bucket and are of different classes.
+    """PROPOSED links between rows of state (doc, keys, sig, root, open) that share a bucket, are of different classes, and one is open.
 
     Each pair of such rows is compared once in a bucket, whatever its size: buckets of more than CHUNK rows are cut into
     parts, and each two parts are a block of their own, but for those within the most frequent class of the bucket.
     Signatures are compared first; only rows that have a partner then fetch their sets. None if no row has one.
     """
-    sizes = state.select(F.explode("keys").alias("key"), "root").groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("classes > 1")
+    sizes = state.select(F.explode("keys").alias("key"), "root", "open").groupBy("key", "root").agg(F.count("*").alias("n"), F.max("open").alias("open"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.max("open").alias("open")).where("classes > 1 AND open = 1")
     mixed = stored(mixed.select("key", "n", F.col("top.root").alias("most"), F.col("top.n").alias("n_most")), "mixed")
     if mixed.isEmpty():
         return None
     part = lambda n: F.ceil(n / F.lit(CHUNK))
-    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "sig").join(mixed, "key")
+    rows = state.select(F.explode("keys").alias("key"), "doc", "root", "open", "sig").join(mixed, "key")
     met = rows.withColumns({"few": part(F.col("n") - F.col("n_most")), "many": part(F.col("n_most")), "h": F.xxhash64("doc", "key")})
     whole, most_ = F.col("n") <= CHUNK, F.col("root") == F.col("most")
     met = met.withColumn("part", F.when(whole, F.lit(0)).when(most_, F.col("few") + F.pmod("h", "many")).otherwise(F.pmod("h", "few")))
     last = F.when(whole, F.lit(0)).when(most_, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
     met = met.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "part", "sig")
+    met = met.select("key", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "doc", "root", "part", "open", "sig")
     met = met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_open_rows, MET)
     met = stored(met, "met", batch_rows=4 * WIDE_ROWS)
     if met.isEmpty():
@@ -480,16 +481,19 @@ def _linked(docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
         rows = rows.join(heavy, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc", "key"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
     found = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_forests, "x long, y long")
     root = components(_verified(stored(found.distinct(), "forests"), sets, similarity))
-    most = PARTNERS
+    most, held = PARTNERS, None
     while True:
         state = met.join(root, F.col("doc") == F.col("node"), "left").select("doc", "keys", "sig", F.coalesce("root", "doc").alias("root"))
+        # All rows are open in the first round, then those of which links were held back.
+        state = state.withColumn("open", F.lit(1).cast("long")) if held is None else state.join(held, "doc", "left").withColumn("open", F.coalesce("open", F.lit(0).cast("long")))
         state = stored(state, "state")
         proposed = _across(state, sets, most, similarity)
         if proposed is None:
             return root
         pair = proposed.groupBy(F.greatest("doc", "other").alias("x"), F.least("doc", "other").alias("y"))
         fresh = stored(pair.agg(F.max(F.least("rx", "ry")).alias("ra"), F.max(F.greatest("rx", "ry")).alias("rb"), F.max("rest").alias("rest")), "fresh", batch_rows=WIDE_ROWS)
-        more = not fresh.where("rest").isEmpty()
+        held = fresh.where("rest").select(F.explode(F.array("x", "y")).alias("doc")).distinct().withColumn("open", F.lit(1).cast("long"))
+        more = not held.isEmpty()
         sure = _verified(fresh.drop("rest"), sets, similarity)
         if not sure.isEmpty():
             top = components(sure.select(F.col("rb").alias("x"), F.col("ra").alias("y")))
