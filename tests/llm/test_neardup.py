@@ -61,6 +61,21 @@ def test_chunks(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs)
 
 
+def test_held_back(spark, monkeypatch):
+    """Links that a round holds back are found in later ones, which take only rows that have such links."""
+    monkeypatch.setattr(neardup, "PARTNERS", 1)
+    monkeypatch.setattr(neardup, "GROWTH", 2)
+
+    def none(batches):
+        for _ in batches:
+            yield from ()
+
+    monkeypatch.setattr(neardup, "_forests", none)  # all links are left to the rounds
+    docs = fixture()
+    got = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs)
+
+
 def test_keep_one(spark):
     docs = fixture()
     kept = neardup.keep_one(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, class_id string"))
