@@ -51,6 +51,11 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once and stands once in the expression, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def first(c: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null if nothing matches or the group is empty."""
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))

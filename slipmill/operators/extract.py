@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.functions.text import first, fix_global, lines, once
+from slipmill.functions.text import first, fix_global, let, lines, once
 from slipmill.functions.values import MONEY, calendar_date, compact_date, deduction_scale, repaired_item
 
 NUMBER_PATTERNS = (r"(?:voucher\s*number|vouchernumber|voucher\s*no)[\s:]*(\d{2,4})\b", r"(?:nu[a-z]*ber|no)[\s:]*(\d{2,4})\b", r"(?:number|num|#)[\s:]*(\d{2,4})\b")
@@ -181,24 +181,31 @@ def quality_strategies(t: Column, ln: Column, extended: bool = False) -> list[tu
     return found
 
 
-def candidates(docs: DataFrame, as_of: str = "2031-01-01", extended: bool = False) -> DataFrame:
-    """A row per voucher, field and strategy that found something: value, confidence, valid, errors.
-
-    as_of takes the place of today in the date rule. Null text has no candidate. No shuffle: rows are exploded.
-    """
+def tried(docs: DataFrame, as_of: str, extended: bool) -> DataFrame:
+    """docs with the text `_t`, its lines `_ln` and `_tried`: what each strategy that found something gave, with its
+    confidence, whether it is valid, and its errors."""
     from slipmill.operators.validate import adjusted_confidence, field_errors
 
     t, ln = F.col("_t"), F.col("_ln")
+    kept = docs.columns
     docs = once(docs.withColumn("_t", F.coalesce("raw_ocr_text", F.lit(""))), {"_ln": lines(t)})
-    tried = quality_strategies(t, ln, extended)
-    docs = once(docs, {f"_v{i}": value for i, (*_, value) in enumerate(tried)})
-    docs = once(docs, {f"_e{i}": field_errors(field, F.col(f"_v{i}"), as_of) for i, (field, *_) in enumerate(tried)})
+    strategies = quality_strategies(t, ln, extended)
+    docs = once(docs, {f"_v{i}": value for i, (*_, value) in enumerate(strategies)})
+    docs = once(docs, {f"_e{i}": field_errors(field, F.col(f"_v{i}"), as_of) for i, (field, *_) in enumerate(strategies)})
     made = []
-    for i, (field, strategy, base, _) in enumerate(tried):
+    for i, (field, strategy, base, _) in enumerate(strategies):
         value, errors = F.col(f"_v{i}"), F.col(f"_e{i}")
         row = F.struct(F.lit(field).alias("field"), F.lit(strategy).alias("strategy"), F.lit(i).alias("ord"), value.alias("value"), adjusted_confidence(field, F.lit(base), value, errors).alias("confidence"), (F.size(errors) == 0).alias("valid"), errors.alias("errors"))
         made.append(F.when(F.nullif(value, F.lit("")).isNotNull(), row))
-    return docs.select("voucher_id", F.inline(F.array_compact(F.array(*made))))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], "_t", "_ln", F.array_compact(F.array(*made)).alias("_tried"))
+
+
+def candidates(docs: DataFrame, as_of: str = "2031-01-01", extended: bool = False) -> DataFrame:
+    """A row per voucher, field and strategy that found something: value, confidence, valid, errors.
+
+    as_of takes the place of today in the date rule. Null text has no candidate. No shuffle: rows are exploded.
+    """
+    return tried(docs, as_of, extended).select("voucher_id", F.inline("_tried"))
 
 
 def best_candidates(found: DataFrame) -> DataFrame:
@@ -210,38 +217,195 @@ def best_candidates(found: DataFrame) -> DataFrame:
     return best.select("voucher_id", "field", "b.*", "n_attempts").withColumn("status", status(F.col("valid"), F.col("confidence")))
 
 
+# What begins and ends the items' table, what isn't an item, the forms of an item's line.
+TABLE_HEAD = r"(?i)(?:qty|quantity|qty|q)[\s\-._]*(?:price|pr|p)[\s\-._]*(?:amount|amt|amnt)"
+TABLE_END = r"(?i)^(?:\(\s*-\s*\)|comm|damage|less|unloading|lf|grand\s*total|deduction)|^(?:total|subtotal)\s*$"
+SUMMARY = r"(?i)^(?:total|subtotal|grand|sum)"
+NO_ITEM = r"(?i)^(?:total|date|voucher|supplier|qty|price|amount)"
+NAMED_ITEM = r"^(.*?)\s+(\d{1,4})\s+(\d{1,6}(?:\.\d{1,2})?)\s+(\d{1,7}(?:\.\d{1,2})?)$"
+REVERSED_ITEM = r"^(.*?)\s+(\d{1,7}(?:\.\d{1,2})?)\s+(\d{1,6}(?:\.\d{1,2})?)\s+(\d{1,4})$"
+NAMELESS_ITEM = r"^()(\d{1,4})\s+(\d{1,6}(?:\.\d{1,2})?)\s+(\d{1,7}(?:\.\d{1,2})?)$"
+ANY_ITEM = r"\b(\d{1,4})\s+(\d{1,6}(?:\.\d{1,2})?)\s+(\d{1,7}(?:\.\d{1,2})?)\b"
+
+
+def _without_marks(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^[^\w]*", "")
+
+
+def _item(name: Column, quantity: Column, price: Column, amount: Column) -> Column:
+    return F.struct(name.alias("item_name"), quantity.cast("decimal(10,2)").alias("quantity"), F.bround(price, 2).cast("decimal(10,2)").alias("unit_price"), F.bround(amount, 2).cast(MONEY).alias("line_amount"))
+
+
+def _amounts(x: Column, pattern: str, *groups: int) -> list[Column]:
+    return [first(x, pattern, g).try_cast("decimal(14,4)") for g in groups]
+
+
+def _table(ln: Column) -> Column:
+    """Where the items' table begins (`head`: the place of its heading, from 1, or 0) and how many lines it has (`n`).
+
+    It ends at the first deduction or bare total after a heading, else at the first line with fewer than two numbers.
+    Of several headings before that end the last one counts.
+    """
+    ends = lambda opened: F.transform(ln, lambda x, i: (i >= opened) & ~x.rlike(TABLE_HEAD) & x.rlike(TABLE_END))
+    bare = lambda x: (F.size(F.regexp_extract_all(x, F.lit(r"\d+(?:\.\d{2})?"), F.lit(0))) < 2) & ~x.rlike("(?i)(?:item|product|name)")
+    place = lambda flags: F.array_position(flags, True).cast("int")
+
+    def last_head(heads: Column, closed: Column) -> Column:
+        before = F.when(closed > 0, closed - 1).otherwise(F.size(ln))
+        return before + 1 - place(F.reverse(F.slice(heads, F.lit(1), before)))
+
+    def size(head: Column, closed: Column) -> Column:
+        runs_out = lambda rest: let(place(F.transform(rest, bare)), lambda p: F.when(p > 0, p - 1).otherwise(F.size(rest)))
+        return F.when(closed > 0, closed - 1 - head).otherwise(let(F.slice(ln, head + 1, F.size(ln)), runs_out))
+
+    def bounds(heads: Column, opened: Column) -> Column:
+        whole = lambda closed: let(last_head(heads, closed), lambda head: F.struct(head.alias("head"), size(head, closed).alias("n")))
+        return F.when(opened > 0, let(place(ends(opened)), whole)).otherwise(F.struct(F.lit(0).alias("head"), F.lit(0).alias("n")))
+
+    return let(F.transform(ln, lambda x: x.rlike(TABLE_HEAD)), lambda heads: let(place(heads), lambda opened: bounds(heads, opened)))
+
+
+def _table_item(x: Column, above: Column) -> Column:
+    """The item of a table's line: name, quantity, price and amount; the same reversed; or without a name."""
+
+    def fits(i: Column) -> Column:
+        off = F.abs(i["line_amount"] - i["quantity"] * i["unit_price"])
+        inside = i["quantity"].between(1, 10000) & (i["unit_price"] > 0) & (i["unit_price"] <= 100000) & (i["line_amount"] > 0) & (i["line_amount"] <= 1000000)
+        return inside & (off <= F.greatest(i["quantity"] * i["unit_price"] * F.expr("0.5BD"), F.lit(1)))
+
+    def named(c: Column) -> Column:
+        own = F.regexp_replace(_without_marks(F.trim(c)), r"(?i)\s*(?:qty|price|amount|total|\d+\.\d{2}).*$", "")
+        over = F.when(~above.rlike(r"\d{2,}") | above.rlike(r"^[A-Za-z\s]+$"), _without_marks(F.trim(above)))
+        return F.substring(F.regexp_replace(F.trim(F.coalesce(F.nullif(own, F.lit("")), over, F.lit(""))), r"\s+", " "), 1, 100)
+
+    def form(pattern: str, q: int, price: int, amount: int) -> Column:
+        said = F.struct(*[c.alias(name) for c, name in zip(_amounts(x, pattern, q, price, amount), ("q", "price", "amount"))])
+        name = F.lit("") if pattern == NAMELESS_ITEM else named(F.regexp_extract(x, pattern, 1))
+        close = lambda s: F.abs(s["amount"] - s["q"] * s["price"]) <= F.greatest(s["q"] * s["price"] * F.expr("0.3BD"), F.lit(10)) if pattern == REVERSED_ITEM else F.lit(True)
+        made = lambda s: F.when(close(s), let(_item(name, s["q"], *repaired_item(s["q"], s["price"], s["amount"])), lambda i: F.when(fits(i), i)))
+        return F.when(x.rlike(pattern), let(said, made))
+
+    return F.coalesce(form(NAMED_ITEM, 2, 3, 4), form(REVERSED_ITEM, 4, 3, 2), form(NAMELESS_ITEM, 2, 3, 4))
+
+
+def _loose_item(x: Column) -> Column:
+    """The first three numbers of a line of which the product is within 40 % of the third."""
+
+    def one(part: Column) -> Column:
+        at = F.concat(F.lit(r"^(.*?)\b"), part[0], F.lit(r"\s+"), F.replace(part[1], F.lit("."), F.lit(r"\.")))
+        number = lambda i: part[i].try_cast("decimal(14,4)")
+        return _item(_without_marks(F.trim(F.call_function("regexp_extract", x, at, F.lit(1)))), number(0), number(1), number(2))
+
+    def fits(i: Column) -> Column:
+        expected = i["quantity"] * i["unit_price"]
+        return (expected > 0) & (i["line_amount"] > 0) & i["line_amount"].between(expected * F.expr("0.6BD"), expected * F.expr("1.4BD"))
+
+    return _line(F.filter(F.transform(F.transform(F.regexp_extract_all(x, F.lit(ANY_ITEM), F.lit(0)), lambda w: F.split(w, r"\s+")), one), fits))
+
+
 def quality_items(ln: Column) -> Column:
-    """Relaxed item rule: any triple of which the product is within 40 % of the amount, after repair."""
+    """Items of the table, else of any line: name (the one above where a line has marks for it, else Item and its
+    place), quantity, price, amount. Null lines have none."""
 
-    def one(x: Column) -> Column:
-        q = first(x, ITEM, 1).cast("decimal(10,2)")
-        price, amount = repaired_item(q, first(x, ITEM, 2).cast("decimal(14,4)"), first(x, ITEM, 3).cast("decimal(14,4)"))
-        return F.struct(q.alias("quantity"), price.cast("decimal(10,2)").alias("unit_price"), amount.cast(MONEY).alias("line_amount"))
+    def numbered(found: Column) -> Column:
+        name = lambda i, k: F.coalesce(F.nullif(i["item_name"], F.lit("")), F.concat(F.lit("Item "), (k + 1).cast("string")))
+        return F.transform(F.filter(found, lambda i: i.isNotNull()), lambda i, k: F.struct(name(i, k).alias("item_name"), i["quantity"].alias("quantity"), i["unit_price"].alias("unit_price"), i["line_amount"].alias("line_amount")))
+
+    def from_table(ln: Column, at: Column) -> Column:
+        pairs = F.transform(F.slice(ln, at["head"] + 1, at["n"]), lambda x, k: F.struct(x.alias("line"), F.get(ln, at["head"] + k - 1).alias("above")))
+        return numbered(F.transform(F.filter(pairs, lambda p: ~p["line"].rlike(SUMMARY)), lambda p: _table_item(p["line"], p["above"])))
 
-    return F.filter(F.transform(F.filter(ln, lambda x: x.rlike(ITEM)), one), lambda i: F.abs(i["line_amount"] - i["quantity"] * i["unit_price"]) <= i["quantity"] * i["unit_price"] * 0.4)
+    loose = lambda ln: numbered(F.transform(F.filter(ln, lambda x: ~x.rlike(NO_ITEM)), _loose_item))
+    either = lambda ln: let(let(_table(ln), lambda at: from_table(ln, at)), lambda table: F.when(F.size(table) > 0, table).otherwise(loose(ln)))
+    return let(F.coalesce(ln, F.array().cast("array<string>")), either)
 
 
-#: Patterns, cap and typical range of each deduction.
+#: Of each deduction its cap, its typical range and its patterns in the order in which they are tried.
 QUALITY_DEDUCTIONS = (
-    ("Unloading", r"(?i)(?:unloading|unload|unld|unlod|unlodin)[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})", 200, 10, 150),
-    ("L/F Cash", r"(?i)(?:l[/\s]*f|lf|l\s*f|lfand|l\.f)[^\d\n]*(?:and)?[^\d\n]*(?:cash)?[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})", 500, 20, 400),
-    ("Commission", r"(?i)(?:comm|comission|commision|com)[^\d\n]*(?:@)?[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})\s*(?:%)?", 5000, 10, 1000),
-    ("Less for Damages", r"(?i)(?:less\s*for\s*damages|lessfordamages|damages|damage)[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})", 1000, 20, 500),
-)
+    ("Unloading", 200, 10, 150, (
+        r"(?:unloading|unload|unld|unlod|unlodin)[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+        r"(?:unloading|unload)[^\d\n]*\(?\s*-\s*\)?[^\d\n]*([\d,]+\.?\d{0,2})",
+    )),
+    ("L/F Cash", 500, 20, 400, (
+        r"(?:l[/\s]*f|lf|l\s*f|lfand|l\.f)[^\d\n]*(?:and)?[^\d\n]*(?:cash)?[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+        r"(?:lfandcash|lfcash|lf\s+cash)[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+        r"(?:cash)[^\d\n]*(?:lf)?[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+        r"\(\s*-\s*\)[^\d\n]*(?:l[/\s]*f|lf)[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+    )),
+    ("Commission", 5000, 10, 1000, (
+        r"(?:comm|comission|commision|com)[^\d\n]*(?:@)?[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})\s*(?:%)?",
+        r"(?:comm|comission)[^\d\n]*(?:@)?[^\d\n]*(?:4\.?\d*)?\s*(?:%)?[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+        r"\(\s*-\s*\)[^\d\n]*(?:comm|com)[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+    )),
+    ("Less for Damages", 1000, 20, 500, (
+        r"(?:less\s*for\s*damages|lessfordamages|damages|damage)[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+        r"(?:less\s*for)[^\d\n]*(?:damages)?[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+        r"\(\s*-\s*\)[^\d\n]*(?:damage|less)[^\d\n]*(-?\s*[\d,]+\.?\d{0,2})",
+    )),
+)
 
 
 def quality_deductions(t: Column, gross: Column) -> Column:
-    """The first amount in range of each type; commission (4 %) and damages (5 %) of gross where none was found."""
-    def in_range(kind: str, pattern: str, most: int, low: int, high: int) -> Column:
-        read = lambda x: F.bround(deduction_scale(F.regexp_replace(x, r"[,\-\s]", "").try_cast("decimal(14,4)"), kind), 2).cast(MONEY)
-        amounts = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: read(x))
-        return F.get(F.filter(amounts, lambda x: x.between(low, min(most, 2 * high))), F.lit(0))
+    """One deduction of each type, no amount read twice: of each pattern the first amount in range that no pattern
+    before it took, of each type its first pattern's; commission (4 %) and damages (5 %) of gross where none was found.
+
+    A percentage of a commission is taken of gross and named in the type; damages with one are 5 % of gross.
+    """
+    gross = F.when(gross > 0, gross)
+    share = lambda rate: F.bround(gross * rate, 2).cast(MONEY)
+
+    def read(rule: int, kind: str, most: int, low: int, high: int, pattern: str) -> Column:
+        def rated(said: Column, whole: Column) -> Column:
+            percent = (said < 100) & whole.contains("%") & gross.isNotNull() if kind in ("Commission", "Less for Damages") else F.lit(False)
+            rate = said / 100 if kind == "Commission" else F.expr("0.05BD")
+            name = F.when(percent, F.concat(F.lit("Commission @"), said.cast("int").cast("string"), F.lit("%"))).otherwise(kind) if kind == "Commission" else F.lit(kind)
+            return F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), name.alias("deduction_type"), said.alias("said"), F.when(percent, share(rate)).otherwise(said).alias("amount"))
+
+        number = lambda w: F.regexp_replace(F.regexp_extract(w, f"(?i){pattern}", 1), r"[,\-\s]", "").try_cast("decimal(14,4)")
+        scaled = lambda w: let(number(w), lambda n: F.bround(deduction_scale(n, kind), 2).cast(MONEY))
+        one = lambda w: let(scaled(w), lambda said: rated(said, w))
+        return F.filter(F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(f"(?i){pattern}"), F.lit(0)), one), lambda x: x["amount"].between(low, min(most, 2 * high)))
+
+    def without(clash):
+        """Of an array, each element that clashes with none kept before it."""
+        none = F.array().cast("array<struct<rule:int,kind:string,deduction_type:string,said:decimal(12,2),amount:decimal(12,2)>>")
+        return lambda found: F.aggregate(found, none, lambda acc, x: F.when(F.exists(acc, lambda a: clash(a, x)), acc).otherwise(F.concat(acc, F.array(x))))
 
+    rules = [(kind, *bounds, p) for kind, *bounds, patterns in QUALITY_DEDUCTIONS for p in patterns]
+    taken = without(lambda a, x: (a["rule"] == x["rule"]) | (a["said"] == x["said"]))(F.concat(*[read(i, *rule) for i, rule in enumerate(rules)]))
+    due = lambda kind, name, rate: F.struct(F.lit(len(rules)).alias("rule"), F.lit(kind).alias("kind"), F.lit(name).alias("deduction_type"), share(F.expr(rate)).alias("said"), share(F.expr(rate)).alias("amount"))
+    added = F.filter(F.array(due("Commission", "Commission @4%", "0.04BD"), due("Less for Damages", "Less for Damages", "0.05BD")), lambda x: x["amount"].isNotNull())
+    of_type = without(lambda a, x: a["kind"] == x["kind"])(F.concat(taken, added))
+    return F.transform(of_type, lambda x: F.struct(x["deduction_type"].alias("deduction_type"), x["amount"].alias("amount")))
+
+
+QUALITY_FIELDS = ("voucher_number", "voucher_date", "supplier_name", "gross_total", "net_total")
+
+
+def extract_quality(docs: DataFrame, as_of: str = "2031-01-01", extended: bool = False) -> DataFrame:
+    """docs (voucher_id, raw_ocr_text, ...) with all that profile quality gives: `fields` (of each field its value,
+    confidence, status, strategy, recommendation), `items`, `deductions`, `overall`, `requires_review`.
+
+    A net total above its gross total has failed. Null text has no field, no item and overall 0, and asks for no
+    review. In built-in expressions within the row; no shuffle.
+    """
+    from slipmill.operators.validate import recommendation, status
+
+    kept = [c for c in docs.columns if c not in ("fields", "items", "deductions", "overall", "requires_review")]
+    every = F.col("_tried")
+    best = lambda f: F.array_max(F.transform(F.filter(every, lambda x: x["field"] == f), lambda x: F.struct(x["valid"].cast("int").alias("valid"), x["confidence"].alias("confidence"), (-x["ord"]).alias("place"), x["value"].alias("value"), x["strategy"].alias("strategy"), x["errors"].alias("errors"))))
+    docs = once(tried(docs.select(*[F.col(f"`{c}`") for c in kept]), as_of, extended), {f"_b_{f}": best(f) for f in QUALITY_FIELDS})
+    amount = lambda f: F.col(f"_b_{f}.value").try_cast("decimal(14,2)")
+    above = F.coalesce((amount("net_total") > amount("gross_total")) & (amount("gross_total") != 0), F.lit(False))
     made = []
-    for kind, *rule in QUALITY_DEDUCTIONS:
-        found = in_range(kind, *rule)
-        share = {"Commission": "0.04BD", "Less for Damages": "0.05BD"}.get(kind)
-        name = F.when(found.isNotNull(), kind).otherwise("Commission @4%" if kind == "Commission" else kind)
-        amount = F.coalesce(found, F.bround(gross * F.expr(share), 2)) if share else found
-        made.append(F.when(amount.isNotNull(), F.struct(name.alias("deduction_type"), amount.cast(MONEY).alias("amount"))))
-    return F.array_compact(F.array(*made))
+    for f in QUALITY_FIELDS:
+        b = F.col(f"_b_{f}")
+        state, why = status(b["valid"] == 1, b["confidence"]), F.concat(F.lit("Validation failed: "), F.array_join(b["errors"], ", "), F.lit(". Manual review required."))
+        if f == "net_total":
+            state, why = F.when(above, "validation_failed").otherwise(state), F.when(above, "Net > Gross - verify deductions").otherwise(why)
+        made += [F.lit(f), F.struct(b["value"].alias("value"), F.coalesce(b["confidence"], F.lit(0)).alias("confidence"), state.alias("status"), b["strategy"].alias("strategy"), recommendation(state, why).alias("recommendation"))]
+    docs = once(docs, {"fields": F.create_map(*made), "items": quality_items(F.col("_ln")), "deductions": quality_deductions(F.col("_t"), amount("gross_total"))})
+    sure = F.filter(F.transform(F.map_values("fields"), lambda x: x["confidence"].cast("long")), lambda c: c > 0)
+    overall = F.when(F.size(sure) > 0, F.floor(F.aggregate(sure, F.lit(0).cast("long"), lambda a, c: a + c) / F.size(sure))).otherwise(0).cast("long")
+    review = F.exists(F.map_values("fields"), lambda x: x["status"].isin("medium", "low", "validation_failed"))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], "fields", "items", "deductions", overall.alias("overall"), review.alias("requires_review"))

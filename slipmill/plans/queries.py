@@ -84,6 +84,36 @@ def quality_items(spark, sf_dir):
     return v.select("voucher_id", F.size("i").cast("long").alias("n_items"), F.aggregate("i", F.lit(0).cast("decimal(12,2)"), lambda a, x: (a + x["line_amount"]).cast("decimal(12,2)")).alias("total"))
 
 
+_PLACED = f"SELECT *, row_number() OVER (PARTITION BY voucher_id ORDER BY line, part, supp) AS place FROM ({ITEMS})"
+
+
+@query(f"SELECT voucher_id, CASE WHEN voucher_id % 5 IN (1, 2) THEN 'Mango' WHEN voucher_id % 5 = 4 THEN CASE WHEN place = 1 THEN 'Qty Price Amount' ELSE 'Item ' || CAST(place AS VARCHAR) END ELSE 'Item ' || CAST(place AS VARCHAR) END AS item_name, CAST(quantity AS DECIMAL(10,2)) AS quantity, CAST(unit_price AS DECIMAL(10,2)) AS unit_price, line_amount FROM ({_PLACED})")
+def quality_item_forms(spark, sf_dir):
+    """Items without names, with names, reversed, without a heading, and with marks in place of a name."""
+    t, key = F.col("raw_ocr_text"), F.col("voucher_id") % 5
+    line = r"(?m)^(\d+) (\d+\.\d{2}) (\d+\.\d{2})$"
+    forms = F.when(key == 1, F.regexp_replace(t, line, "Mango $1 $2 $3")).when(key == 2, F.regexp_replace(t, line, "Mango $3 $2 $1")).when(key == 3, F.replace(t, F.lit("Qty Price Amount"), F.lit("Goods"))).when(key == 4, F.regexp_replace(t, line, "* $1 $2 $3")).otherwise(t)
+    return vo.rendered(spark, sf_dir).select("voucher_id", F.inline(extract.quality_items(text.lines(forms))))
+
+
+_CALLED = f"SELECT voucher_id, n_items, voucher_id % 4 AS form, CAST('9' || CAST({NET} AS VARCHAR) AS DECIMAL(14,2)) > 100000 AS too_large FROM ({HEADS})"
+
+
+@query(f"""SELECT voucher_id, CAST(CASE form WHEN 1 THEN 86 WHEN 2 THEN CASE WHEN too_large THEN 83 ELSE 91 END WHEN 3 THEN 84 ELSE 91 END AS BIGINT) AS overall, true AS requires_review,
+ CASE WHEN form = 1 THEN 'medium' ELSE 'high' END AS number_status, CASE WHEN form = 3 THEN 'medium' ELSE 'high' END AS supplier_status, CASE WHEN form = 2 THEN 'validation_failed' ELSE 'medium' END AS net_status,
+ CASE WHEN form = 2 THEN '[X] Validation failed: Net > Gross - verify deductions' ELSE '[WARN] Verify this field' END AS net_advice, n_items, CAST(4 AS BIGINT) AS n_deductions FROM ({_CALLED})""")
+def quality_vouchers(spark, sf_dir):
+    """All of profile quality in one call; by form a number without its label, a net total above gross, no supplier line."""
+    t, key = F.col("raw_ocr_text"), F.col("voucher_id") % 4
+    forms = F.when(key == 1, F.replace(t, F.lit("Voucher Number "), F.lit(""))).when(key == 2, F.replace(t, F.lit("Grand Total "), F.lit("Grand Total 9"))).when(key == 3, F.regexp_replace(t, r"(?m)^Supp Name .*\n", "")).otherwise(t)
+    v = extract.extract_quality(vo.rendered(spark, sf_dir).withColumn("raw_ocr_text", forms), extended=True)
+    of = lambda f, part: F.col("fields")[f][part]
+    return v.select(
+        "voucher_id", "overall", "requires_review", of("voucher_number", "status").alias("number_status"), of("supplier_name", "status").alias("supplier_status"), of("net_total", "status").alias("net_status"),
+        of("net_total", "recommendation").alias("net_advice"), F.size("items").cast("long").alias("n_items"), F.size("deductions").cast("long").alias("n_deductions"),
+    )
+
+
 # --- text and values -------------------------------------------------------------------------------------------
 
 
