@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,23 @@ def lean(f):
     return over_batches if inspect.isgeneratorfunction(f) else over_columns
 
 
+def ranked(df: DataFrame, group: str, order: list[str], name: str = "ranked") -> DataFrame:
+    """df, stored, with _pos, a row's place from 0 among those of its group in ascending order (nulls first), and _n, their number.
+
+    Range partitions are counted by group, and the counts before a partition are its offset: a group may span any number of
+    tasks, and none holds it whole. Rows equal in group and order are placed in any order, so that they should be alike.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    dealt = stored(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), name)
+    per = dealt.groupBy(F.col(group).alias("_of"), F.col("_part").alias("_in")).agg(F.min("_row").alias("_first"), F.count("*").alias("_c"))
+    whole = Window.partitionBy("_of")
+    before = whole.orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_of", "_in", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_c").over(whole).alias("_n"))
+    placed = dealt.join(per, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in")))
+    return placed.select(*df.columns, (F.col("_row") + F.col("_shift")).alias("_pos"), "_n")
+
+
 def packed(columns: list[str]) -> Column:
     """A user's columns as one struct, `user`: whatever their names are, they clash with none that an operator makes."""
     return F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("user")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slipmill.llm import decontaminate, langid, mixing, neardup, preference, sharding, substrings, tokens, transport, warc
+from slipmill.llm import decontaminate, langid, merkle, mixing, neardup, preference, sharding, substrings, tokens, transport, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_capture_index": warc.op9_capture_index,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
     def pipeline(spark, sf_dir):
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix_sources": mixing.SQL,
         "op9_capture_index": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
+        "op11_merkle_manifest": merkle.SQL,
     }
