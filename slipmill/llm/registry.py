@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slipmill.llm import decontaminate, langid, merkle, mixing, neardup, preference, sharding, substrings, tokens, transport, warc
+from slipmill.llm import decontaminate, langid, merkle, mixing, neardup, preference, sharding, substrings, tokens, topk, transport, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_capture_index": warc.op9_capture_index,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_exact_topk": topk.op12_exact_topk,
     }
 
     def pipeline(spark, sf_dir):
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_capture_index": warc.SQL,
         "op10_decontaminate": decontaminate.SQL,
         "op11_merkle_manifest": merkle.SQL,
+        "op12_exact_topk": topk.SQL,
     }
