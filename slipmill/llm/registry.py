@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slipmill.llm import decontaminate, langid, merkle, mixing, neardup, preference, sharding, substrings, tokens, topk, transport, warc
+from slipmill.llm import decontaminate, langid, merkle, mixing, neardup, preference, repair, sharding, substrings, tokens, topk, transport, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "op12_exact_topk": topk.op12_exact_topk,
+        "op13_repair_conversations": repair.op13_repair_conversations,
     }
 
     def pipeline(spark, sf_dir):
