@@ -22,7 +22,7 @@ WHOLE = (NOTHING, ASSISTANT)
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: Rows of a block whose transitions are tabled; rows of a segment that one task traces.
 BLOCK, SEGMENT_BITS = 3, 8
-FAR = 1 << 40
+FAR, BATCH_ROWS = 1 << 40, 2000
 
 
 def turn_after(state: int) -> int:
@@ -177,23 +177,40 @@ def as_symbols(faults: str) -> str:
     return "".join(DOUBLE.get(f, f) for f in faults)
 
 
+def with_next(batches, columns: tuple[str, ...]):
+    """Each row of the batches, and the one after it or None."""
+    held = None
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+            if held is not None:
+                yield held, row
+            held = row
+    if held is not None:
+        yield held, None
+
+
 @lean
 def ways(batches):
-    """Segments sorted by conversation, the last first; to each the ways through it from all four states.
+    """Segments sorted by conversation, the last first; to each the ways through it from all states it may begin in.
 
     What a conversation costs from a segment's end on is carried from the segments after it; nothing else is held.
     """
-    conv, ahead = (), END
-    for batch in batches:
-        made = []
-        for key, _, symbols, through_ in zip(*(batch[c].to_pylist() for c in ("conv", "seg", "symbols", "through")), strict=True):
-            last = (key,) != conv
-            if last:
-                conv, ahead = (key,), END
-            made.append([dict(zip(("edits", "cost", "to"), traced(as_symbols(symbols), ahead, s, last), strict=True)) if ahead_from(through_, ahead, s) < FAR else None for s in range(4)])
+    conv, ahead, made = (), END, []
+    kinds = pa.schema([("conv", pa.int64()), ("seg", pa.int64()), ("symbols", pa.string()), ("ways", pa.list_(pa.struct([("edits", pa.string()), ("cost", pa.int64()), ("to", pa.int64())])))])
+    for (key, seg, symbols, through_), after in with_next(batches, ("conv", "seg", "symbols", "through")):
+        last, first = (key,) != conv, after is None or after[0] != key
+        if last:
+            conv, ahead = (key,), END
+        starts = [NOTHING] if first else [s for s in range(4) if ahead_from(through_, ahead, s) < FAR]
+        found = {s: dict(zip(("edits", "cost", "to"), traced(as_symbols(symbols), ahead, s, last), strict=True)) for s in starts}
+        made.append({"conv": key, "seg": seg, "symbols": symbols, "ways": [found.get(s) for s in range(4)]})
+        if not first:
             ahead = tuple(ahead_from(through_, ahead, s) for s in range(4))
-        kind = pa.list_(pa.struct([("edits", pa.string()), ("cost", pa.int64()), ("to", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch["conv"], batch["seg"], batch["symbols"], pa.array(made, kind)], names=["conv", "seg", "symbols", "ways"])
+        if len(made) == BATCH_ROWS:
+            yield pa.RecordBatch.from_pylist(made, schema=kinds)
+            made = []
+    if made:
+        yield pa.RecordBatch.from_pylist(made, schema=kinds)
 
 
 def ahead_from(through_: list[int], ahead: tuple[int, ...], state: int) -> int:
@@ -350,6 +367,11 @@ def segments(turns: DataFrame) -> DataFrame:
     return marks.groupBy("conv", "seg").agg(F.concat_ws("", F.transform(letters, lambda x: x["letter"])).alias("symbols"))
 
 
+def tasks(df: DataFrame) -> int:
+    """As many tasks as a shuffle has: rows are few bytes here, so that adaptive execution would merge them into too few."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 WAYS = "array<struct<edits: string, cost: long, to: long>>"
 
 
@@ -360,7 +382,7 @@ def traces(parts: DataFrame) -> DataFrame:
     256 rows at a time and as some bytes a row: backward with the costs ahead, forward with the state that was reached.
     """
     crossed = parts.mapInArrow(crossings, "conv long, seg long, symbols string, through array<long>")
-    backward = crossed.repartition("conv").sortWithinPartitions("conv", F.col("seg").desc()).mapInArrow(ways, f"conv long, seg long, symbols string, ways {WAYS}")
+    backward = crossed.repartition(tasks(parts), "conv").sortWithinPartitions("conv", F.col("seg").desc()).mapInArrow(ways, f"conv long, seg long, symbols string, ways {WAYS}")
     return backward.sortWithinPartitions("conv", "seg").mapInArrow(chosen, "conv long, seg long, symbols string, edits string, cost long, start long")
 
 
