@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slipmill.sources.snapshots import Snapshots
+
 CHILDREN = {"items": ("item_name", "quantity", "unit_price", "line_amount"), "deductions": ("deduction_type", "amount")}
 HEADER = ("voucher_number", "voucher_date", "supplier_name", "vendor_details", "gross_total", "total_deductions", "net_total")
 
@@ -20,18 +22,27 @@ def voucher_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def write_vouchers(parsed: DataFrame, folder: str, mode: str = "append") -> None:
-    """Writes the three tables below a folder; what was extracted is computed once for all of them."""
+def write_vouchers(parsed: DataFrame, store: Snapshots, source: str | None = None, batch: int | None = None) -> int:
+    """Commits the three tables as one: each voucher takes the place of the one of its id, children too.
+
+    What was extracted is computed once for all three. A batch that a source has committed before changes nothing.
+    """
+    if source is not None and batch <= store.applied(source):
+        return store.manifest()["version"]
     held = parsed.persist()
     try:
-        for name, table in voucher_tables(held).items():
-            table.write.mode(mode).parquet(f"{folder}/{name}")
+        return store.commit(voucher_tables(held), source, batch)
     finally:
         held.unpersist()
 
 
-def read_vouchers(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("master", *CHILDREN)}
+def one_per_id(parsed: DataFrame) -> DataFrame:
+    """One row of each voucher_id, where some came twice: the latest by created_at if there is one, then the greatest text."""
+    order = [c for c in ("created_at", "raw_ocr_text") if c in parsed.columns]
+    if not order:
+        return parsed.dropDuplicates(["voucher_id"])
+    best = parsed.groupBy("voucher_id").agg(F.max_by(F.struct(*[c for c in parsed.columns if c != "voucher_id"]), F.struct(*order)).alias("_r"))
+    return best.select("voucher_id", "_r.*").select(*parsed.columns)
 
 
 def replace_parse(tables: dict[str, DataFrame], parsed: DataFrame) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from slipmill.operators import context, evaluate, extract, history, learn, profi
 from slipmill.plans import vouchers as vo
 from slipmill.plans.queries import ALL_DEDUCTIONS, BOXES_SQL, DIFFS_SQL, HEADS, ITEMS, NET, PAIRS_SQL, boxes, examples, pairs, predictions, query
 from slipmill.sources import tables
+from slipmill.sources.snapshots import Snapshots
 from slipmill.streaming import streams
 
 KINDS = (("Commission", "commission"), ("Damage", "damages"), ("Unloading", "unloading"), ("L/F Cash", "cash"))
@@ -45,27 +47,67 @@ def stale(df: DataFrame) -> DataFrame:
 @query(f"SELECT b.voucher_id, net_total, i.n AS n_items, total, CAST(4 AS BIGINT) AS n_deductions FROM ({BOOKED_SQL}) b JOIN (SELECT voucher_id, count(*) AS n, CAST(sum(line_amount) AS DECIMAL(12,2)) AS total FROM ({ITEM_ROWS_SQL}) GROUP BY 1) i USING (voucher_id)")
 def written_vouchers(spark, sf_dir):
     """Three tables, written together and read back."""
-    folder = streams.work_folder(spark, "vouchers")
-    records.write_vouchers(booked(spark, sf_dir), folder)
-    t = records.read_vouchers(spark, folder)
+    t = stored(spark, booked(spark, sf_dir)).read()
     items = t["items"].groupBy("voucher_id").agg(F.count("*").alias("n_items"), F.sum("line_amount").cast("decimal(12,2)").alias("total"))
     less = t["deductions"].groupBy("voucher_id").agg(F.count("*").alias("n_deductions"))
     return t["master"].select("voucher_id", "net_total").join(items, "voucher_id").join(less, "voucher_id")
 
 
+def stored(spark, vouchers: DataFrame) -> Snapshots:
+    """A store of its own that has the vouchers."""
+    store = Snapshots(spark, streams.work_folder(spark, "vouchers"))
+    records.write_vouchers(vouchers, store)
+    return store
+
+
+@query(f"SELECT voucher_id, CAST(NULL AS DECIMAL(12,2)) AS net_total, CAST(1 AS BIGINT) AS n_items, CAST(0 AS BIGINT) AS n_deductions, CAST(1 AS BIGINT) AS versions FROM ({HEADS})")
+def unbroken_vouchers(spark, sf_dir):
+    """A commit whose third table fails while it is written: all three are as before."""
+    b = booked(spark, sf_dir)
+    store = stored(spark, stale(b))
+    broken = b.select("voucher_id", F.raise_error(F.lit("the third write fails")).cast("string").alias("deduction_type"))
+    try:
+        store.commit(records.voucher_tables(b) | {"deductions": broken})
+    except Exception as e:
+        if "the third write fails" not in str(e):
+            raise
+    t = store.read()
+    items = t["items"].groupBy("voucher_id").agg(F.count("*").alias("n_items"))
+    less = t["deductions"].groupBy("voucher_id").agg(F.count("*").alias("n_deductions"))
+    out = t["master"].select("voucher_id", "net_total").join(items, "voucher_id").join(less, "voucher_id", "left")
+    return out.withColumns({"n_deductions": F.coalesce("n_deductions", F.lit(0)).cast("long"), "versions": F.lit(len(store.versions())).cast("long")})
+
+
 REPLACED_SQL = f"SELECT voucher_id, position, item_name, quantity, unit_price, line_amount FROM ({ITEM_ROWS_SQL}) WHERE voucher_id % 3 = 1 OR position = 0"
 
 
 @query(REPLACED_SQL)
 def replaced_items(spark, sf_dir):
     """Vouchers of each third number extracted anew, twice: their items are there once, the others' as before."""
+    return thrice_replaced(spark, sf_dir).read()["items"]
+
+
+def thrice_replaced(spark, sf_dir) -> Snapshots:
+    """A store with stale vouchers, and on top of them, twice, each third of them as it should be."""
     b = booked(spark, sf_dir)
-    new = b.where("voucher_id % 3 = 1")
-    return records.replace_parse(records.replace_parse(records.voucher_tables(stale(b)), new), new)["items"]
+    store = stored(spark, stale(b))
+    for _ in range(2):
+        records.write_vouchers(b.where("voucher_id % 3 = 1"), store)
+    return store
 
 
 @query(DEDUCTION_ROWS_SQL.replace(f"FROM ({HEADS})", f"FROM ({HEADS}) WHERE voucher_id % 3 = 1"))
 def replaced_deductions(spark, sf_dir):
+    """As replaced_items, after the layers were made one and the old ones removed."""
+    store = thrice_replaced(spark, sf_dir)
+    store.compact()
+    store.expire(1)
+    return store.read()["deductions"]
+
+
+@query(DEDUCTION_ROWS_SQL.replace(f"FROM ({HEADS})", f"FROM ({HEADS}) WHERE voucher_id % 3 = 1"))
+def joined_replacement(spark, sf_dir):
+    """The same replacement of tables that are in no store, by joins."""
     b = booked(spark, sf_dir)
     return records.replace_parse(records.voucher_tables(stale(b)), b.where("voucher_id % 3 = 1"))["deductions"]
 
@@ -502,14 +544,42 @@ def cleaned_amounts(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", values.repaired_number(F.translate(F.col("l_extendedprice").cast("decimal(12,2)").cast("string"), "01", "Ol")).cast("decimal(18,4)").alias("value"))
 
 
-@query(f"SELECT voucher_id, voucher_number, net_total FROM ({BOOKED_SQL})")
+def text_files(spark, sf_dir) -> DataFrame:
+    """A stream of files of texts, two a micro-batch; a twelfth of the vouchers come twice, in different files."""
+    folder, k = streams.work_folder(spark, "texts"), F.col("voucher_id")
+    texts = vo.rendered(spark, sf_dir).select("voucher_id", "created_at", "raw_ocr_text")
+    texts.withColumn("part", k % 5).unionByName(texts.where(k % 12 == 7).withColumn("part", F.lit(5).cast("long"))).repartition(6, "part").write.parquet(folder)
+    return spark.readStream.schema("voucher_id long, created_at timestamp_ntz, raw_ocr_text string, part long").option("maxFilesPerTrigger", 2).parquet(folder).drop("part")
+
+
+def with_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    counts = tables["items"].groupBy("voucher_id").agg(F.count("*").alias("n_items"))
+    return tables["master"].select("voucher_id", "voucher_number", "net_total").join(counts, "voucher_id")
+
+
+@query(f"SELECT voucher_id, voucher_number, net_total, n_items FROM ({BOOKED_SQL})")
 def extracted_stream(spark, sf_dir):
     """Texts that come as files of a stream, extracted and upserted batch by batch."""
-    folder = streams.work_folder(spark, "texts")
-    texts = vo.rendered(spark, sf_dir).select("voucher_id", "raw_ocr_text")
-    texts.write.parquet(folder)
-    made = streams.extract_stream(spark.readStream.schema(texts.schema).parquet(folder)).select("voucher_id", "voucher_number", "net_total")
-    return streams.run_to_end(made, "extracted", "append")
+    store = Snapshots(spark, streams.work_folder(spark, "vouchers"))
+    streams.upsert_to_end(text_files(spark, sf_dir), store, streams.work_folder(spark, "state"))
+    return with_counts(store.read())
+
+
+@query(f"SELECT voucher_id, voucher_number, net_total, n_items FROM ({BOOKED_SQL})")
+def replayed_stream(spark, sf_dir):
+    """The same stream, which stops after its first batch is in the tables but before Spark knows; then it goes on."""
+    store, state, texts = Snapshots(spark, streams.work_folder(spark, "vouchers")), streams.work_folder(spark, "state"), text_files(spark, sf_dir)
+
+    def stop(number: int) -> None:
+        raise RuntimeError("stopped after the write")
+
+    try:
+        streams.upsert_to_end(texts, store, state, stop)
+    except StreamingQueryException as e:
+        if "stopped after the write" not in str(e):
+            raise
+    streams.upsert_to_end(texts, store, state, most_layers=2)
+    return with_counts(store.read())
 
 
 @query("SELECT user_id % 40 AS batch, count(*) AS total FROM events GROUP BY 1")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipmill.operators.extract import extract_v2
+from slipmill.operators.records import one_per_id, write_vouchers
+from slipmill.sources.snapshots import Snapshots
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -33,6 +37,35 @@ def extract_stream(texts: DataFrame) -> DataFrame:
     return extract_v2(texts)
 
 
+def query_id(spark: SparkSession, state: str) -> str:
+    """The id under which a streaming query goes on, as its checkpoint folder has it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/metadata")
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+
+
+def upsert_to_end(texts: DataFrame, store: Snapshots, state: str, after: Callable[[int], None] | None = None, most_layers: int = 8) -> None:
+    """Extracts streamed texts (voucher_id, raw_ocr_text, ...) into the store, over what is there now, one commit a micro-batch.
+
+    Each voucher is there once, as it came last: a micro-batch and its number enter the tables in one commit, so that one
+    that Spark runs again after a failure is known and left out, and a voucher that comes in two batches is replaced. The
+    ledger goes by the query's own id: a query with a new checkpoint folder numbers its batches anew. `after` is called
+    with each batch's number once it is in. The layers are compacted as soon as there are more than most_layers.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        write_vouchers(one_per_id(batch), store, query_id(batch.sparkSession, state), number)
+        if len(store.manifest()["layers"]) > most_layers:
+            store.compact()
+        if after:
+            after(number)
+
+    extract_stream(texts).writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def batch_counts(events: DataFrame) -> DataFrame:
     """Running counters per batch (here: user mod 40). Feed it deduplicated() in a query of its own if files may come twice."""
     return events.groupBy((F.col("user_id") % 40).alias("batch")).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "error").alias("failed"))
@@ -55,9 +88,12 @@ def rolling_accuracy(events: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now, and returns its result as a table."""
+    """Runs a stream over what is there now, and returns its result as a table.
+
+    Each micro-batch has a folder of its own, or the whole result one, and is written over what a failed run left there.
+    """
     spark = stream.sparkSession
     out = work_folder(spark, name)
-    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", work_folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out) if mode == "complete" else spark.read.parquet(out).drop("batch")
