@@ -134,6 +134,28 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str = "ranked") ->
     return placed.select(*df.columns, (F.col("_row") + F.col("_shift")).alias("_pos"), "_n")
 
 
+#: Rows up to which numbered() broadcasts the keys of repeated rows.
+KEYS_ROWS = 100_000
+
+
+def numbered(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """rows with _n, a row's place from 0 among those with the same values of keys (nulls alike), in the order's, so that repeats differ.
+
+    Repeated keys are found by counts; only their rows are placed, by ranges, so that any number of repeats is dealt out.
+    """
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    again = stored(counted.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.monotonically_increasing_id().alias("_k")), "again")
+    n = again.count()
+    if not n:
+        return rows.withColumn("_n", F.lit(0).cast("long"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    marked = rows.join(F.broadcast(again) if n <= KEYS_ROWS else again, same, "left").select(*rows.columns, "_k")
+    once = marked.where("_k IS NULL").select(*rows.columns, F.lit(0).cast("long").alias("_n"))
+    return once.unionByName(ranked(marked.where("_k IS NOT NULL"), "_k", list(order), "repeats").select(*rows.columns, F.col("_pos").alias("_n")))
+
+
 def packed(columns: list[str]) -> Column:
     """A user's columns as one struct, `user`: whatever their names are, they clash with none that an operator makes."""
     return F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("user")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipmill.llm.common import packed, unpacked
+from slipmill.llm.common import numbered, packed, unpacked
 
 #: The weights of the sources in their order, repeated; how often a source's words may be taken at most.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -49,9 +49,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return free.select("source", "source_size", share.alias("target"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on seed and doc_id alone (52 bits of an MD5)."""
-    hexes = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13)
+def draw(doc_id: Column, n: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on seed, doc_id and the place among rows of this id (52 bits of an MD5)."""
+    place = F.when(n > 0, F.concat(F.lit(":"), n.cast("string"))).otherwise("")
+    hexes = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), place)), 1, 13)
     return F.conv(hexes, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -59,20 +60,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """Each document's columns with size, source_size, target, rate and copies.
 
     rate: its source's target by its size; copies: floor(rate), and one more if draw() is below the fraction.
-    Null text has size 0 and is a document like others. A null source is one source, the last. Repeated rows are
-    drawn alike. An empty table gives an empty one. Columns of docs named like these are replaced.
+    Null text has size 0 and is a document like others. A null source is one source, the last. A null doc_id counts like
+    a value. Rows that share a doc_id are drawn apart, by their place in the order of source and text's hash, so that
+    repeats and null ids come near the target too. An empty table gives an empty one. Columns of docs named like these are replaced.
     """
     made = ("size", "source_size", "target", "rate", "copies")
     names = [c for c in docs.columns if c not in made]
-    sized = docs.select(packed(names), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select(packed(names), "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("_md5"))
     per = source_targets(sized.select("source", "size"), weights, most)
     per = per.withColumnsRenamed({c: f"_mix_{c}" for c in per.columns})
-    out = sized.join(per, F.col("source").eqNullSafe(F.col("_mix_source")))
+    out = numbered(sized, ["doc_id"], ("source", "_md5")).join(per, F.col("source").eqNullSafe(F.col("_mix_source")))
     rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return out.select(
         *unpacked(names), "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), rate.alias("rate"),
-        (whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).alias("copies"),
+        (whole + F.when(draw(F.col("doc_id"), F.col("_n"), seed) < rate - whole, 1).otherwise(0)).alias("copies"),
     )
 
 
@@ -89,7 +91,7 @@ def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY source NULLS FIRST, md5(text) NULLS FIRST) - 1 AS place, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
@@ -108,7 +110,7 @@ shared AS (
   FROM stopped),
 rated AS (
   SELECT d.doc_id, d.size, s.source_size, s.target, CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '') || CASE WHEN d.place > 0 THEN ':' || d.place::VARCHAR ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM sized d JOIN shared s ON d.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, size, source_size, target,
        ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken

@@ -38,6 +38,18 @@ def test_capped_sources(spark):
     assert got["a"] == 3 and got["d"] == 0 and abs(got["b"] + got["c"] - 98) < 1e-9
 
 
+def test_null_and_repeated_ids(spark):
+    """Sources whose ids are all null or all the same, and equal rows, come near their targets too."""
+    rows = [(None, f"null {i % 400} w w w w w w w w", "b") for i in range(2000)] + [(5, f"same {i} w w", "a") for i in range(500)] + [(9, "equal rows here", "c")] * 3000 + [(i, "z " * 30, "d") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    want, taken = waterfill({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abcd"}), {}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["copies"] * r["size"]
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 0.1 * want[s] for s in want)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()), key=str)
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
