@@ -46,22 +46,31 @@ def _line(examples: DataFrame, holds: Column) -> tuple[DataFrame, Column]:
     return rows.withColumn("_at", F.array_position(F.transform("_lines", lambda x: holds(x)), True) - 1), F.get("_lines", F.col("_at").cast("int"))
 
 
-def position_model(examples: DataFrame) -> DataFrame:
-    """(field, place, n): whether values stand at the beginning (first 0.3), middle (to 0.7) or end of their texts."""
+def placed(examples: DataFrame) -> DataFrame:
+    """examples whose text has a line with the value, with `place`: beginning (first 0.3), middle (to 0.7) or end of the lines."""
     rows, _ = _line(examples, lambda x: F.coalesce(x.contains(F.col("auto")), F.lit(False)) | F.coalesce(x.contains(F.col("corrected")), F.lit(False)))
     ratio = F.col("_at") / F.size("_lines")
-    place = F.when(ratio < 0.3, "beginning").when(ratio < 0.7, "middle").otherwise("end")
-    return rows.where("_at >= 0").groupBy("field", place.alias("place")).agg(F.count("*").alias("n"))
+    return rows.where("_at >= 0").withColumn("place", F.when(ratio < 0.3, "beginning").when(ratio < 0.7, "middle").otherwise("end")).drop("_at", "_lines")
 
 
-def neighbour_model(examples: DataFrame) -> DataFrame:
-    """(field, side, word, n): the words right before and after corrected values, on the first line that has them."""
+def position_model(examples: DataFrame) -> DataFrame:
+    """(field, place, n): whether values stand at the beginning, middle or end of their texts."""
+    return placed(examples).groupBy("field", "place").agg(F.count("*").alias("n"))
+
+
+def neighbours(examples: DataFrame) -> DataFrame:
+    """examples by the words (side, word) right before and after the corrected value, on the first line that has it."""
     rows, line = _line(examples.where("corrected <> ''"), lambda x: x.contains(F.col("corrected")))
     at = F.instr(F.col("_x"), F.col("corrected"))
     before, after = F.trim(F.substring("_x", F.lit(1), at - 1)), F.trim(F.substring("_x", at + F.length("corrected"), F.length("_x")))
     word = lambda c, i: F.nullif(F.element_at(F.split(c, r"\s+"), i), F.lit(""))
     both = F.array(F.struct(F.lit("before").alias("side"), word(before, -1).alias("word")), F.struct(F.lit("after").alias("side"), word(after, 1).alias("word")))
-    return rows.where("_at >= 0").withColumn("_x", line).select("field", F.inline(both)).where("word IS NOT NULL").groupBy("field", "side", "word").agg(F.count("*").alias("n"))
+    return rows.where("_at >= 0").withColumn("_x", line).select(*examples.columns, F.inline(both)).where("word IS NOT NULL")
+
+
+def neighbour_model(examples: DataFrame) -> DataFrame:
+    """(field, side, word, n): the words right before and after corrected values."""
+    return neighbours(examples).groupBy("field", "side", "word").agg(F.count("*").alias("n"))
 
 
 def pruned(patterns: DataFrame, as_of: str, days: int = 90, least: float = 0.3) -> DataFrame:

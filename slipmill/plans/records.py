@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipmill.functions import text, values
-from slipmill.operators import context, evaluate, extract, history, learn, profiles, publish, records, validate
+from slipmill.operators import context, continuous, evaluate, extract, history, learn, profiles, publish, records, validate
 from slipmill.plans import vouchers as vo
 from slipmill.plans.queries import ALL_DEDUCTIONS, BOXES_SQL, DIFFS_SQL, HEADS, ITEMS, NET, PAIRS_SQL, boxes, examples, pairs, predictions, query
 from slipmill.sources import tables
@@ -394,6 +396,46 @@ def trained_models(spark, sf_dir):
     return learn.model_summary({k: made[k] for k in ("values", "sources", "suppliers")})
 
 
+SUPPLIER_DIFFS = f"(SELECT d.*, 1700000000 + 60 * voucher_id AS ts FROM ({DIFFS_SQL}) d WHERE field = 'supplier_name')"
+#: Seconds of the time at which the sessions of continued() are said to be: patterns seen 90 days before may go.
+LAST_SESSION = 1_700_000_000 + 120 * 86_400
+
+
+def continued(spark, sf_dir) -> continuous.ModelStore:
+    """Three sessions over growing logs of corrected suppliers and boxes: each has all that the one before had, and more."""
+    k = F.col("voucher_id")
+    e = examples(spark, sf_dir).where("field = 'supplier_name'").withColumns({"id": k, "ts": F.timestamp_seconds(1_700_000_000 + k * 60), "source": F.when(k % 2 == 0, "database").otherwise("feedback")})
+    b = boxes(spark, sf_dir).withColumns({"third": F.col("id") % 3, "id": F.concat_ws(":", "id", F.to_json(F.struct("auto_crop", "user_crop")))})  # ids of lines come twice
+    store = continuous.ModelStore(spark, streams.work_folder(spark, "models"))
+    for session in (1, 2, 3):
+        continuous.train_more(store, e.where(k % 3 < session), b.where(F.col("third") < session), session, str(datetime.fromtimestamp(LAST_SESSION + session, UTC).replace(tzinfo=None)))
+    return store
+
+
+_COUNTED = (
+    ("values", "auto, corrected", "SELECT * FROM {d}"), ("sources", "voucher_id % 2", "SELECT * FROM {d}"), ("contexts", "corrected", "SELECT * FROM {d}"), ("suppliers", "corrected", "SELECT * FROM {d}"),
+    ("anchors", "corrected", "SELECT * FROM {d}"), ("neighbours", "field", "SELECT * FROM {d}"), ("places", "n_items = 1", "SELECT * FROM {d} JOIN (SELECT voucher_id, n_items FROM ({heads})) USING (voucher_id)"),
+    ("substitutions", "left(auto, 2) || (auto = 'TOTAL')::VARCHAR || (auto LIKE 'R4%')::VARCHAR", "SELECT * FROM {d}"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS model, CAST(count(*) AS BIGINT) AS rows, CAST(coalesce(sum(n), 0) AS BIGINT) AS samples FROM (SELECT count(*) AS n FROM ({src.format(d=SUPPLIER_DIFFS, heads=HEADS)}) GROUP BY {by})" for m, by, src in _COUNTED)
+ + f""" UNION ALL SELECT 'patterns', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT max(n) AS n, CASE WHEN count(*) = 1 AND sum(n) >= 3 THEN 0.95 ELSE max(n) / sum(n) END AS confidence, max(ts) AS ts
+ FROM (SELECT lower(trim(auto)) AS key, corrected, count(*) AS n, max(ts) AS ts FROM {SUPPLIER_DIFFS} GROUP BY 1, 2) GROUP BY key) WHERE NOT (ts < {LAST_SESSION + 3 - 90 * 86_400} AND confidence < 0.3)
+ UNION ALL SELECT 'crops', 1, count(*) FROM (SELECT DISTINCT * FROM ({BOXES_SQL})) WHERE aw >= 20 AND uw >= 20 AND ah >= 20 AND uh >= 20""")
+def continued_models(spark, sf_dir):
+    """What all ten models hold after three sessions, none of which counts again what an earlier one used."""
+    return learn.model_summary(continuous.models(continued(spark, sf_dir)))
+
+
+@query(f"""SELECT CAST(1 + s AS BIGINT) AS session, n AS n_corrections, n_boxes, coalesce(p, 0) AS n_patterns
+FROM (SELECT voucher_id % 3 AS s, count(*) AS n FROM {SUPPLIER_DIFFS} GROUP BY 1) JOIN (SELECT id % 3 AS s, count(*) AS n_boxes FROM (SELECT DISTINCT * FROM ({BOXES_SQL})) GROUP BY 1) USING (s)
+LEFT JOIN (SELECT s, count(*) AS p FROM (SELECT min(voucher_id % 3) AS s FROM {SUPPLIER_DIFFS} GROUP BY auto, corrected) GROUP BY 1) USING (s)""")
+def continued_sessions(spark, sf_dir):
+    """What each of the three sessions recorded: corrections and boxes that were new to it, and patterns that none had before."""
+    return continuous.sessions(continued(spark, sf_dir)).select("session", "n_corrections", "n_boxes", "n_patterns")
+
+
 @query(f"""SELECT key, n AS total, confidence FROM (SELECT key, sum(n) AS n, CASE WHEN count(*) = 1 AND sum(n) >= 3 THEN 0.95 ELSE max(n) / sum(n) END AS confidence FROM (SELECT field || ':' || lower(trim(auto)) AS key, corrected, count(*) AS n FROM ({DIFFS_SQL}) WHERE auto IS NOT NULL GROUP BY 1, 2) GROUP BY key)
 WHERE confidence >= 0.8 AND n >= 3 ORDER BY confidence DESC, n DESC, key LIMIT 10""".replace("n AS total", "CAST(n AS BIGINT) AS total"))
 def reliable_patterns(spark, sf_dir):

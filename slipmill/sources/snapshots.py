@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -135,21 +136,26 @@ class Snapshots:
 
     # --- reads ---
 
-    def read(self, version: int | None = None) -> dict[str, DataFrame]:
-        """The tables as of a version. One layer is read as it is; of several the latest of each record is kept, by the key."""
-        at = self.manifest(version)
+    def _rows(self, at: dict) -> dict[str, DataFrame]:
+        """All rows of all layers, with the layer's place in _layer."""
         if not at["layers"]:
             raise ValueError(f"nothing was committed to {self.folder}")
-        of = lambda layer, table: self.spark.read.parquet(f"{self.folder}/layers/{layer}/{table}")
-        if len(at["layers"]) == 1:
-            return {table: of(at["layers"][0], table) for table in at["tables"]}
         out = {}
         for table in at["tables"]:
-            rows = None
-            for n, layer in enumerate(at["layers"]):
-                part = of(layer, table).withColumn("_layer", F.lit(n))
-                rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-            out[table] = rows
+            parts = [self.spark.read.parquet(f"{self.folder}/layers/{layer}/{table}").withColumn("_layer", F.lit(n)) for n, layer in enumerate(at["layers"])]
+            out[table] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return out
+
+    def every(self, version: int | None = None) -> dict[str, DataFrame]:
+        """All rows that were committed, whatever replaced them."""
+        return {table: rows.drop("_layer") for table, rows in self._rows(self.manifest(version)).items()}
+
+    def read(self, version: int | None = None) -> dict[str, DataFrame]:
+        """The tables as of a version. One layer is read as it is; of several the latest of each record is kept, by the key."""
+        at = self.manifest(version)
+        out = self._rows(at)
+        if len(at["layers"]) == 1:
+            return {table: rows.drop("_layer") for table, rows in out.items()}
         latest = out[self.leader].groupBy(F.col(self.key).alias("_key")).agg(F.max("_layer").alias("_last"))
         holds = F.col(self.key).eqNullSafe(F.col("_key")) & (F.col("_layer") == F.col("_last"))
         return {table: rows.join(latest, holds, "left_semi").drop("_layer") for table, rows in out.items()}
