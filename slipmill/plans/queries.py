@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipmill.functions import fuzzy, text, values
-from slipmill.operators import attempts, backup, context, evaluate, extract, history, learn, profiles, publish, robust, validate
+from slipmill.operators import attempts, backup, context, evaluate, extract, history, learn, profiles, publish, ranking, robust, validate
 from slipmill.plans import vouchers as vo
 from slipmill.streaming import streams
 
@@ -268,17 +268,41 @@ def rebuilt_counters(spark, sf_dir):
     return publish.rebuilt_counters(v)
 
 
-@query(f"SELECT voucher_id, voucher_number, voucher_date, supplier_name, gross_total FROM ({HEADS}) ORDER BY voucher_date DESC, voucher_id DESC LIMIT 20 OFFSET 40")
+LISTED_SQL = f"""SELECT voucher_id AS id, 'v' || voucher_id::VARCHAR || '.png' AS file_name, voucher_number, voucher_date, supplier_name, gross_total, {NET} AS net_total,
+ CASE WHEN voucher_id % 3 = 0 THEN 'PENDING' ELSE 'VALIDATED' END AS validation_status, CASE WHEN voucher_id % 4 = 0 THEN 'optimal' ELSE 'default' END AS ocr_mode, CAST(1700000000 + voucher_id * 60 AS BIGINT) AS created FROM ({HEADS})"""
+
+
+def listed(spark, sf_dir) -> DataFrame:
+    """The ten columns of a listing: a voucher's file, header, state, mode of reading and time of creation."""
+    v, k = parsed(spark, sf_dir), F.col("voucher_id")
+    return v.select(
+        k.alias("id"), F.concat(F.lit("v"), k.cast("string"), F.lit(".png")).alias("file_name"), *HEAD_FIELDS[:4], "net_total", F.when(k % 3 == 0, "PENDING").otherwise("VALIDATED").alias("validation_status"),
+        F.when(k % 4 == 0, "optimal").otherwise("default").alias("ocr_mode"), F.unix_timestamp(F.col("created_at").cast("timestamp")).alias("created"),
+    )
+
+
+@query(f"{LISTED_SQL} ORDER BY created DESC, id DESC LIMIT 20 OFFSET 40")
 def voucher_page(spark, sf_dir):
-    v = parsed(spark, sf_dir).select("voucher_id", *HEAD_FIELDS[:4])
-    return publish.page(v, 3, 20, F.col("voucher_date").desc_nulls_last(), F.col("voucher_id").desc())
+    return ranking.page(listed(spark, sf_dir), 3, 20, F.col("created").desc_nulls_last(), F.col("id").desc())
+
+
+@query(f"SELECT id, voucher_date, supplier_name FROM ({LISTED_SQL}) ORDER BY voucher_date DESC, id DESC LIMIT 20 OFFSET 40")
+def page_after_page(spark, sf_dir):
+    """The third page by date and id, each page found from the last row of the one before."""
+    rows, last = listed(spark, sf_dir).select("id", "voucher_date", "supplier_name"), None
+    for _ in range(2):
+        last = ranking.page_after(rows, last, 20, ("voucher_date", "id")).collect()[-1].asDict()
+    return ranking.page_after(rows, last, 20, ("voucher_date", "id"))
 
 
-@query(f"SELECT 'B' || (voucher_id % 40)::VARCHAR AS batch_id, voucher_id, row_number() OVER (PARTITION BY voucher_id % 40 ORDER BY voucher_id) AS position FROM ({HEADS})".replace("AS position", "AS place"))
+@query(f"""SELECT batch_id, total, status, voucher_id, row_number() OVER (PARTITION BY batch_id ORDER BY voucher_id) AS place
+FROM (SELECT batch_id, count(*) AS total, CASE WHEN count(*) FILTER (o = 'failed') > 0 THEN 'partial_failure' ELSE 'completed' END AS status FROM (SELECT 'B' || (voucher_id % 40)::VARCHAR AS batch_id, {OUTCOME} AS o FROM ({HEADS})) GROUP BY batch_id)
+JOIN (SELECT voucher_id, 'B' || (voucher_id % 40)::VARCHAR AS batch_id FROM ({HEADS})) USING (batch_id)""")
 def batch_vouchers(spark, sf_dir):
-    """Each voucher of a batch with its place by creation; batches aren't gathered in a row, so they may be of any size."""
-    w = Window.partitionBy("batch_id").orderBy("created_at", "voucher_id")
-    return vo.rendered(spark, sf_dir).select("batch_id", "voucher_id", F.row_number().over(w).cast("long").alias("place"))
+    """Each batch's counters with its vouchers in their order of creation; a batch may be of any size."""
+    v = vo.rendered(spark, sf_dir).select("batch_id", "voucher_id", "created_at")
+    batches = publish.batch_counters(v.withColumn("outcome", F.expr(OUTCOME)))
+    return ranking.batches_with_vouchers(batches, v).select("batch_id", "total", "status", "voucher_id", "place")
 
 
 # --- learning --------------------------------------------------------------------------------------------------

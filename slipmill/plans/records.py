@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipmill.functions import text, values
-from slipmill.operators import context, continuous, evaluate, extract, history, learn, profiles, publish, records, validate
+from slipmill.operators import context, continuous, evaluate, extract, history, learn, profiles, publish, ranking, records, validate
 from slipmill.plans import vouchers as vo
 from slipmill.plans.queries import ALL_DEDUCTIONS, BOXES_SQL, DIFFS_SQL, HEADS, ITEMS, NET, PAIRS_SQL, boxes, examples, pairs, predictions, query
 from slipmill.sources import tables
@@ -211,7 +211,7 @@ def voucher_pages(spark, sf_dir):
 def batch_page(spark, sf_dir):
     """The second page of the batches, by when they began."""
     b = booked(spark, sf_dir).groupBy("batch_id").agg(F.min("created_at").alias("created_at"), F.count("*").alias("total"))
-    return publish.page(b, 2, 10, F.col("created_at").desc(), F.col("batch_id").desc()).select("batch_id", "total")
+    return ranking.page(b, 2, 10, F.col("created_at").desc(), F.col("batch_id").desc()).select("batch_id", "total")
 
 
 @query(f"SELECT supplier_name, count(*) AS n FROM ({BOOKED_SQL}) WHERE batch_id = 'B3' GROUP BY 1")
