@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipmill.functions.values import MONEY, any_date, number
-from slipmill.operators.learn import best, find_by_anchor, pattern_model, suggest
+from slipmill.operators.learn import best, by_size, find_all, pattern_model, suggest
 
 #: The labels whose presence makes a field's context.
 MARKERS = {
@@ -136,13 +136,51 @@ def spans(rows: DataFrame) -> DataFrame:
     return rows.select("voucher_id", F.inline(made))
 
 
-def apply_learned(vouchers: DataFrame, values: DataFrame, anchors: DataFrame, least: float = 0.8, fields: tuple[str, ...] = ("voucher_number", "voucher_date", "gross_total", "net_total")) -> DataFrame:
+#: How the value behind an anchor is read, by field.
+READ = {"voucher_number": lambda v: F.regexp_extract(v, r"^(\S+)", 1), "voucher_date": any_date, "gross_total": lambda v: number(v).cast(MONEY), "net_total": lambda v: number(v).cast(MONEY)}
+ITEM_FIELDS = ("item_name", "quantity", "unit_price", "line_amount")
+
+
+def learned_items(vouchers: DataFrame, values: DataFrame, least: float = 0.7) -> DataFrame:
+    """vouchers whose items have the values that people put in the place of theirs, where a model value (item_<field>) is sure.
+
+    Only values that the model knows are joined back, as a map of each voucher's few changes.
+    """
+    known = by_size(best(values.where(F.col("field").startswith("item_")), ["field", "auto"], "corrected").where(F.col("share") > least).select("field", "auto", "corrected"))
+    kinds = {f.name: f.dataType for f in vouchers.schema["items"].dataType.elementType.fields}
+    cells = F.array(*[F.struct(F.lit(f"item_{f}").alias("field"), F.col(f"i.{f}").cast("string").alias("auto")) for f in ITEM_FIELDS])
+    rows = vouchers.select("voucher_id", F.posexplode("items").alias("at", "i")).select("voucher_id", "at", F.inline(cells)).where("auto IS NOT NULL")
+    changes = rows.join(known, ["field", "auto"]).groupBy("voucher_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "at", "field"), "corrected"))).alias("_c"))
+    found = lambda f, n: F.try_element_at("_c", F.concat_ws(":", n, F.lit(f"item_{f}")))
+    fixed = F.transform("items", lambda i, n: F.struct(*[F.coalesce(found(f, n).try_cast(kind), i[f]).alias(f) if f in ITEM_FIELDS else i[f].alias(f) for f, kind in kinds.items()]))
+    return vouchers.join(changes, "voucher_id", "left").withColumn("items", F.when(F.col("_c").isNull(), F.col("items")).otherwise(fixed)).drop("_c")
+
+
+def merged_deductions(deductions: Column, found: Column) -> Column:
+    """Deductions with the amounts of `found` (a map by type), in the place of theirs or after them; one of each type, the last."""
+    own = F.coalesce(deductions, F.array().cast("array<struct<deduction_type:string,amount:decimal(12,2)>>"))
+    last = F.transform(F.array_distinct(F.transform(own, lambda d: d["deduction_type"])), lambda t: F.element_at(F.filter(own, lambda d: d["deduction_type"].eqNullSafe(t)), -1))
+    kept = F.transform(last, lambda d: F.struct(d["deduction_type"].alias("deduction_type"), F.coalesce(F.try_element_at(found, d["deduction_type"]), d["amount"]).cast(MONEY).alias("amount")))
+    more = F.filter(F.array_sort(F.map_keys(found)), lambda t: ~F.exists(last, lambda d: d["deduction_type"].eqNullSafe(t)))
+    added = F.transform(more, lambda t: F.struct(t.alias("deduction_type"), F.try_element_at(found, t).cast(MONEY).alias("amount")))
+    return F.when(found.isNull(), deductions).otherwise(F.concat(kept, added))
+
+
+def apply_learned(vouchers: DataFrame, values: DataFrame, anchors: DataFrame, least: float = 0.8, fields: tuple[str, ...] = tuple(READ)) -> DataFrame:
     """vouchers with supplier_name_suggested, and `fields` (of number, date and totals) as learned anchors find them (surer than
-    `least`); what no anchor finds stays as it was. One join per field, on the voucher."""
-    out = suggest(vouchers, values, "supplier_name")
-    read = {"voucher_number": lambda v: F.regexp_extract(v, r"^(\S+)", 1), "voucher_date": lambda v: any_date(v), "gross_total": lambda v: number(v).cast(MONEY), "net_total": lambda v: number(v).cast(MONEY)}
-    for field in fields:
-        parse = read[field]
-        found = find_by_anchor(vouchers.select("voucher_id", "raw_ocr_text", "supplier_name"), anchors, field).where(F.col("confidence") > least)
-        out = out.join(found.select("voucher_id", parse(F.col("value")).alias("_v")), "voucher_id", "left").withColumn(field, F.coalesce("_v", field)).drop("_v")
-    return out
+    `least`); what no anchor finds stays as it was.
+
+    If there are items, values that the model is sure of (0.7) take the place of theirs; if there are deductions, those
+    that an anchor of their type finds above 0 do, and types that are only found so are added. All anchors are looked for
+    in one pass, and come back by one join.
+    """
+    wanted = F.col("field").isin(*fields) | (F.col("field").startswith("deduction_") if "deductions" in vouchers.columns else F.lit(False))
+    found = find_all(vouchers.select("voucher_id", "raw_ocr_text", "supplier_name"), anchors.where(wanted)).where(F.col("confidence") > least)
+    found = found.groupBy("voucher_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_found"))
+    out = suggest(vouchers, values, "supplier_name").join(found, "voucher_id", "left")
+    out = out.withColumns({f: F.coalesce(READ[f](F.try_element_at("_found", F.lit(f))), F.col(f)) for f in fields})
+    if "deductions" in vouchers.columns:
+        less = F.transform(F.filter(F.map_entries("_found"), lambda e: e["key"].startswith("deduction_")), lambda e: F.struct(F.substring(e["key"], 11, 1000).alias("key"), number(e["value"]).cast(MONEY).alias("value")))
+        out = out.withColumn("deductions", merged_deductions(F.col("deductions"), F.map_from_entries(F.filter(less, lambda e: e["value"] > 0))))
+    out = out.drop("_found")
+    return learned_items(out, values) if "items" in vouchers.columns else out

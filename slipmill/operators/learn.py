@@ -47,7 +47,7 @@ def best(model: DataFrame, keys: list[str], value: str) -> DataFrame:
 def suggest(rows: DataFrame, model: DataFrame, field: str, least: float = 0.7) -> DataFrame:
     """rows with <field>_suggested: the model's best value for the field where its share is over `least`, else null."""
     m = best(model.where(F.col("field") == field), ["auto"], "corrected").where(F.col("share") > least).select(F.col("auto").alias(field), F.col("corrected").alias(f"{field}_suggested"))
-    return rows.join(m, field, "left")
+    return rows.join(by_size(m), field, "left")
 
 
 def substitutions(diffs: DataFrame) -> DataFrame:
@@ -99,29 +99,53 @@ def anchors(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return found.groupBy("supplier_key", "field", "anchor").agg(F.count("*").alias("n"), F.min("voucher_id").alias("first_seen"))
 
 
-def find_by_anchor(rows: DataFrame, model: DataFrame, field: str, least: float = 0.82) -> DataFrame:
-    """(voucher_id, value, confidence) for vouchers of which a line has words near an anchor of their supplier.
+#: Rows up to which a table out of the data is broadcast, once it has been counted.
+BROADCAST_ROWS = 50_000
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    """df, written once, to be broadcast if it has BROADCAST_ROWS rows at most; joins shuffle it otherwise."""
+    from slipmill.streaming.streams import work_folder
+
+    folder = work_folder(df.sparkSession, "counted")
+    df.write.parquet(folder)
+    kept = df.sparkSession.read.schema(df.schema).parquet(folder)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
 
-    Candidates are windows of as many words as the anchor has; distinct pairs are compared, after a bound by length.
-    The value is the rest of the line, else the next line, up to two blanks.
+def find_all(rows: DataFrame, model: DataFrame, least: float = 0.82) -> DataFrame:
+    """(voucher_id, field, value, confidence): of each field that the voucher's supplier has anchors for, what follows one.
+
+    A voucher meets its supplier's anchors of all fields at once, each kind of words once whatever the number of fields.
+    Its lines are looked through for windows of as many words as an anchor has; equal windows are hits, other pairs are
+    compared where their lengths allow it, each distinct pair once. The value is the rest of the line, else the next
+    line, up to two blanks; the most frequent anchor counts, then the first line.
     """
     from slipmill.functions.text import lines
 
+    of_field = F.collect_list(F.struct("field", "n"))
+    marks = model.groupBy("supplier_key", F.lower("anchor").alias("key"), F.size(F.split("anchor", " ")).alias("k")).agg(of_field.alias("fields")).groupBy("supplier_key").agg(F.collect_list(F.struct("key", "k", "fields")).alias("marks"))
     own = rows.select("voucher_id", F.upper(F.trim("supplier_name")).alias("supplier_key"), lines(F.col("raw_ocr_text")).alias("ln"))
-    own = own.join(model.where(F.col("field") == field).select("supplier_key", "anchor", "n"), "supplier_key")
-    k = F.size(F.split("anchor", " "))
-    at = own.select("voucher_id", "anchor", "n", k.alias("k"), F.posexplode("ln").alias("line", "x"), "ln").withColumn("w", F.split("x", r"\s+")).where("size(w) >= k")
-    at = at.select("voucher_id", "anchor", "n", "k", "line", "w", F.get("ln", F.col("line") + 1).alias("below"), F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("p"))
-    at = at.withColumn("window", F.lower(F.array_join(F.slice("w", F.col("p"), F.col("k")), " "))).withColumn("key", F.lower("anchor")).where(ratio_bound(F.col("key"), F.col("window")) > least)
-    # Equal words need no ratio: only others meet the distinct pairs, so that the usual label is no hot key of the join.
-    same = F.col("key") == F.col("window")
-    at = at.withColumn("other", F.when(same, F.concat(F.lit("="), F.col("voucher_id").cast("string"))).otherwise(F.col("window")))
-    pairs = at.where(~same).select("key", "window").distinct().withColumn("ratio", ratio(F.col("key"), F.col("window"))).where(F.col("ratio") > least).select("key", F.col("window").alias("other"), F.lit(True).alias("near"))
-    hits = at.join(pairs, ["key", "other"], "left").where(same | F.col("near"))
-    rest = F.array_join(F.slice("w", F.col("p") + F.col("k"), F.greatest(F.size("w") - F.col("p") - F.col("k") + 1, F.lit(0))), " ")
+    own = own.where("supplier_key IS NOT NULL").join(by_size(marks), "supplier_key").drop("supplier_key")
+    each = F.transform("ln", lambda x, i: F.struct(x.alias("x"), F.get("ln", i + 1).alias("below")))
+    at = own.select("voucher_id", "marks", F.posexplode(each).alias("line", "l")).select("voucher_id", "line", "l.below", F.split("l.x", r"\s+").alias("w"), F.explode("marks").alias("m")).where("size(w) >= m.k")
+    window = lambda p: F.lower(F.array_join(F.slice("w", p, F.col("m.k")), " "))
+    fits = F.filter(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("m.k") + 1), lambda p: F.struct(p.alias("p"), window(p).alias("window"))), lambda s: ratio_bound(F.col("m.key"), s["window"]) > least)
+    at = at.withColumn("h", F.explode(fits))
+    past = F.col("h.p") + F.col("m.k")
+    rest = F.array_join(F.slice("w", past, F.greatest(F.size("w") - past + 1, F.lit(0))), " ")
     value = F.regexp_replace(F.coalesce(F.nullif(F.regexp_replace(rest, r"^[\s:\-=.]+", ""), F.lit("")), F.col("below")), r"\s{2,}[\s\S]*$", "")
-    chosen = hits.withColumn("value", value).where("value IS NOT NULL").groupBy("voucher_id").agg(F.max_by(F.struct("value", "n"), F.struct("n", -F.col("line"), -F.col("p"))).alias("b"))
-    return chosen.select("voucher_id", "b.value", (0.85 + F.least(F.col("b.n"), F.lit(10)) / 100).alias("confidence"))
+    at = at.select("voucher_id", "line", "h.p", F.col("m.key").alias("key"), "h.window", "m.fields", value.alias("value")).where("value IS NOT NULL")
+    pairs = at.where("key <> window").select("key", "window").distinct().withColumn("ratio", ratio(F.col("key"), F.col("window"))).where(F.col("ratio") > least).select("key", "window")
+    hits = at.where("key = window").unionByName(at.where("key <> window").join(by_size(pairs), ["key", "window"]).select(at.columns))
+    told = hits.select("voucher_id", "line", "p", "value", F.inline("fields"))
+    chosen = told.groupBy("voucher_id", "field").agg(F.max_by(F.struct("value", "n"), F.struct("n", -F.col("line"), -F.col("p"))).alias("b"))
+    return chosen.select("voucher_id", "field", "b.value", (0.85 + F.least(F.col("b.n"), F.lit(10)) / 100).alias("confidence"))
+
+
+def find_by_anchor(rows: DataFrame, model: DataFrame, field: str, least: float = 0.82) -> DataFrame:
+    """(voucher_id, value, confidence) of one field, as find_all() finds it."""
+    return find_all(rows, model.where(F.col("field") == field), least).drop("field")
 
 
 def pattern_model(diffs: DataFrame) -> DataFrame:

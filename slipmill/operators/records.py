@@ -57,6 +57,20 @@ def reprocess(tables: dict[str, DataFrame], texts: DataFrame, batch_id: str, ext
     return replace_parse(tables, made.select(*tables["master"].columns, *CHILDREN))
 
 
+def reprocess_in_store(store: Snapshots, texts: DataFrame, batch_id: str, extract: Callable[[DataFrame], DataFrame]) -> int:
+    """Extracts one batch's vouchers anew from their texts (voucher_id, batch_id, raw_ocr_text) and commits them in their place.
+
+    Give an `extract` that applies what was learned to have it in the tables. Columns that the store's master lacks aren't
+    written; those that extraction doesn't give are kept from the voucher as it was.
+    """
+    master = store.read()["master"]
+    made = extract(texts.where(F.col("batch_id") == batch_id))
+    kept = [c for c in master.columns if c not in made.columns]
+    if kept:
+        made = made.join(master.where(F.col("batch_id") == batch_id).select("voucher_id", *kept), "voucher_id", "left")
+    return write_vouchers(made.select(*master.columns, *CHILDREN), store)
+
+
 def validated_vouchers(vouchers: DataFrame, limit: int | None = None) -> DataFrame:
     """Vouchers to learn from: validated, with the first machine output kept; the newest `limit`, ties by id."""
     ok = vouchers.where("status = 'VALIDATED' AND original IS NOT NULL")

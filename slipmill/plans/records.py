@@ -122,6 +122,63 @@ def reprocessed_batch(spark, sf_dir):
     return made["master"].select("voucher_id", "net_total").join(made["items"].groupBy("voucher_id").agg(F.count("*").alias("n_items")), "voucher_id")
 
 
+# --- learned values --------------------------------------------------------------------------------------------
+
+
+def misread_items(spark, sf_dir) -> DataFrame:
+    """Vouchers whose item names have a wrong first letter, and whose quantities are 100 too large."""
+    wrong = F.transform("items", lambda i: F.struct(F.replace(i["item_name"], F.lit("Item"), F.lit("ltem")).alias("item_name"), (i["quantity"] + 100).cast("decimal(10,2)").alias("quantity"), i["unit_price"].alias("unit_price"), i["line_amount"].alias("line_amount")))
+    return booked(spark, sf_dir).withColumn("wrong", wrong)
+
+
+TAUGHT = f"(SELECT * FROM ({ITEM_ROWS_SQL}) WHERE voucher_id % 3 = 1)"
+
+
+@query(f"""SELECT voucher_id, position, CASE WHEN item_name IN (SELECT item_name FROM {TAUGHT}) THEN item_name ELSE replace(item_name, 'Item', 'ltem') END AS item_name,
+ CASE WHEN quantity IN (SELECT quantity FROM {TAUGHT}) THEN quantity ELSE quantity + 100 END AS quantity, line_amount FROM ({ITEM_ROWS_SQL})""")
+def learned_items(spark, sf_dir):
+    """Items with the names and quantities that a third of the vouchers, corrected, teaches; names that it lacks stay misread."""
+    v = misread_items(spark, sf_dir)
+    taught = v.where("voucher_id % 3 = 1").select("voucher_id", F.struct(F.col("wrong").alias("items")).alias("original"), F.struct("items").alias("corrected"))
+    values = learn.value_model(learn.item_diffs(taught).withColumn("field", F.concat(F.lit("item_"), "field")))
+    out = context.learned_items(v.select("voucher_id", F.col("wrong").alias("items")), values)
+    return out.select("voucher_id", F.posexplode("items").alias("position", "i")).select("voucher_id", "position", "i.item_name", "i.quantity", "i.line_amount")
+
+
+def deduction_anchors(spark, sf_dir, misread: bool = False) -> DataFrame:
+    """Anchors of each type of deduction, from the lines of deductions alone."""
+    text_ = F.array_join(F.filter(F.split("raw_ocr_text", "\n"), lambda x: x.startswith("(-)")), "\n")
+    if misread:
+        text_ = F.replace(text_, F.lit("(-) Comm"), F.lit("(-) C0nn"))
+    t = vo.truth(spark, sf_dir).select("voucher_id", "supplier_name", *[F.col(c).alias(f"deduction_{kind}") for kind, c in KINDS])
+    return learn.anchors(vo.rendered(spark, sf_dir).select("voucher_id", text_.alias("raw_ocr_text")).join(t, "voucher_id"), tuple(f"deduction_{kind}" for kind, _ in KINDS))
+
+
+@query(f"SELECT voucher_id, CASE WHEN voucher_id % 4 = 1 THEN 'Damage,Unloading,L/F Cash,Commission' WHEN voucher_id % 4 = 2 THEN 'Commission,Damage,Unloading,L/F Cash' ELSE 'Commission,Damage,L/F Cash,Unloading' END AS kinds, {ALL_DEDUCTIONS} AS total FROM ({HEADS})")
+def learned_deductions(spark, sf_dir):
+    """Deductions of which the machine missed the first, misread all, or found none: anchors of their types find them again."""
+    k, b = F.col("voucher_id"), booked(spark, sf_dir)
+    off = F.transform("deductions", lambda d: F.struct(d["deduction_type"].alias("deduction_type"), (d["amount"] + 1).cast("decimal(12,2)").alias("amount")))
+    machine = F.when(k % 4 == 1, F.slice("deductions", 2, 3)).when(k % 4 == 2, off).otherwise(F.slice("deductions", 1, 0))
+    v = b.select("voucher_id", "supplier_name", machine.alias("deductions")).join(vo.rendered(spark, sf_dir).select("voucher_id", "raw_ocr_text"), "voucher_id")
+    none = spark.createDataFrame([], "field string, auto string, corrected string, n long, first_seen long")
+    out = context.apply_learned(v, none, deduction_anchors(spark, sf_dir), fields=())
+    return out.select("voucher_id", F.array_join(F.transform("deductions", lambda d: d["deduction_type"]), ",").alias("kinds"), records.total(F.col("deductions"), "amount").alias("total"))
+
+
+@query(f"""SELECT voucher_id, CASE WHEN batch_id = 'B7' THEN commission END AS commission, CASE WHEN batch_id = 'B7' THEN n_items ELSE 1 END AS n_items, vendor_details FROM ({BOOKED_SQL})""")
+def reprocessed_learned(spark, sf_dir):
+    """One batch extracted again, with what was learned: its commissions stand beside a misread label, and an anchor of that label finds them."""
+    marks = deduction_anchors(spark, sf_dir, misread=True)
+    none = spark.createDataFrame([], "field string, auto string, corrected string, n long, first_seen long")
+    store = stored(spark, stale(booked(spark, sf_dir)).select("voucher_id", "batch_id", "vendor_details", "net_total", "items", "deductions"))
+    texts = vo.rendered(spark, sf_dir).withColumn("raw_ocr_text", F.replace("raw_ocr_text", F.lit("(-) Comm"), F.lit("(-) C0nn")))
+    records.reprocess_in_store(store, texts, "B7", lambda t: context.apply_learned(extract.extract_v2(t).drop("vendor_details"), none, marks, fields=()))
+    t = store.read()
+    found = t["deductions"].where("deduction_type = 'Commission'").select("voucher_id", F.col("amount").alias("commission"))
+    return t["master"].select("voucher_id", "vendor_details").join(found, "voucher_id", "left").join(t["items"].groupBy("voucher_id").agg(F.count("*").alias("n_items")), "voucher_id")
+
+
 def reviewed(spark, sf_dir) -> DataFrame:
     """Vouchers with status, the parsed header and, for most of them, the first machine output."""
     k = F.col("voucher_id")

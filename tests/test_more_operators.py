@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from slipmill.functions import text
-from slipmill.operators import backup, evaluate, history, learn, profiles
+from slipmill.operators import backup, context, evaluate, history, learn, profiles
 
 
 def one(spark, value, f):
@@ -101,3 +101,19 @@ def test_field_accuracy(spark):
     right = spark.createDataFrame([(1, "RAVI ", "100.00"), (2, "a", "1.00"), (3, "x", "0.00"), (4, None, "7.00")], schema)
     got = {r.field: (r.n, round(r.accuracy, 6)) for r in evaluate.field_accuracy(made, right, ("supplier_name", "gross_total")).collect()}
     assert got == {"supplier_name": (4, 0.75), "gross_total": (3, 0.95)}
+
+
+def test_merged_deductions(spark):
+    d = Decimal
+    rows = [([("A", d(1)), ("B", d(2)), ("A", d(3))], {"B": d(5), "C": d(6)}), ([], {"Z": d(1), "Y": d(2)}), (None, {"Z": d(1)}), ([("A", d(1))], None), (None, None)]
+    df = spark.createDataFrame(rows, "d array<struct<deduction_type:string,amount:decimal(12,2)>>, f map<string,decimal(12,2)>")
+    got = [r.x and [(d.deduction_type, int(d.amount)) for d in r.x] for r in df.select(context.merged_deductions(F.col("d"), F.col("f")).alias("x")).collect()]
+    assert got == [[("A", 3), ("B", 5), ("C", 6)], [("Y", 2), ("Z", 1)], [("Z", 1)], [("A", 1)], None]
+
+
+def test_anchors_of_all_fields_in_one_pass(spark):
+    text = "Vouch No: 77\nNet Tota1 12.00\nComm 3.50\nDate\n03/04/2024"
+    rows = spark.createDataFrame([(1, text, "s"), (2, text, "other"), (3, None, "S"), (4, text, None)], "voucher_id long, raw_ocr_text string, supplier_name string")
+    model = spark.createDataFrame([("S", "voucher_number", "Vouch No", 5), ("S", "net_total", "Net Total", 3), ("S", "deduction_Comm", "Comm", 1), ("S", "voucher_date", "Date", 2), ("S", "gross_total", "Net Total", 1)], "supplier_key string, field string, anchor string, n long")
+    got = {(r.voucher_id, r.field): r["value"] for r in learn.find_all(rows, model).collect()}
+    assert got == {(1, "voucher_number"): "77", (1, "net_total"): "12.00", (1, "gross_total"): "12.00", (1, "deduction_Comm"): "3.50", (1, "voucher_date"): "03/04/2024"}
