@@ -79,8 +79,8 @@ def pruned(patterns: DataFrame, as_of: str, days: int = 90, least: float = 0.3)
     return patterns.where(~(old & (F.col("confidence") < least)))
 
 
-def suggestions(rows: DataFrame, examples: DataFrame) -> DataFrame:
-    """(voucher_id, field, auto, suggestion, confidence, source, alternatives) for rows like examples without corrected.
+def suggestions(rows: DataFrame, examples: DataFrame, *keep: str) -> DataFrame:
+    """(voucher_id, keep, field, auto, suggestion, confidence, source, alternatives) for rows like examples without corrected.
 
     Three models offer a value: patterns of the field's value (0.5 or surer), its context (0.5, weighed 0.9), its
     supplier (0.4, weighed 0.95). Where models agree, the value is worth 0.1 more than the surest, up to 0.98. The
@@ -91,7 +91,7 @@ def suggestions(rows: DataFrame, examples: DataFrame) -> DataFrame:
     p = pattern_model(examples).select("key", F.col("corrected").alias("_pv"), F.col("confidence").alias("_pc"))
     c = best(context_model(examples), ["field", "context"], "corrected").select("field", "context", F.col("corrected").alias("_cv"), F.col("share").alias("_cc"))
     s = best(supplier_model(examples), ["supplier_key", "field"], "corrected").select("supplier_key", "field", F.col("corrected").alias("_sv"), F.col("share").alias("_sc"))
-    found = keyed.drop("raw_ocr_text").join(p, "key", "left").join(c, ["field", "context"], "left").join(s, ["supplier_key", "field"], "left")
+    found = keyed.drop("raw_ocr_text").join(by_size(p), "key", "left").join(by_size(c), ["field", "context"], "left").join(by_size(s), ["supplier_key", "field"], "left")
     offers = F.array_compact(F.array(offer("_pv", "_pc", 0.5, 1.0, "pattern", 0), offer("_cv", "_cc", 0.5, 0.9, "context", 1), offer("_sv", "_sc", 0.4, 0.95, "supplier", 2)))
 
     def agreed(x: Column) -> Column:
@@ -103,7 +103,32 @@ def suggestions(rows: DataFrame, examples: DataFrame) -> DataFrame:
     top = F.array_max(F.transform("_all", lambda x: F.struct(x["confidence"].alias("confidence"), x["ord"].alias("ord"), x["value"].alias("value"), x["source"].alias("source"))))
     found = found.withColumn("_b", top)
     others = F.slice(F.transform(F.filter("_all", lambda x: x["value"] != F.col("_b.value")), lambda x: F.struct(x["value"].alias("value"), x["confidence"].alias("confidence"))), 1, 3)
-    return found.select("voucher_id", "field", "auto", F.when(F.col("_b.confidence") >= 0.7, F.col("_b.value")).alias("suggestion"), F.coalesce("_b.confidence", F.lit(0.0)).alias("confidence"), F.col("_b.source").alias("source"), others.alias("alternatives"))
+    return found.select("voucher_id", *keep, "field", "auto", F.when(F.col("_b.confidence") >= 0.7, F.col("_b.value")).alias("suggestion"), F.coalesce("_b.confidence", F.lit(0.0)).alias("confidence"), F.col("_b.source").alias("source"), others.alias("alternatives"))
+
+
+ITEM_FIELDS = ("item_name", "quantity", "unit_price", "line_amount")
+HEAD_FIELDS = ("supplier_name", "voucher_date", "voucher_number", "gross_total", "net_total")
+
+
+def voucher_suggestions(vouchers: DataFrame, examples: DataFrame, least: float = 0.7) -> DataFrame:
+    """vouchers (voucher_id, raw_ocr_text, header fields, items) with `suggestions` and model_confidence.
+
+    suggestions is a map from a place (a header field, or items[i].field) to the value, confidence and source that
+    suggestions() gives for it, of `least` confidence; nothing is applied. model_confidence is their mean, 0 without any.
+    Item fields are looked up as item_<field>. A voucher's fields meet the models as rows without its text.
+    """
+    row = lambda place, field, auto: F.struct(place.alias("place"), field.alias("field"), auto.cast("string").alias("auto"))
+    heads = [row(F.lit(f), F.lit(f), F.col(f)) for f in HEAD_FIELDS if f in vouchers.columns]
+    cells = F.array().cast("array<struct<place:string,field:string,auto:string>>")
+    if "items" in vouchers.columns:
+        own = lambda i, n: F.array(*[row(F.concat(F.lit("items["), n.cast("string"), F.lit(f"].{f}")), F.lit(f"item_{f}"), i[f]) for f in ITEM_FIELDS])
+        cells = F.coalesce(F.flatten(F.transform("items", own)), cells)
+    rows = vouchers.select("voucher_id", "raw_ocr_text", "supplier_name", F.inline(F.concat(F.array(*heads), cells)))
+    sure = suggestions(rows, examples, "place").where(F.col("suggestion").isNotNull() & (F.col("confidence") >= least))
+    told = F.map_from_entries(F.array_sort(F.collect_list(F.struct("place", F.struct("suggestion", "confidence", "source").alias("v")))))
+    made = sure.groupBy("voucher_id").agg(told.alias("suggestions"), F.avg("confidence").alias("model_confidence"))
+    none = F.create_map().cast("map<string,struct<suggestion:string,confidence:double,source:string>>")
+    return vouchers.join(made, "voucher_id", "left").withColumns({"suggestions": F.coalesce("suggestions", none), "model_confidence": F.coalesce("model_confidence", F.lit(0.0))})
 
 
 LABELS = {"supplier_name": "ORG", "voucher_date": "DATE", "gross_total": "MONEY", "net_total": "MONEY", "total_deductions": "MONEY"}
@@ -138,7 +163,6 @@ def spans(rows: DataFrame) -> DataFrame:
 
 #: How the value behind an anchor is read, by field.
 READ = {"voucher_number": lambda v: F.regexp_extract(v, r"^(\S+)", 1), "voucher_date": any_date, "gross_total": lambda v: number(v).cast(MONEY), "net_total": lambda v: number(v).cast(MONEY)}
-ITEM_FIELDS = ("item_name", "quantity", "unit_price", "line_amount")
 
 
 def learned_items(vouchers: DataFrame, values: DataFrame, least: float = 0.7) -> DataFrame:

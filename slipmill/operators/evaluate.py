@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -106,6 +106,52 @@ def frequent_labels(texts: DataFrame, column: str, most: int = 20) -> DataFrame:
     return words.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(most)
 
 
+#: What is tallied of a lower-cased text, by kind: patterns, the group that counts, and how many characters of it.
+TALLIED = {
+    "label": ((r"\b([a-z]+)[\s:]*\d", 1),), "indicator": ((r"voucher\s*#?\s*\d", 0), (r"date[\s:]*\d", 0), (r"supp\s*\w+", 0), (r"total[\s:]*\d", 0)),
+    "garbled": ((r"vouchernumber\d{6,10}", 0),), "supplier": ((r"(supp[\s\.]*name|name|nane|supplier)", 1),),
+}
+INDICATOR_LENGTH = 20
+
+
+def tallies(texts: DataFrame, column: str, most: int = 20) -> DataFrame:
+    """(kind, token, n): of words before digits, field indicators, garbled numbers and supplier labels the most frequent.
+
+    One scan finds all four; counts are summed within tasks first, and each task passes on its own `most` of a kind once
+    they are whole. Ties go by the token.
+    """
+
+    def found(kind: str, pattern: str, group: int) -> Column:
+        token = (lambda t: F.substring(t, 1, INDICATOR_LENGTH)) if kind == "indicator" else (lambda t: t)
+        return F.transform(F.regexp_extract_all(F.lower(column), F.lit(pattern), F.lit(group)), lambda t: F.struct(F.lit(kind).alias("kind"), token(t).alias("token")))
+
+    every = [found(kind, *p) for kind, patterns in TALLIED.items() for p in patterns]
+    counts = texts.where(F.col(column).isNotNull()).select(F.inline(F.flatten(F.array(*every)))).groupBy("kind", "token").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("n").desc(), "token"))
+    return counts.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def receipt_coverage(vouchers: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """One row over vouchers (parsed, a struct with the fields, items and deductions, or null): how many there are, have each
+    field (neither null, empty nor 0), items and deductions, and how many weren't parsed at all."""
+    p = lambda f: F.col(f"parsed.{f}")
+    has = lambda f: F.coalesce((p(f).cast("string") != "") & F.coalesce(p(f).try_cast("double") != 0, F.lit(True)), F.lit(False))
+    lists = [F.count_if(F.size(p(f)) > 0).alias(f"has_{f}") for f in ("items", "deductions")]
+    return vouchers.agg(F.count("*").alias("n"), *[F.count_if(has(f)).alias(f"has_{f}") for f in fields], *lists, F.count_if(F.col("parsed").isNull()).alias("unparsed"))
+
+
+def best_parser(scores: DataFrame) -> DataFrame:
+    """The parser with the largest share of right fields; of equals the one with the higher mean confidence, then the first by name."""
+    return scores.agg(F.max_by(F.struct("parser", "share", "confidence"), F.struct("share", "confidence")).alias("top"), F.collect_set(F.struct("parser", "share", "confidence")).alias("all")).select(
+        F.array_min(F.transform(F.filter("all", lambda s: (s["share"] == F.col("top.share")) & s["confidence"].eqNullSafe(F.col("top.confidence"))), lambda s: s["parser"])).alias("parser"), "top.share", "top.confidence"
+    )
+
+
+def first_items(vouchers: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(voucher_id, item_<field>, ...): the fields of each voucher's first item, for field_accuracy(); null without items."""
+    return vouchers.select("voucher_id", *[F.get("items", F.lit(0)).getField(f).alias(f"item_{f}") for f in fields])
+
+
 def quality_gap(vouchers: DataFrame, fields: tuple[str, ...], least: float = 60) -> DataFrame:
     """One row: vouchers, those read well (confidence of `least`), those with all fields, and the gap between them."""
     parsed = sum((F.col(f).isNull().cast("int") for f in fields), F.lit(0)) == 0

@@ -210,6 +210,13 @@ def crop_scan(boxes: DataFrame, least: float = 20) -> DataFrame:
     return boxes.agg(F.count("*").alias("n"), F.count("auto_crop").alias("with_auto"), F.count_if(F.col("auto_crop").isNull()).alias("without_auto"), F.count_if(small).alias("n_small"))
 
 
+def small_boxes(boxes: DataFrame, least: float = 20, most: int = 5) -> DataFrame:
+    """(id, auto_crop): the first `most` annotations by id whose automatic box has a side below `least`, as examples."""
+    side = lambda s: F.col(f"auto_crop.{s}")
+    small = (side("width") != 0) & (side("height") != 0) & (F.least(side("width"), side("height")) < least)
+    return boxes.where(small).select("id", "auto_crop").orderBy("id", "auto_crop").limit(most)
+
+
 def size_model(examples: DataFrame) -> DataFrame:
     """One row: the number of examples and the mean sides of the boxes that people drew."""
     return examples.agg(F.count("*").alias("n"), F.avg("user_crop.width").alias("width"), F.avg("user_crop.height").alias("height"))

@@ -682,13 +682,56 @@ def neighbour_model(spark, sf_dir):
     return context.neighbour_model(examples(spark, sf_dir).where("field <> 'net_total'"))
 
 
-@query()
+_TOP = "arg_max(corrected, n * 1000000000000 - first_seen)"
+
+
+def suggestions_sql(examples: str, rows: str) -> str:
+    """SQL of suggestions: examples (voucher_id, field, auto, corrected, context, supplier_key); rows (voucher_id, place, field, auto, context, supplier_key)."""
+    counted = lambda keys: f"SELECT {keys}, corrected, count(*) AS n, min(voucher_id) AS first_seen FROM ({examples}) GROUP BY ALL"
+    return f"""
+SELECT voucher_id, place, field, auto, CASE WHEN top.c >= 0.7 THEN top.v END AS suggestion, coalesce(top.c, 0) AS confidence, top.s AS source, offers, top.v AS best FROM (
+ SELECT *, list_sort(CASE WHEN len(same) > 0 THEN list_concat(offers, [{{c: least(0.98, list_max([x.c FOR x IN same]) + 0.1), o: 3, v: same[1].v, s: 'combined'}}]) ELSE offers END)[-1] AS top FROM (
+  SELECT *, [x FOR x IN offers IF len([y FOR y IN offers IF y.v = x.v]) > 1] AS same FROM (
+   SELECT r.*, [x FOR x IN [
+     CASE WHEN p.c >= 0.5 THEN {{c: p.c::DOUBLE, o: 0, v: p.v, s: 'pattern'}} END, CASE WHEN x.c >= 0.5 THEN {{c: (x.c * 0.9)::DOUBLE, o: -1, v: x.v, s: 'context'}} END,
+     CASE WHEN s.c >= 0.4 THEN {{c: (s.c * 0.95)::DOUBLE, o: -2, v: s.v, s: 'supplier'}} END] IF x IS NOT NULL] AS offers
+   FROM ({rows}) r
+   LEFT JOIN (SELECT key, {_TOP} AS v, CASE WHEN count(*) = 1 AND sum(n) >= 3 THEN 0.95::DOUBLE ELSE max(n) / sum(n) END AS c FROM ({counted("field || ':' || lower(trim(auto)) AS key")}) WHERE key IS NOT NULL GROUP BY key) p ON p.key = r.field || ':' || lower(trim(r.auto))
+   LEFT JOIN (SELECT field, context, {_TOP} AS v, max(n) / sum(n) AS c FROM ({counted("field, context")}) WHERE context IS NOT NULL GROUP BY 1, 2) x ON x.field = r.field AND x.context = r.context
+   LEFT JOIN (SELECT supplier_key, field, {_TOP} AS v, max(n) / sum(n) AS c FROM ({counted("supplier_key, field")}) WHERE supplier_key IS NOT NULL GROUP BY 1, 2) s ON s.supplier_key = r.supplier_key AND s.field = r.field)))"""
+
+
+KEYED_SQL = f"SELECT voucher_id, field, field AS place, auto, corrected, {CONTEXT_SQL} AS context, supplier_name AS supplier_key FROM ({EXAMPLES_SQL})"
+
+
+@query(f"SELECT voucher_id, field, auto, suggestion, round(confidence, 9) AS confidence, source, len([x FOR x IN offers IF x.v <> best]) AS n_alternatives FROM ({suggestions_sql(KEYED_SQL, KEYED_SQL)})".replace("len([x FOR", "CAST(len([x FOR").replace("<> best]) AS", "<> best]) AS INT) AS"))
 def suggestions(spark, sf_dir):
     e = examples(spark, sf_dir).persist()
     made = context.suggestions(e.drop("corrected"), e)
     return made.select("voucher_id", "field", "auto", "suggestion", F.round("confidence", 9).alias("confidence"), "source", F.size("alternatives").alias("n_alternatives"))
 
 
+#: A machine's header, and its items, whose names the even vouchers teach.
+HEADED_SQL = f"SELECT voucher_id, 'supplier_name' AS place, 'supplier_name' AS field, supplier_auto AS auto, 'name|supp\\s*name' AS context, supplier_auto AS supplier_key FROM ({PAIRS_SQL}) UNION ALL SELECT voucher_id, 'voucher_number', 'voucher_number', number_auto, 'voucher\\s*number', supplier_auto FROM ({PAIRS_SQL})".replace("\\\\", "\\")
+CELLS_SQL = f"SELECT i.voucher_id, 'items[' || (place - 1)::VARCHAR || '].item_name' AS place, 'item_item_name' AS field, 'ltem ' || (part % 50)::VARCHAR AS auto, 'Item ' || (part % 50)::VARCHAR AS corrected, NULL::VARCHAR AS context, supplier_auto AS supplier_key FROM ({_PLACED}) i JOIN ({PAIRS_SQL}) USING (voucher_id)"
+TAUGHT_SQL = f"SELECT voucher_id, field, auto, corrected, context, supplier_key FROM ({KEYED_SQL}) WHERE field IN ('supplier_name', 'voucher_number') AND voucher_id % 2 = 0 UNION ALL SELECT voucher_id, field, auto, corrected, context, NULL FROM ({CELLS_SQL}) WHERE voucher_id % 2 = 0"
+
+
+@query(f"""SELECT h.voucher_id, coalesce(n, 0) AS n, coalesce(places, '') AS places, round(coalesce(mean, 0), 9) AS model_confidence FROM ({HEADS}) h LEFT JOIN (
+ SELECT voucher_id, count(*) AS n, string_agg(place || '=' || suggestion, '|' ORDER BY place) AS places, avg(confidence) AS mean FROM (
+ {suggestions_sql(TAUGHT_SQL, f"{HEADED_SQL} UNION ALL SELECT voucher_id, place, field, auto, context, supplier_key FROM ({CELLS_SQL})")}) WHERE suggestion IS NOT NULL GROUP BY 1) USING (voucher_id)""")
+def voucher_suggestions(spark, sf_dir):
+    """Every voucher's suggestions for its header and items, out of what the even ones' corrections teach, with their mean confidence."""
+    p = pairs(spark, sf_dir).persist()
+    part = vo.truth(spark, sf_dir).select("voucher_id", F.transform("items", lambda i: F.struct(F.concat(F.lit("ltem "), (i["part"] % 50).cast("string")).alias("item_name"), F.lit(None).cast("string").alias("quantity"), F.lit(None).cast("string").alias("unit_price"), F.lit(None).cast("string").alias("line_amount"))).alias("items"))
+    even = examples(spark, sf_dir).where("voucher_id % 2 = 0 AND field IN ('supplier_name', 'voucher_number')")
+    taught = part.where("voucher_id % 2 = 0").select("voucher_id", F.explode("items").alias("i")).select("voucher_id", F.lit("item_item_name").alias("field"), F.col("i.item_name").alias("auto"), F.replace("i.item_name", F.lit("ltem"), F.lit("Item")).alias("corrected"), F.lit(None).cast("string").alias("raw_ocr_text"), F.lit(None).cast("string").alias("supplier_name"))
+    v = p.select("voucher_id", "raw_ocr_text", "original.supplier_name", "original.voucher_number").join(part, "voucher_id")
+    made = context.voucher_suggestions(v, even.unionByName(taught))
+    told = F.array_sort(F.transform(F.map_entries("suggestions"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["suggestion"])))
+    return made.select("voucher_id", F.size("suggestions").cast("long").alias("n"), F.array_join(told, "|").alias("places"), F.round("model_confidence", 9).alias("model_confidence"))
+
+
 @query(f"SELECT voucher_id, CAST(101 AS INT) AS start, CAST(101 + length(supplier_name) AS INT) AS \"end\", 'ORG' AS label FROM ({HEADS})")
 def supplier_spans(spark, sf_dir):
     return context.spans(parsed(spark, sf_dir)).where("label = 'ORG'")

@@ -687,3 +687,74 @@ def streamed_once(spark, sf_dir):
     e = streams.event_stream(spark, sf_dir)
     once = streams.run_to_end(streams.deduplicated(e.union(e)).select("event_id", "user_id"), "once", "append")
     return once.groupBy((F.col("user_id") % 40).alias("batch")).agg(F.count("*").alias("total"))
+
+
+# --- checks and tallies ------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT voucher_id, gross_total, CAST({NET} + CASE WHEN form = 6 THEN 50 ELSE 0 END AS DECIMAL(12,2)) AS net_total,
+ CASE WHEN form = 2 THEN 'items differ from gross_total' WHEN form IN (5, 6) THEN 'gross_total less deductions is not net_total' ELSE '' END AS warnings,
+ CASE form WHEN 1 THEN 'gross_total from items' WHEN 2 THEN 'gross_total corrected to items' WHEN 3 THEN 'net_total from gross_total' WHEN 4 THEN 'gross_total from net_total' WHEN 5 THEN 'net_total corrected from gross_total' ELSE '' END AS corrections
+ FROM (SELECT *, voucher_id % 7 AS form FROM ({HEADS}))""")
+def checked_totals(spark, sf_dir):
+    """By form: a gross that is missing or ten times too large, a missing net, both a gross and items missing, a wrong net with and without items."""
+    form, b = F.col("voucher_id") % 7, booked(spark, sf_dir)
+    v = b.withColumns({
+        "items": F.when(form.isin(4, 6), F.slice("items", 1, 0)).otherwise(F.col("items")), "gross_total": F.when(form == 2, F.col("gross_total") * 10).when(~form.isin(1, 4), F.col("gross_total")).cast("decimal(14,2)"),
+        "net_total": F.when(form.isin(5, 6), F.col("net_total") + 50).when(form != 3, F.col("net_total")).cast("decimal(12,2)"),
+    })
+    return validate.checked_totals(v).select("voucher_id", "gross_total", "net_total", F.array_join("warnings", "; ").alias("warnings"), F.array_join("corrections", "; ").alias("corrections"))
+
+
+#: Texts in both dialects: numbers run into their label, marks before values, a misread supplier label.
+MESSY = """CASE voucher_id % 4 WHEN 0 THEN 'Voucher #' || voucher_number || ' Date: 12/03 Supp. Name ' || supplier_name || ' Total 5' WHEN 1 THEN 'VoucherNumber' || CAST(100000 + voucher_id % 50 AS STRING) || ' Nane ' || supplier_name
+ WHEN 2 THEN 'Supplier ' || supplier_name || ' No ' || voucher_number || ' Comm ' || CAST(voucher_id % 9 AS STRING) ELSE 'Supp Name ' || supplier_name || ' date ' || voucher_number END"""
+_TALLIED = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {'left(t, 20)' if kind == 'indicator' else 't'} AS token FROM (SELECT unnest(regexp_extract_all(x, '{p}', {g})) AS t FROM messy)" for kind, patterns in evaluate.TALLIED.items() for p, g in patterns)
+
+
+@query(f"""WITH messy AS (SELECT lower({MESSY.replace("STRING", "VARCHAR")}) AS x FROM ({HEADS})) SELECT kind, token, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, token) AS r FROM
+ (SELECT kind, token, count(*) AS n FROM ({_TALLIED}) GROUP BY 1, 2)) WHERE r <= 20""")
+def frequent_tokens(spark, sf_dir):
+    """The 20 most frequent labels, field indicators, garbled numbers and supplier labels of all texts; the limit is the feature."""
+    return evaluate.tallies(vo.truth(spark, sf_dir).select(F.expr(MESSY).alias("text")), "text")
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (k <> 2) AS has_voucher_number, count(*) FILTER (k NOT IN (2, 3)) AS has_supplier_name, count(*) FILTER (k NOT IN (2, 4)) AS has_gross_total,
+ count(*) FILTER (k NOT IN (2, 5)) AS has_items, count(*) FILTER (k NOT IN (2, 6)) AS has_deductions, count(*) FILTER (k = 2) AS unparsed FROM (SELECT voucher_id % 7 AS k FROM ({HEADS}))""")
+def receipt_coverage(spark, sf_dir):
+    """Vouchers that lack a field, have an empty one, a total of 0, no items, no deductions, or weren't parsed."""
+    k = F.col("voucher_id") % 7
+    cut = lambda name, form: F.when(k == form, F.slice(name, 1, 0)).otherwise(F.col(name)).alias(name)
+    parsed = F.struct("voucher_number", F.when(k == 3, "").otherwise(F.col("supplier_name")).alias("supplier_name"), F.when(k == 4, 0).otherwise(F.col("gross_total")).cast("decimal(12,2)").alias("gross_total"), cut("items", 5), cut("deductions", 6))
+    return evaluate.receipt_coverage(booked(spark, sf_dir).select(F.when(k != 2, parsed).alias("parsed")), ("voucher_number", "supplier_name", "gross_total"))
+
+
+@query(f"SELECT 'b' AS parser, count(*) FILTER (voucher_id % 4 <> 0) / count(*) AS share FROM ({HEADS})")
+def best_parser(spark, sf_dir):
+    """Of four parsers, two with the same and the largest share, the surer one; of those that are as sure, the first by name."""
+    k = F.col("voucher_id")
+    tries = [("a", 3, 60), ("b", 4, 80), ("c", 4, 80), ("d", 4, 70)]
+    rows = booked(spark, sf_dir).select("voucher_id", F.inline(F.array(*[F.struct(F.lit(p).alias("parser"), F.lit("voucher_number").alias("field"), F.when(k % m != 0, F.col("voucher_number")).alias("predicted"), F.col("voucher_number").alias("actual"), F.lit(c).cast("double").alias("confidence")) for p, m, c in tries])))
+    return evaluate.best_parser(evaluate.parser_scores(rows)).select("parser", "share")
+
+
+@query(f"SELECT DISTINCT id, aw AS width, ah AS height FROM ({BOXES_SQL}) WHERE least(aw, ah) < 20 ORDER BY id, width, height LIMIT 5")
+def small_boxes(spark, sf_dir):
+    """Five examples of automatic boxes with a side below 20; the limit is the feature."""
+    return learn.small_boxes(boxes(spark, sf_dir).distinct()).select("id", "auto_crop.width", "auto_crop.height")
+
+
+@query(f"""SELECT field, count(*) AS n, avg(b::INT::DOUBLE) AS before, avg(a::INT::DOUBLE) AS after FROM (
+ SELECT 'item_item_name' AS field, FALSE AS b, item_name IN (SELECT item_name FROM {TAUGHT}) AS a FROM ({ITEM_ROWS_SQL}) WHERE position = 0
+ UNION ALL SELECT 'item_quantity', FALSE, quantity IN (SELECT quantity FROM {TAUGHT}) FROM ({ITEM_ROWS_SQL}) WHERE position = 0
+ UNION ALL SELECT 'item_line_amount', TRUE, TRUE FROM ({ITEM_ROWS_SQL}) WHERE position = 0) GROUP BY field""")
+def validated_items(spark, sf_dir):
+    """How right the fields of first items are before and after learned values."""
+    v = misread_items(spark, sf_dir)
+    taught = v.where("voucher_id % 3 = 1").select("voucher_id", F.struct(F.col("wrong").alias("items")).alias("original"), F.struct("items").alias("corrected"))
+    model = learn.value_model(learn.item_diffs(taught).withColumn("field", F.concat(F.lit("item_"), "field")))
+    fields = ("item_name", "quantity", "line_amount")
+    first = lambda df: evaluate.first_items(df, fields)
+    machine, right, names = v.select("voucher_id", F.col("wrong").alias("items")), first(v), tuple(f"item_{f}" for f in fields)
+    before, after = (evaluate.field_accuracy(first(x), right, names) for x in (machine, context.learned_items(machine, model)))
+    return before.select("field", "n", F.col("accuracy").alias("before")).join(after.select("field", F.col("accuracy").alias("after")), "field")

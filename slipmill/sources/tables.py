@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 BOX = "struct<x:double,y:double,width:double,height:double>"
 FEEDBACK = "id string, source string, source_file string, voucher_id long, timestamp timestamp_ntz, raw_ocr_text string, corrections map<string,struct<original:string,corrected:string>>"
-CROPS = f"id string, original_filename string, timestamp timestamp_ntz, user_crop {BOX}, auto_crop {BOX}"
+CROPS = f"id string, original_filename string, timestamp timestamp_ntz, user_crop {BOX}, auto_crop {BOX}, image_size struct<width:long,height:long>"
 
 
-def file_manifest(spark: SparkSession, path: str, batch_id: str, pattern: str = "*.{png,jpg,jpeg,bmp,tiff}") -> DataFrame:
-    """A row per image file: name, path, size, hash, batch, status. The content goes once it is hashed."""
+IMAGES = ("png", "jpg", "jpeg", "bmp", "tiff")
+#: A glob of the image files' names, in any case.
+IMAGE_FILES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in IMAGES) + "}"
+
+
+def file_manifest(spark: SparkSession, path: str, batch_id: str, pattern: str = IMAGE_FILES) -> DataFrame:
+    """A row per file whose name matches: name, path, size, hash, type, batch, status. The content goes once it is hashed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("original_filename"), F.col("path").alias("file_path"), F.col("length").alias("file_size_bytes"), F.md5("content").alias("file_hash"), F.lit(batch_id).alias("upload_batch_id"), F.lit("pending").alias("processing_status"))
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    mime = F.when(kind.isin(*IMAGES), F.concat(F.lit("image/"), F.when(kind == "jpg", "jpeg").otherwise(kind)))
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("original_filename"), F.col("path").alias("file_path"), F.col("length").alias("file_size_bytes"), F.md5("content").alias("file_hash"), mime.alias("mime_type"),
+        F.lit(batch_id).alias("upload_batch_id"), F.lit("pending").alias("processing_status"),
+    )
 
 
 def duplicate_files(manifest: DataFrame) -> DataFrame:
