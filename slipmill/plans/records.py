@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
@@ -576,7 +578,7 @@ def failing_examples(spark, sf_dir):
 def issue_report(spark, sf_dir):
     """What is wrong with suppliers' names, after the correction chain and the base profile."""
     k = F.col("voucher_id") % 5
-    v = profiles.extract(vo.rendered(spark, sf_dir), "base")
+    v = profiles.extract(text.correct_text(vo.rendered(spark, sf_dir, noisy=True)), "base")
     name = F.when(k == 0, None).when(k == 1, "A").when(k == 2, F.concat(F.lit("OF "), "vendor_details")).when(k == 3, F.repeat(F.lit("N"), 60)).otherwise(F.col("supplier_name"))
     return evaluate.issue_report(v.withColumn("supplier_name", name))
 
@@ -758,3 +760,80 @@ def validated_items(spark, sf_dir):
     machine, right, names = v.select("voucher_id", F.col("wrong").alias("items")), first(v), tuple(f"item_{f}" for f in fields)
     before, after = (evaluate.field_accuracy(first(x), right, names) for x in (machine, context.learned_items(machine, model)))
     return before.select("field", "n", F.col("accuracy").alias("before")).join(after.select("field", F.col("accuracy").alias("after")), "field")
+
+
+# --- cases of single rules, dealt to vouchers by number ----------------------------------------------------------------
+
+
+def _spelled(case: str, spark: bool):
+    """A case's text for a voucher, {n} its number and {s} its supplier: a column, or SQL."""
+    pieces = [{"{n}": "voucher_number", "{s}": "supplier_name"}.get(x, x) if i % 2 else x for i, x in enumerate(re.split(r"(\{[ns]\})", case))]
+    if spark:
+        return F.concat(*[F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
+    return " || ".join(x if i % 2 else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for i, x in enumerate(pieces))
+
+
+def dealt(spark, sf_dir, cases, f) -> DataFrame:
+    """(voucher_id, shown): each voucher with f of one of the cases' texts."""
+    k = F.col("voucher_id") % len(cases)
+    value = F.element_at(F.array(*[_spelled(c, True) for c, _ in cases]), (k + 1).cast("int"))
+    return vo.truth(spark, sf_dir).select("voucher_id", value.alias("value")).select("voucher_id", f(F.col("value")).alias("shown"))
+
+
+def dealt_sql(cases) -> str:
+    return f"SELECT voucher_id, [{', '.join(_spelled(want, False) for _, want in cases)}][1 + (voucher_id % {len(cases)})::INT] AS shown FROM ({HEADS})"
+
+
+STEPS = {
+    "global": (text.fix_global, (("6rand Total {n}", "GrandTotal {n}"), ("1essForDam {n}", "LessForDam {n}"), ("Un1oading 5", "UnLoading 5"), ("on 0570372024", "on 05/03/2024"), ("1YFAndCash 7", "L/FAndCash 7"))),
+    "terms": (text.fix_terms, (("Vouch3r No", "Voucher No"), ("SuppNane {s}", "Supp Name {s}"), ("Dat3 1/2", "Date 1/2"), ("GrandTotal", "Grand Total"), ("Tota {n}", "Tota {n}"), ("Tota 12", "Total 12"), ("LessForDamnages x", "Less For Damages x"))),
+    "early_numbers": (text.tag_early_numbers, (("No {n}\nx 12\n{n} and 5", "No VoucherNumber{n}\nx 12\nVoucherNumber{n} and 5"), ("Date 01/02/2024 {n}", "Date 01/02/2024 {n}"), ("a\nb\nc\n{n}", "a\nb\nc\n{n}"))),
+    "labels": (text.fix_labels, (("Vouch3rNumb3r 5", "VoucherNumber 5"), ("Youch3r {n}", "Voucher {n}"), ("Youch3rDat3 x", "VoucherDat3 x"), ("vouch3r", "Voucher"))),
+    "voucher_numbers": (text.tag_voucher_numbers, (("Voucher No {n}", "Voucher No VoucherNumber{n}"), ("Number {n} 4567", "Number VoucherNumber{n} VoucherNumber4567"), ("Sum {n}", "Sum {n}"), ("Voucher {n}\nagain {n}", "Voucher VoucherNumber{n}\nagain VoucherNumber{n}"))),
+    "digits": (text.fix_digits, (("Amt 1O.5O", "Amt 10.50"), ("Date 1O", "Date 1O"), ("B7 x B", "87 x 8"), ("{s}", "{s}"), ("$4 and 2Z", "54 and 22"))),
+    "amounts": (text.fix_amounts, (("Total {n}", "Total {n}.00"), ("x 12300", "x 123.00"), ("Cash 12300", "Cash 12300.00"), ("Qty {n}", "Qty {n}"), ("Comm 7.5", "Comm 7.5"))),
+    "decimals": (text.fix_decimals, (("12on", "12.00"), ("45h", "45.00"), ("77do", "77.00"), ("8. x", "8.00 x"), ("x 1234 y", "x 1234.00 y"), ("podon", "50.00"))),
+    "all_decimals": (text.correct_decimals, (("Total {n}on", "Total {n}.00"), ("a  b\n\n45h", "a b\n45.00"), ("-   5", "- 5"), ("  {s}  ", "{s}"))),
+    "chain": (None, (("SuppNane   {s}", "Supp Name {s}"), ("Cash  {n}", "Cash VoucherNumber{n}"), ("Vouch3r  Numb3r : {n}", "Voucher Numb3r: VoucherNumber{n}"), ("a\nb\nc\nCash  {n}", "a\nb\nc\nCash {n}.00"))),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS step, voucher_id, shown FROM ({dealt_sql(cases)})" for name, (_, cases) in STEPS.items()))
+def correction_steps(spark, sf_dir):
+    """Each step of the correction chains, and one chain as a whole, on its own misreads."""
+    rows = []
+    for name, (step, cases) in STEPS.items():
+        made = dealt(spark, sf_dir, cases, step) if step else text.correct_text(dealt(spark, sf_dir, cases, lambda c: c), "shown")
+        rows.append(made.select(F.lit(name).alias("step"), "voucher_id", "shown"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+RULES = {
+    "voucher_number": (("{n}", ""), ("7", "Too short (minimum 2 digits);Value looks like a day/month"), ("123456", "Too long (maximum 5 digits);Outside reasonable voucher number range"), ("2024", "Value is a year (2020-2030), not a voucher number"), ("12", "Value looks like a day/month"), ("12a", "Must be numeric"), ("", "Empty value")),
+    "voucher_date": (("2024-03-05", ""), ("2019-01-01", "Year outside reasonable range (2020-2030)"), ("2025-12-31", "Date is in the future"), ("2031-01-01", "Year outside reasonable range (2020-2030);Date is in the future"), ("{s}", "Invalid date format"), ("", "Empty value")),
+    "supplier_name": (("{s}", ""), ("A", "Too short (minimum 2 characters)"), ("N" * 51, "Too long (maximum 50 characters)"), ("{n}", "Cannot be purely numeric;Must contain at least one letter"), ("--", "Must contain at least one letter"), ("Grand {s}", "Contains non-supplier keywords"), ("", "Empty value")),
+    "net_total": (("{n}.50", ""), ("-5", "Cannot be negative;Too small (minimum 0.01)"), ("0.001", "Too small (minimum 0.01);Too many decimal places"), ("100000.01", "Too large (maximum 100000)"), ("{n}.125", "Too many decimal places"), ("", "Empty value")),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{field}' AS field, voucher_id, shown FROM ({dealt_sql(cases)})" for field, cases in RULES.items()))
+def rule_cases(spark, sf_dir):
+    """Every rule of numbers, dates, suppliers and amounts, as of a fixed day."""
+    rows = [dealt(spark, sf_dir, cases, lambda c, field=field: F.array_join(validate.field_errors(field, c, "2025-06-30"), ";")).select(F.lit(field).alias("field"), "voucher_id", "shown") for field, cases in RULES.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+AMOUNTS = (("Sum 1,234.56", "1234.56;1.00;234.56"), ("x 12345.67 y", "12345.67;12345.67;12345.67"), ("7.50", "7.50"), ("0.00", ""), ("{s}", ""), ("No {n}.25", "{n}.25"))
+
+
+@query(dealt_sql(AMOUNTS))
+def amount_forms(spark, sf_dir):
+    """Amounts with a mark of thousands, of five digits, small ones, none; by all three patterns."""
+    return dealt(spark, sf_dir, AMOUNTS, lambda c: F.array_join(F.transform(text.amounts(c), lambda a: a.cast("string")), ";"))
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, md5(regexp_replace(text, '[^{allowed}]', '', 'g')) AS digest FROM documents" for kind, allowed in text.ALLOWED.items()))
+def only_kinds(spark, sf_dir):
+    """What each of the six kinds of fields leaves of every document."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return d.select("doc_id", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.md5(text.only(F.col("text"), kind)).alias("digest")) for kind in text.ALLOWED])))
