@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from slipmill.plans import records  # noqa: F401  its queries join the others
 from slipmill.plans.queries import QUERIES
 
-HEADLINE = ("supplier_spend", "v2_fields", "quality_fields", "receipts", "value_model", "voted_attempts", "crop_model", "calibration", "streamed_counters", "written_vouchers")
+HEADLINE = ("supplier_spend", "v2_fields", "quality_fields", "receipts", "value_model", "voted_attempts", "crop_model", "calibration", "streamed_counters", "written_vouchers", "applied_models", "validated_fields", "robust_path")
 
 
 def main() -> None:

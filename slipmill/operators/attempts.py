@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipmill.functions.fuzzy import ratio
+from slipmill.sources.folders import by_size, written
 
 
 def _top(attempts: DataFrame, score) -> DataFrame:
@@ -40,18 +41,30 @@ def until_good(attempts: DataFrame, good: float = 85, most: int = 3) -> DataFram
 
 def line_vote(attempts: DataFrame) -> DataFrame:
     """(voucher_id, text): of each line number the variant with the best score: confidence, length up to 10, printable
-    share x 10, and 5 for each other attempt's line by their similarity. Ratios are taken of distinct pairs."""
-    rows = attempts.select("voucher_id", "attempt", "confidence", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(F.trim("x") != "")
-    other = rows.select("voucher_id", "line", F.col("attempt").alias("o"), F.col("x").alias("y"))
-    pairs = rows.join(other, ["voucher_id", "line"]).where("attempt <> o")
-    # Equal lines are alike by 1 without a ratio: they get a key of their own, so that a usual line is no hot key.
-    pairs = pairs.withColumn("z", F.when(F.col("x") == F.col("y"), F.concat(F.lit("="), F.col("voucher_id").cast("string"))).otherwise(F.col("y")))
-    known = pairs.where("x <> y").select("x", F.col("y").alias("z")).distinct().withColumn("r", ratio(F.col("x"), F.col("z")))
-    like = pairs.join(known, ["x", "z"], "left").groupBy("voucher_id", "line", "attempt").agg(F.sum(F.coalesce("r", F.lit(1.0))).alias("like"))
+    share x 10, and 5 for each other attempt's line by their similarity; ties go to the earlier attempt.
+
+    A voucher's attempts, which are few, stand side by side in a row. Only lines in which they differ leave it, and of
+    their pairs each distinct one is compared once.
+    """
+    own = F.array_sort(F.collect_list(F.struct("attempt", "confidence", F.split("text", "\n").alias("ls"))))
+    rows = attempts.where("text IS NOT NULL").groupBy("voucher_id").agg(own.alias("t"))
+    n = F.array_max(F.transform("t", lambda a: F.size(a["ls"])))
+    variants = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(F.transform("t", lambda a: F.struct(a["attempt"].alias("attempt"), a["confidence"].alias("confidence"), F.get(a["ls"], i).alias("x"))), lambda v: F.coalesce(F.trim(v["x"]), F.lit("")) != ""))
+    rows = written(rows.select("voucher_id", variants.alias("v")), "variants")
+    differ = lambda v: F.size(F.array_distinct(F.transform(v, lambda a: a["x"]))) > 1
+    open_ = rows.select("voucher_id", F.posexplode("v").alias("line", "v")).where(differ(F.col("v")))
+    each = open_.select("voucher_id", "line", "v", F.inline("v"))
+    others = each.select("voucher_id", "line", "attempt", "confidence", "x", F.explode(F.filter("v", lambda o: o["attempt"] != F.col("attempt"))).alias("o")).withColumn("y", F.col("o.x")).drop("o")
+    known = by_size(others.where("x <> y").select("x", "y").distinct().withColumn("r", ratio(F.col("x"), F.col("y"))))
+    like = others.where("x = y").withColumn("r", F.lit(1.0)).unionByName(others.where("x <> y").join(known, ["x", "y"]).select(*others.columns, "r"))
     plain = F.length(F.regexp_replace("x", r"[^\x20-\x7E]", "")) / F.length("x")
-    score = F.col("confidence") + F.least(F.length("x") / 2, F.lit(10)) + plain * 10 + 5 * F.coalesce("like", F.lit(0.0))
-    best = rows.join(like, ["voucher_id", "line", "attempt"], "left").groupBy("voucher_id", "line").agg(F.max_by("x", F.struct(score, -F.col("attempt"))).alias("x"))
-    return best.groupBy("voucher_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "x"))), lambda s: s["x"]), "\n").alias("text"))
+    score = F.col("confidence") + F.least(F.length("x") / 2, F.lit(10)) + plain * 10 + 5 * F.col("like")
+    scored = like.groupBy("voucher_id", "line", "attempt", "confidence", "x").agg(F.sum("r").alias("like"))
+    best = scored.groupBy("voucher_id", "line").agg(F.max_by("x", F.struct(score, -F.col("attempt"))).alias("x"))
+    chosen = best.groupBy("voucher_id").agg(F.map_from_entries(F.collect_list(F.struct("line", "x"))).alias("best"))
+    lines = F.array_compact(F.transform("v", lambda v, i: F.coalesce(F.try_element_at("best", i), F.get(v, F.lit(0))["x"])))
+    voted = rows.join(chosen, "voucher_id", "left").select("voucher_id", F.array_join(lines, "\n").alias("text"))
+    return voted.where("text <> ''")
 
 
 def field_confidence(text: Column, n_attempts: Column) -> Column:

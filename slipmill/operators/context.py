@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipmill.functions.values import MONEY, any_date, number
-from slipmill.operators.learn import best, by_size, find_all, pattern_model, suggest
+from slipmill.operators.learn import best, find_all, pattern_model, suggest
+from slipmill.sources.folders import by_size
 
 #: The labels whose presence makes a field's context.
 MARKERS = {

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipmill.functions.fuzzy import ratio, ratio_bound, replaced_blocks
+from slipmill.sources.folders import by_size, written
 
 FIELDS = ("supplier_name", "voucher_date", "voucher_number", "gross_total", "net_total")
 
@@ -75,7 +76,7 @@ def apply_substitutions(rows: DataFrame, model: DataFrame, column: str, least: f
         own = parts.join(sure, "bad").groupBy("_text").agg(F.collect_set(F.struct(F.col("first_seen").cast("long").alias("first_seen"), "bad", "good")).alias("_own"))
         every = F.array_sort(F.array_union("_subs", F.coalesce("_own", none)))
         step = texts.join(own, "_text", "left").select("_text", F.size("_subs").alias("_had"), every.alias("_subs")).withColumn("_now", fold(F.col("_text"), F.col("_subs")))
-        texts = step.persist()  # small: distinct texts of a field
+        texts = written(step, "texts")  # distinct texts of a field; each round's plan begins there
         if texts.where("size(_subs) > _had").isEmpty():
             break
         texts = texts.drop("_had")
@@ -99,20 +100,6 @@ def anchors(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return found.groupBy("supplier_key", "field", "anchor").agg(F.count("*").alias("n"), F.min("voucher_id").alias("first_seen"))
 
 
-#: Rows up to which a table out of the data is broadcast, once it has been counted.
-BROADCAST_ROWS = 50_000
-
-
-def by_size(df: DataFrame) -> DataFrame:
-    """df, written once, to be broadcast if it has BROADCAST_ROWS rows at most; joins shuffle it otherwise."""
-    from slipmill.streaming.streams import work_folder
-
-    folder = work_folder(df.sparkSession, "counted")
-    df.write.parquet(folder)
-    kept = df.sparkSession.read.schema(df.schema).parquet(folder)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-
-
 def find_all(rows: DataFrame, model: DataFrame, least: float = 0.82) -> DataFrame:
     """(voucher_id, field, value, confidence): of each field that the voucher's supplier has anchors for, what follows one.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipmill.streaming.streams import work_folder
+from slipmill.sources.folders import written
 
 
 def placed(rows: DataFrame, group: str, order: tuple[str, ...], name: str = "place") -> DataFrame:
@@ -17,10 +17,8 @@ def placed(rows: DataFrame, group: str, order: tuple[str, ...], name: str = "pla
     ranges are a range's offset. So a group may fill any number of tasks. The order should tell rows apart.
     """
     keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
-    folder = work_folder(rows.sparkSession, "placed")
     sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    sorted_.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}).write.parquet(folder)
-    dealt = rows.sparkSession.read.parquet(folder)
+    dealt = written(sorted_.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "placed")
     per = dealt.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("_g", "_r", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))

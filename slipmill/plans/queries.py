@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slipmill.functions import fuzzy, text, values
 from slipmill.operators import attempts, backup, context, evaluate, extract, history, learn, profiles, publish, ranking, robust, validate
 from slipmill.plans import vouchers as vo
+from slipmill.sources.folders import written
 from slipmill.streaming import streams
 
 HEADS, ITEMS = vo.HEADS_SQL, vo.ITEMS_SQL
@@ -654,7 +655,7 @@ def parser_scores(spark, sf_dir):
 
 
 def examples(spark, sf_dir) -> DataFrame:
-    p = pairs(spark, sf_dir).persist()  # both sides of the join read it
+    p = written(pairs(spark, sf_dir))  # both sides of the join read it
     return learn.header_diffs(p).join(p.select("voucher_id", "raw_ocr_text", F.col("corrected.supplier_name").alias("supplier_name")), "voucher_id")
 
 
@@ -706,7 +707,7 @@ KEYED_SQL = f"SELECT voucher_id, field, field AS place, auto, corrected, {CONTEX
 
 @query(f"SELECT voucher_id, field, auto, suggestion, round(confidence, 9) AS confidence, source, len([x FOR x IN offers IF x.v <> best]) AS n_alternatives FROM ({suggestions_sql(KEYED_SQL, KEYED_SQL)})".replace("len([x FOR", "CAST(len([x FOR").replace("<> best]) AS", "<> best]) AS INT) AS"))
 def suggestions(spark, sf_dir):
-    e = examples(spark, sf_dir).persist()
+    e = written(examples(spark, sf_dir))
     made = context.suggestions(e.drop("corrected"), e)
     return made.select("voucher_id", "field", "auto", "suggestion", F.round("confidence", 9).alias("confidence"), "source", F.size("alternatives").alias("n_alternatives"))
 
@@ -722,7 +723,7 @@ TAUGHT_SQL = f"SELECT voucher_id, field, auto, corrected, context, supplier_key
  {suggestions_sql(TAUGHT_SQL, f"{HEADED_SQL} UNION ALL SELECT voucher_id, place, field, auto, context, supplier_key FROM ({CELLS_SQL})")}) WHERE suggestion IS NOT NULL GROUP BY 1) USING (voucher_id)""")
 def voucher_suggestions(spark, sf_dir):
     """Every voucher's suggestions for its header and items, out of what the even ones' corrections teach, with their mean confidence."""
-    p = pairs(spark, sf_dir).persist()
+    p = written(pairs(spark, sf_dir))
     part = vo.truth(spark, sf_dir).select("voucher_id", F.transform("items", lambda i: F.struct(F.concat(F.lit("ltem "), (i["part"] % 50).cast("string")).alias("item_name"), F.lit(None).cast("string").alias("quantity"), F.lit(None).cast("string").alias("unit_price"), F.lit(None).cast("string").alias("line_amount"))).alias("items"))
     even = examples(spark, sf_dir).where("voucher_id % 2 = 0 AND field IN ('supplier_name', 'voucher_number')")
     taught = part.where("voucher_id % 2 = 0").select("voucher_id", F.explode("items").alias("i")).select("voucher_id", F.lit("item_item_name").alias("field"), F.col("i.item_name").alias("auto"), F.replace("i.item_name", F.lit("ltem"), F.lit("Item")).alias("corrected"), F.lit(None).cast("string").alias("raw_ocr_text"), F.lit(None).cast("string").alias("supplier_name"))
@@ -740,11 +741,11 @@ def supplier_spans(spark, sf_dir):
 @query(f"SELECT voucher_id, CASE WHEN number_auto IS NULL AND supplier_auto <> supplier_name THEN NULL ELSE voucher_number END AS voucher_number, voucher_date, supplier_auto AS supplier_name FROM ({PAIRS_SQL})")
 def applied_models(spark, sf_dir):
     """Numbers that the machine missed, found again by anchors of the supplier, where its name was read right."""
-    p = pairs(spark, sf_dir).persist()  # each model and each field reads it
+    p = written(pairs(spark, sf_dir))  # each model and each field reads it
     values = learn.value_model(learn.header_diffs(p))
     right = p.select("voucher_id", "raw_ocr_text", "corrected.supplier_name", "corrected.voucher_number", "corrected.voucher_date")
     machine = p.select("voucher_id", "raw_ocr_text", "original.supplier_name", "original.voucher_number", "original.voucher_date", "original.gross_total", "original.net_total")
-    marks = learn.anchors(right, ("voucher_number", "voucher_date")).persist()
+    marks = written(learn.anchors(right, ("voucher_number", "voucher_date")))
     return context.apply_learned(machine, values, marks, fields=("voucher_number", "voucher_date")).select("voucher_id", "voucher_number", "voucher_date", "supplier_name")
 
 
@@ -849,7 +850,7 @@ SESSIONS_SQL = f"SELECT session, ts, n_corrections, coalesce(n_patterns, 0) AS n
 
 def trained(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Corrections by session (a batch of vouchers), and the patterns they gave."""
-    c = learn.header_diffs(pairs(spark, sf_dir)).withColumns({"session": F.col("voucher_id") % 40, "ts": F.col("voucher_id") % 40}).drop("voucher_id").persist()
+    c = written(learn.header_diffs(pairs(spark, sf_dir)).withColumns({"session": F.col("voucher_id") % 40, "ts": F.col("voucher_id") % 40}).drop("voucher_id"))
     return c, history.learned(c)
 
 
@@ -908,13 +909,13 @@ def validation(spark, sf_dir, held_out: bool) -> tuple[DataFrame, DataFrame]:
     With held_out, models learn from four fifths of the vouchers, and accuracy is that of the fifth that a hash of the
     key sets apart; else models learn from all vouchers, and all are scored.
     """
-    right = vo.truth(spark, sf_dir).select("voucher_id", *VALIDATED).persist()
-    made = profiles.extract(vo.rendered(spark, sf_dir, noisy=True), "base").select("voucher_id", "raw_ocr_text", *VALIDATED, "net_total").persist()
+    right = written(vo.truth(spark, sf_dir).select("voucher_id", *VALIDATED))
+    made = written(profiles.extract(vo.rendered(spark, sf_dir, noisy=True), "base").select("voucher_id", "raw_ocr_text", *VALIDATED, "net_total"))
     both = made.select("voucher_id", "raw_ocr_text", F.struct(*VALIDATED).alias("original")).join(right.select("voucher_id", F.struct(*VALIDATED).alias("corrected")), "voucher_id")
     if held_out:
         both = both.where(evaluate.in_training(F.col("voucher_id")))
     model = learn.value_model(learn.header_diffs(both, VALIDATED))
-    marks = learn.anchors(both.select("voucher_id", "raw_ocr_text", "corrected.*"), VALIDATED[:2]).persist()  # each field reads the small model
+    marks = written(learn.anchors(both.select("voucher_id", "raw_ocr_text", "corrected.*"), VALIDATED[:2]))  # each field reads the small model
     if held_out:
         made = made.where(~evaluate.in_training(F.col("voucher_id")))
     after = context.apply_learned(made, model, marks, fields=VALIDATED[:2])
@@ -950,10 +951,10 @@ def robust_path(spark, sf_dir):
     clean, t = vo.rendered(spark, sf_dir), F.col("raw_ocr_text")
     tries = [(0, t), (1, F.replace(t, F.lit("Voucher Number"), F.lit("V0ucher Numb"))), (2, t)]
     rows = clean.select("voucher_id", F.inline(F.array(*[F.struct(F.lit(i).alias("attempt"), x.alias("text"), F.lit(70.0).alias("confidence")) for i, x in tries])))
-    p = pairs(spark, sf_dir).persist()
+    p = written(pairs(spark, sf_dir))
     diffs = learn.header_diffs(p)
     right = p.select("voucher_id", "raw_ocr_text", "corrected.supplier_name", "corrected.voucher_number", "corrected.voucher_date")
-    marks = learn.anchors(right, ("voucher_number", "voucher_date")).persist()  # each field reads the small model
+    marks = written(learn.anchors(right, ("voucher_number", "voucher_date")))  # each field reads the small model
     made = robust.routed(rows, learn.substitutions(diffs), learn.value_model(diffs), marks)
     return made.select("voucher_id", "voucher_number", "voucher_date", "action", F.size("warnings").cast("long").alias("n_warnings"))
 

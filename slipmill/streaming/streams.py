@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +10,12 @@ from pyspark.sql import functions as F
 
 from slipmill.operators.extract import extract_v2
 from slipmill.operators.records import one_per_id, write_vouchers
+from slipmill.sources.folders import work_folder
 from slipmill.sources.snapshots import Snapshots
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that driver and executors share; only a local session may leave it unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="slipmill-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
