@@ -22,12 +22,14 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["v2_fields"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()  # so that no query carries the start
-    took = {}
+    took, start, budget = {}, time.time(), float(os.environ.get("BENCH_BUDGET_S", "900"))
     for name in HEADLINE:
+        if time.time() - start > budget:  # the slow ones stand last; what isn't begun is told
+            break
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")), "not_begun": [q for q in HEADLINE if q not in took]}))
 
 
 if __name__ == "__main__":
