@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import MIX, WordCodes, cut, fold, may_hold, membership_filter, packed, passes, slices, stored, unpacked, utf8
+from slipmill.llm.common import MIX, WordCodes, bound_batches, cut, fold, may_hold, membership_filter, packed, passes, slices, stored, unpacked, utf8
 
 WINDOW = 50
 #: A suffix's prefix ends with the least-hashed gram of GRAM words in its first WINDOW words: SPREAD grams to choose from.
@@ -268,6 +268,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     A null text has no words; a null doc_id is larger than all others, and null ones don't repeat each other; rows
     of one doc_id don't either. Columns of docs with these names are replaced.
     """
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept")]
     keyed = docs.select(packed(names), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64("text", F.lit(7)).alias("_key"))
     found = stored(repeats(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("text_key"), "text")), "repeats")
