@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipmill.llm.common import MIX, WordCodes, bound_batches, cut, fold, may_hold, membership_filter, packed, passes, slices, stored, unpacked, utf8
+from slipmill.llm.common import MIX, WordCodes, bound_batches, fold, lean, may_hold, membership_filter, packed, passes, slices, stored, unpacked, utf8
 
 WINDOW = 50
-#: A suffix's prefix ends with the least-hashed gram of GRAM words in its first WINDOW words: SPREAD grams to choose from.
-GRAM, SPREAD = 19, 32
-#: Prefixes with more suffix runs than HEAVY are made longer, up to the whole window; words of one group's trees.
-HEAVY, GROUP_WORDS = 4096, 1_000_000
+#: Words of the gram that ends a suffix's prefix, the least-hashed one in its first WINDOW words; where a prefix's group is
+#: too large, the next of these takes its place. Each leaves a power of two of grams to choose from; the last is the window.
+GRAMS = (19, 35, 43, 47, 50)
+#: Words of distinct runs that one prefix may hold before it grows; windows of one run.
+GROUP_WORDS, RUN_WINDOWS = 250_000, 1024
 LAST = (1 << 63) - 1
 INVERSE = pow(MIX, -1, 1 << 64)
 
@@ -37,35 +38,41 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Anchors:
     """For each window of a sequence of words: the hash of the gram that ends its suffix's prefix."""
 
-    def __init__(self):
-        self.codes = WordCodes()
+    def __init__(self, gram: int):
+        self.gram, self.codes = gram, WordCodes()
         self.up, self.down = _powers(MIX, 0), _powers(INVERSE, 0)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        n = len(words)
+        n, gram = len(words), self.gram
         if n > len(self.up):
             self.up, self.down = _powers(MIX, 2 * n), _powers(INVERSE, 2 * n)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes.of(words) * self.up[:n])])
-        low = fold((sums[GRAM:] - sums[:-GRAM]) * self.down[: n - GRAM + 1])
+        low = fold((sums[gram:] - sums[:-gram]) * self.down[: n - gram + 1])
         step = 1
-        while step < SPREAD:
+        while step < WINDOW - gram + 1:
             low = np.minimum(low[:-step], low[step:])
             step *= 2
         return fold(low)
 
 
-def _runs(texts: list, anchors: Anchors):
-    """Words of the texts end to end, and the runs of windows with one anchor: document, first word, windows, anchor."""
-    each = [words_of(t) for t in texts]
+def _runs(each: list[list[bytes]], anchors: Anchors):
+    """Words of the texts end to end, and the runs of windows with one anchor: text, first word, windows, anchor.
+
+    A run has RUN_WINDOWS windows at most; where the prefix is the window, it has one.
+    """
     first = np.cumsum([0, *map(len, each)])
     words = [w for x in each for w in x]
     none = np.zeros(0, np.int64)
     if len(words) < WINDOW:
         return words, first, none, none, none, none.view(np.uint64)
     key = anchors.of(words)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))[: len(key)]
+    doc = np.repeat(np.arange(len(each)), np.diff(first))[: len(key)]
     whole = np.arange(len(key)) + WINDOW <= first[doc + 1]
-    begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])]))
+    starts = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])])
+    most = 1 if anchors.gram == WINDOW else RUN_WINDOWS
+    at = np.arange(len(key))
+    starts |= (at - np.maximum.accumulate(np.where(starts, at, 0))) % most == 0
+    begins = np.flatnonzero(starts)
     sizes = np.diff(np.append(begins, len(key)))
     ok = whole[begins]
     return words, first, doc[begins[ok]], begins[ok], sizes[ok], key[begins[ok]]
@@ -75,12 +82,13 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch["doc"].to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+@lean
 def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    anchors = Anchors()
+    anchors = Anchors(GRAMS[0])
     for batch in batches:
         ids = _ids(batch)
         for a, b, texts in slices(batch["text"]):
-            *_, doc, _, _, key = _runs(texts, anchors)
+            *_, doc, _, _, key = _runs([words_of(t) for t in texts], anchors)
             if not len(key):
                 continue
             own = ids[a:b][doc]
@@ -88,47 +96,62 @@ def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             key, own = key[order], own[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = np.append(at[1:], len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(own[at]), pa.array(own[end - 1]), pa.array(end - at)], ["anchor", "low", "high", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(own[at]), pa.array(own[end - 1])], ["anchor", "low", "high"])
 
 
-SUFFIXES = "prefix long, run_a long, run_b long, doc long, text_key long, start long, windows long, low long, words binary"
+#: A run under its prefix, the text or run it is taken from (of_a, of_b), and its first window's place there.
+SUFFIXES = "prefix long, run_a long, run_b long, of_a long, of_b long, start long, windows long, low long, words binary"
 
 
-def _suffix_runs(bits, heavy_bits):
-    """A function that emits the suffixes that begin windows with a shared prefix, as runs under their prefix.
+def _emit(each: list[list[bytes]], of: list[tuple[int, int]], lows: list[int], anchors: Anchors, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The suffixes that begin the texts' windows, as runs under their prefix, some thousands of rows at a time.
 
-    A run's words travel once a slice (with its least document); each place where it stands is a row.
+    A run's words travel once a batch of rows, with its least document; each place where it stands is a row.
     """
+    words, first, docs, begins, sizes, key = _runs(each, anchors)
+    if bits is not None:
+        shared = passes(bits, key)
+        docs, begins, sizes, key = docs[shared], begins[shared], sizes[shared], key[shared]
+    for i in range(0, len(docs), 8192):
+        j = slice(i, i + 8192)
+        rows, low, texts = [], {}, {}
+        for d, begin, n, k in zip(docs[j].tolist(), begins[j].tolist(), sizes[j].tolist(), key[j].view(np.int64).tolist(), strict=True):
+            text = b" ".join(words[begin : begin + n + WINDOW - 1])
+            digest = xxhash.xxh3_128_digest(text)
+            run = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+            low[run] = min(low.get(run, LAST), lows[d])
+            texts.setdefault(run, text)
+            rows.append((k, *run, *of[d], begin - int(first[d]), n))
+        runs = [r[1:3] for r in rows]
+        columns = [*zip(*rows, strict=True), [low[r] for r in runs], [texts.pop(r, None) for r in runs]]
+        types = [pa.int64()] * 8 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in SUFFIXES.split(", ")])
+
+
+def _suffix_runs(bits):
+    """A function over documents: runs of the suffixes that begin windows with a shared prefix."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(GRAMS[0])
+        for batch in batches:
+            ids, keys = _ids(batch).tolist(), batch["text_key"].to_pylist()
+            for a, b, texts in slices(batch["text"]):
+                yield from _emit([words_of(t) for t in texts], list(zip(ids[a:b], keys[a:b], strict=True)), ids[a:b], anchors, bits.value)
+
+    return lean(emit)
+
+
+def _longer_prefixes(gram: int):
+    """A function over distinct runs: the same windows as runs under the longer prefix."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors()
+        anchors = Anchors(gram)
         for batch in batches:
-            ids, keys = _ids(batch), batch["text_key"].to_numpy()
-            for a, _, texts in slices(batch["text"]):
-                words, first, docs, begins, sizes, key = _runs(texts, anchors)
-                shared = passes(bits.value, key)
-                docs, begins, sizes, key = docs[shared], begins[shared], sizes[shared], key[shared]
-                longer = passes(heavy_bits.value, key)
-                rows, low = [], {}
-                for d, begin, size, k, whole in zip(docs.tolist(), begins.tolist(), sizes.tolist(), key.view(np.int64).tolist(), longer.tolist(), strict=True):
-                    # A heavy prefix grows to the whole window: each suffix then is a run of its own.
-                    for at, n in ((begin + i, 1) for i in range(size)) if whole else ((begin, size),):
-                        text = b" ".join(words[at : at + n + WINDOW - 1])
-                        digest = xxhash.xxh3_128_digest(text)
-                        run = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                        doc = int(ids[a + d])
-                        low[run] = min(low.get(run, LAST), doc)
-                        rows.append((run[0] if whole else k, *run, doc, int(keys[a + d]), at - int(first[d]), n, text))
-                if rows:
-                    seen, out = set(), []
-                    for r in rows:
-                        run = r[1:3]
-                        out.append((*r[:7], low[run], None if run in seen else r[7]))
-                        seen.add(run)
-                    types = [pa.int64()] * 8 + [pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in SUFFIXES.split(", ")])
-
-    return emit
+            for i in range(0, batch.num_rows, 1024):
+                a, b, low, words = (batch[c].slice(i, 1024).to_pylist() for c in ("run_a", "run_b", "low", "words"))
+                yield from _emit([w.split() for w in words], list(zip(a, b, strict=True)), low, anchors, None)
+
+    return lean(emit)
 
 
 def deep_nodes(runs: list[list[bytes]], windows: list[int], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +203,7 @@ def deep_nodes(runs: list[list[bytes]], windows: list[int], depth: int = WINDOW)
 OWNED = "run_a long, run_b long, at long, windows long, owner long, depth long"
 
 
+@lean
 def _build_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Subtrees of a partition that is sorted by prefix, a memory-sized group of prefixes at a time.
 
@@ -220,22 +244,50 @@ def _build_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def _distinct(suffixes: DataFrame, name: str) -> DataFrame:
+    """Each run once, with the least document it stands in: a passage that is everywhere is one row."""
+    content = suffixes.where("words IS NOT NULL").groupBy("prefix", "run_a", "run_b")
+    return stored(content.agg(F.first("windows").alias("windows"), F.min("low").alias("low"), F.first("words").alias("words")), name)
+
+
+def memory_sized(suffixes: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """(suffixes, runs) for each of GRAMS as far as needed: runs are those whose prefix is no longer than that.
+
+    Prefixes whose distinct runs have more than GROUP_WORDS words grow: their runs are taken anew under the next of GRAMS.
+    At the last, a prefix is a window, and its group one run. What grows depends on the prefix alone (a filter that may
+    name others too), so that equal windows always meet.
+    """
+    spark, out = suffixes.sparkSession, []
+    for gram in (*GRAMS[1:], None):
+        runs = _distinct(suffixes, "runs")
+        large = runs.groupBy("prefix").agg(F.sum(F.col("windows") + WINDOW - 1).alias("n")).where(F.col("n") > GROUP_WORDS)
+        large = stored(large.select("prefix"), "large") if gram else None
+        n = large.count() if gram else 0
+        if not n:
+            return [*out, (suffixes, runs)]
+        grows = may_hold(spark, membership_filter(large, "prefix", n), F.col("prefix"))
+        marked = runs.withColumn("_grows", grows)
+        out.append((suffixes, marked.where("NOT _grows").drop("_grows")))
+        suffixes = stored(marked.where("_grows").select("run_a", "run_b", "low", "words").mapInArrow(_longer_prefixes(gram), SUFFIXES), "longer")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, text_key, spans): for each document with such windows, where windows begin that also begin in a document
     with a smaller doc_id, as stretches (at, windows, depth); depth is that of the deepest node, in words: the length of
     the longest maximal repeat that begins in the stretch, as far as its run of windows goes."""
     spark = docs.sparkSession
-    counted = docs.select("doc", "text").mapInArrow(_count_anchors, "anchor long, low long, high long, n long")
-    shared = counted.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high")
-    shared = stored(shared.select("anchor", "n"), "anchors")
-    heavy = shared.where(F.col("n") > HEAVY)
+    counted = docs.select("doc", "text").mapInArrow(_count_anchors, "anchor long, low long, high long")
+    shared = counted.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    shared = stored(shared.select("anchor"), "anchors")
     bits = spark.sparkContext.broadcast(membership_filter(shared, "anchor", shared.count()))
-    heavy_bits = spark.sparkContext.broadcast(membership_filter(heavy, "anchor", heavy.count()))
-    suffixes = stored(docs.mapInArrow(_suffix_runs(bits, heavy_bits), SUFFIXES), "suffixes")
-    content = suffixes.where("words IS NOT NULL").select("prefix", "run_a", "run_b", "windows", "low", "words")
-    owned = content.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_build_trees, OWNED)
-    places = suffixes.select("run_a", "run_b", "doc", "text_key", "start").join(owned, ["run_a", "run_b"]).where("owner < doc")
-    return places.groupBy("doc", "text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("at"), "windows", "depth")).alias("spans"))
+    places = None
+    for suffixes, runs in reversed(memory_sized(stored(docs.mapInArrow(_suffix_runs(bits), SUFFIXES), "suffixes"))):
+        trees = runs.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_build_trees, OWNED)
+        if places is not None:  # what was found under longer prefixes, at its place in the run it was taken from
+            trees = trees.unionByName(places.select(F.col("of_a").alias("run_a"), F.col("of_b").alias("run_b"), (F.col("start") + F.col("at")).alias("at"), "windows", "owner", "depth"))
+        places = suffixes.select("run_a", "run_b", "of_a", "of_b", "start").join(trees, ["run_a", "run_b"])
+    found = places.withColumnsRenamed({"of_a": "doc", "of_b": "text_key"}).where("owner < doc")
+    return found.groupBy("doc", "text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("at"), "windows", "depth")).alias("spans"))
 
 
 CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])

@@ -49,10 +49,41 @@ def test_brute_force(spark):
     assert sum(r[2] for r in got) > 500
 
 
-def test_heavy_prefixes_and_small_groups(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HEAVY", 2)
-    monkeypatch.setattr(substrings, "GROUP_WORDS", 10)
-    check(spark, fixture())
+def test_prefixes_grow(spark, monkeypatch):
+    """Every prefix grows to the whole window; some do."""
+    for group in (10, 300):
+        monkeypatch.setattr(substrings, "GROUP_WORDS", group)
+        check(spark, fixture())
+
+
+def test_groups_are_bounded(spark, monkeypatch):
+    """One periodic text of many lengths, and one passage in many surroundings: no prefix holds more words than it may."""
+    monkeypatch.setattr(substrings, "GROUP_WORDS", 3000)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    loop, passage = [word() for _ in range(3)], [word() for _ in range(50)]
+    docs = [(i, " ".join(loop * rng.randrange(20, 200))) for i in range(40)]
+    docs += [(100 + i, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for i in range(60)]
+    check(spark, docs)
+    found = []
+    real = substrings.memory_sized
+    monkeypatch.setattr(substrings, "memory_sized", lambda s: found.append(real(s)) or found[-1])
+    substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert len(found[0]) > 1
+    for suffixes, runs in found[0]:
+        sums = {}
+        for r in runs.collect():
+            assert len(r.words.split()) == r.windows + 49
+            sums[r.prefix] = sums.get(r.prefix, 0) + r.windows + 49
+        assert all(n <= 3000 for n in sums.values())
+
+
+def test_runs_are_bounded():
+    for gram, most in ((19, substrings.RUN_WINDOWS), (50, 1)):
+        _, _, texts, begins, sizes, key = substrings._runs([[b"x"] * 5000, [b"y"] * 10, [b"x"] * 60], substrings.Anchors(gram))
+        assert sizes.max() == most and set(key.tolist()) == {int(key[0])}
+        places = sorted(p for x, n in zip(begins.tolist(), sizes.tolist()) for p in range(x, x + n))
+        assert places == [*range(4951), *range(5010, 5021)] and set(texts.tolist()) == {0, 2}
 
 
 def test_empty(spark):
