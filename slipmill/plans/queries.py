@@ -153,12 +153,21 @@ def document_lines(spark, sf_dir):
     return d.select("doc_id", F.size(text.lines(F.col("text"))).cast("long").alias("n_lines")).where("n_lines > 0")
 
 
-@query()
+# What the chains give on these texts: labels in front of standalone numbers (the voucher's own one wherever it stands, then
+# all in lines with a label), and cents for the last total's digits but one, where it has four or more before the point.
+LAST_TOTAL = r"regexp_replace({}, 'Total (\d{{3,}})(\d\.\d\d)$', 'Total \1.00\2')"
+TERMS_SQL = f"SELECT voucher_id, voucher_number, replace(replace(text, 'SuppNane', 'Supp Name'), ' LessForDamages', ' Less For Damages') AS text FROM ({vo.NOISY_SQL})"
+TERMS_SQL = rf"SELECT voucher_id, string_split(regexp_replace(text, '\b' || voucher_number || '\b', 'VoucherNumber' || voucher_number, 'g'), chr(10)) AS l FROM ({TERMS_SQL})"
+TERMS_SQL = rf"SELECT voucher_id, array_to_string([CASE WHEN contains(x, 'Voucher') THEN regexp_replace(x, '\b(\d{{3,}})\b', 'VoucherNumber\1', 'g') ELSE x END FOR x IN l], chr(10)) AS text FROM ({TERMS_SQL})"
+TERMS_SQL = f"SELECT voucher_id, {LAST_TOTAL.format('text')} AS text FROM ({TERMS_SQL})"
+
+
+@query(f"SELECT voucher_id, md5(text) AS digest, length(text) AS n FROM ({TERMS_SQL})")
 def corrected_terms(spark, sf_dir):
     return text.correct_text(vo.rendered(spark, sf_dir, noisy=True)).select("voucher_id", F.md5("raw_ocr_text").alias("digest"), F.length("raw_ocr_text").cast("long").alias("n"))
 
 
-@query()
+@query(f"SELECT voucher_id, md5({LAST_TOTAL.format('text')}) AS digest FROM ({vo.NOISY_SQL})")
 def corrected_decimals(spark, sf_dir):
     return vo.rendered(spark, sf_dir, noisy=True).select("voucher_id", F.md5(text.correct_decimals(F.col("raw_ocr_text"))).alias("digest"))
 
@@ -370,7 +379,14 @@ def applied_substitutions(spark, sf_dir):
     return learn.apply_substitutions(p.select("voucher_id", "original.supplier_name"), model, "supplier_name")
 
 
-@query()
+# The words before each value's last place, by field; dates stand in the text day first.
+ANCHORS_SQL = " UNION ALL ".join(f"SELECT voucher_id, supplier_name, '{field}' AS field, regexp_extract_all(text, '(?is)(.{{1,30}})' || {shown}, 1)[-1] AS before FROM ({vo.TEXT_SQL})" for field, shown in (("voucher_number", "voucher_number"), ("voucher_date", "strftime(voucher_date, '%d/%m/%Y')")))
+ANCHORS_SQL = rf"SELECT *, regexp_replace(regexp_replace(before, '^[\s\S]*\n', ''), '[\s:\-=.]+$', '') AS last FROM ({ANCHORS_SQL})"
+ANCHORS_SQL = rf"SELECT *, [w FOR w IN string_split_regex(last, '\s+') IF w <> ''] AS words FROM ({ANCHORS_SQL})"
+ANCHORS_SQL = f"SELECT upper(trim(supplier_name)) AS supplier_key, field, array_to_string(words[greatest(len(words) - 3, 1):], ' ') AS anchor, voucher_id FROM ({ANCHORS_SQL})"
+
+
+@query(f"SELECT supplier_key, field, anchor, count(*) AS n, min(voucher_id) AS first_seen FROM ({ANCHORS_SQL}) WHERE length(anchor) > 2 GROUP BY supplier_key, field, anchor")
 def anchors(spark, sf_dir):
     return learn.anchors(parsed(spark, sf_dir).select("voucher_id", "raw_ocr_text", "supplier_name", "voucher_number", "voucher_date"), ("voucher_number", "voucher_date"))
 

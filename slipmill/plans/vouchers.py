@@ -23,6 +23,19 @@ FROM ({ITEMS_SQL}) GROUP BY voucher_id"""
 #: Misreads by the voucher's key mod 6: what stands in the place of what; key 0 is clean.
 MISREADS = {1: (("Supp Name", "SuppNane"),), 2: (("Grand Total", "6rand Total"), ("UnLoading", "Un1oading")), 3: (("LessForDam", "1essForDam"),), 4: (("L/FAndCash", "1YFAndCash"),), 5: (("Voucher Number", "Voucher Nunber"),)}
 
+TEXT_SQL = f"""
+SELECT h.*, concat_ws(chr(10), 'SHARMA TRADING MARKET', 'Voucher Number ' || voucher_number, 'WHOLESALE FRUIT PURCHASER', 'Voucher Date ' || strftime(voucher_date, '%d/%m/%Y'),
+       'Supp Name ' || supplier_name, 'Qty Price Amount', shown, 'Total ' || n_items || ' ' || gross_total, '(-) Comm ' || commission, '(-) LessForDamages ' || damages,
+       '(-) UnLoading ' || unloading, '(-) L/FAndCash ' || cash, 'Grand Total ' || CAST(gross_total - commission - damages - unloading - cash AS DECIMAL(12,2))) AS text
+FROM ({HEADS_SQL}) h JOIN (SELECT voucher_id, string_agg(quantity || ' ' || unit_price || ' ' || line_amount, chr(10) ORDER BY line, part, supp) AS shown FROM ({ITEMS_SQL}) GROUP BY voucher_id) USING (voucher_id)"""
+NOISY_SQL = f"SELECT * REPLACE (CASE voucher_id % 6 {{}} ELSE text END AS text) FROM ({TEXT_SQL})"
+for _key, _fixes in MISREADS.items():
+    _made = "text"
+    for _old, _new in _fixes:
+        _made = f"replace({_made}, '{_old}', '{_new}')"
+    NOISY_SQL = NOISY_SQL.replace("{}", f"WHEN {_key} THEN {_made} {{}}")
+NOISY_SQL = NOISY_SQL.replace("{}", "")
+
 
 def _cents(c: Column) -> Column:
     return (c / 100).cast("decimal(12,2)")
