@@ -611,7 +611,11 @@ def enhanced_heads(spark, sf_dir):
     return profiled(spark, sf_dir, "enhanced").select("voucher_id", "voucher_number", "voucher_date", "supplier_name", F.col("confidence.voucher_number").alias("number_confidence"))
 
 
-@query()
+# Within 50 characters of the last total's label stand net, cash and unloading; the second to fifth largest amounts of all follow.
+ENHANCED_SQL = f"SELECT h.*, greatest({NET}, cash, unloading) AS net, list_sort(list_concat(i.amounts, [gross_total, commission, damages, unloading, cash, {NET}]), 'DESC')[2:5] AS others FROM ({HEADS}) h JOIN (SELECT voucher_id, list_concat(list(unit_price), list(line_amount)) AS amounts FROM ({ITEMS}) GROUP BY voucher_id) i USING (voucher_id)"
+
+
+@query(f"SELECT voucher_id, coalesce([a FOR a IN others IF a < net AND a > net * 0.5][1], net) AS gross_total, net AS net_total, {ALL_DEDUCTIONS} AS total_deductions FROM ({ENHANCED_SQL})")
 def enhanced_totals(spark, sf_dir):
     return profiled(spark, sf_dir, "enhanced").select("voucher_id", "gross_total", "net_total", "total_deductions")
 
@@ -981,7 +985,16 @@ def backup_fields(spark, sf_dir):
     return backup.extract(vo.rendered(spark, sf_dir, noisy=True), dictionary(spark, sf_dir), corrected=False).select("voucher_id", *HEAD_FIELDS)
 
 
-@query()
+# After the chain: net with two noughts before its last digit where it has four before the point (a net that is tagged as
+# the voucher's number is lost), items untagged, and a last total misread as a deduction (key 2) counted among them.
+LARGE_NET = f"CASE WHEN {NET} < 1000 THEN {NET} ELSE floor({NET} / 10) * 1000 + {NET} - floor({NET} / 10) * 10 END"
+BACKUP_NOISY_SQL = f"SELECT h.*, i.n AS plain, floor({NET}) = CAST(voucher_number AS INT) AS tagged, CAST({LARGE_NET} AS DECIMAL(12,2)) AS net FROM ({HEADS}) h JOIN (SELECT voucher_id, count(*) FILTER (WHERE 100 + voucher_id % 900 NOT IN (floor(unit_price), floor(line_amount))) AS n FROM ({ITEMS}) GROUP BY voucher_id) i USING (voucher_id)"
+BACKUP_NOISY_SQL = f"SELECT *, CASE WHEN NOT tagged OR voucher_id % 6 = 2 THEN net END AS net_total, voucher_id % 6 = 2 AND NOT tagged AS counted FROM ({BACKUP_NOISY_SQL})"
+BACKUP_NOISY_SQL = f"SELECT *, CAST({ALL_DEDUCTIONS} + CASE WHEN counted THEN net ELSE 0 END AS DECIMAL(12,2)) AS total_deductions FROM ({BACKUP_NOISY_SQL})"
+BACKUP_NOISY_SQL = f"SELECT *, abs(gross_total - total_deductions - net_total) AS off, 60 + CASE WHEN net_total IS NULL THEN 0 ELSE 20 END + least(20, 5 * plain) AS points FROM ({BACKUP_NOISY_SQL})"
+
+
+@query(f"SELECT voucher_id, voucher_number, CAST(NULL AS DATE) AS voucher_date, supplier_name, gross_total, total_deductions, net_total, round(points / 120 * 100, 2) AS parse_confidence, CASE WHEN off > 1 THEN off END AS mismatch, CAST(plain AS INT) AS n_items, CAST(4 + CAST(counted AS INT) AS INT) AS n_deductions FROM ({BACKUP_NOISY_SQL})")
 def backup_noisy_fields(spark, sf_dir):
     """After the correction chain, which takes years beside a voucher's label for numbers, and so loses dates."""
     made = backup.extract(vo.rendered(spark, sf_dir, noisy=True), dictionary(spark, sf_dir))
