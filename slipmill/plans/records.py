@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipmill.functions import text, values
-from slipmill.operators import context, continuous, evaluate, extract, history, learn, profiles, publish, ranking, records, validate
+from slipmill.operators import attempts, context, continuous, evaluate, extract, history, learn, profiles, publish, ranking, records, validate
 from slipmill.plans import vouchers as vo
 from slipmill.plans.queries import ALL_DEDUCTIONS, BOXES_SQL, DIFFS_SQL, HEADS, ITEMS, NET, PAIRS_SQL, boxes, examples, pairs, predictions, query
 from slipmill.sources import tables
@@ -808,6 +808,24 @@ def correction_steps(spark, sf_dir):
     return reduce(DataFrame.unionByName, rows)
 
 
+#: What stands in the texts, and the confidences (number, date, supplier, amounts) of it before attempts add to them.
+SHOWN = {"whole": (75, 75, 70, 80), "some": (60, 65, 50, 50), "few": (50, 50, 70, 65), "empty": (50, 50, 50, 50), "null": (50, 50, 50, 50)}
+BONUS_SQL = "CASE WHEN tries > 1 THEN least(20, tries * 5) ELSE 0 END"
+CONFIDENCE_SQL = ", ".join(f"CAST(least(95, [{', '.join(str(c[i]) for c in SHOWN.values())}][1 + voucher_id % 5] + {BONUS_SQL}) AS INT) AS {f}" for i, f in enumerate(("voucher_number", "date", "supplier", "amounts")))
+
+
+@query(f"SELECT voucher_id, {CONFIDENCE_SQL}, CAST(50 + {BONUS_SQL} AS INT) AS items FROM (SELECT voucher_id, 1 + voucher_id % 7 AS tries FROM ({HEADS}))")
+def field_confidence_cases(spark, sf_dir):
+    """Confidence of fields by what a text shows, over whole, cut, empty and null texts and one to seven attempts."""
+    t = F.col("raw_ocr_text")
+    some = F.concat(F.lit("Sum "), F.regexp_extract(t, r"Number (\d+)", 1), F.lit("\nDate due"))
+    few = F.concat(F.regexp_extract(t, r"Supp Name \S+", 0), F.lit("\n"), F.regexp_extract(t, r"Comm (\d+\.\d+)", 1))
+    k = F.col("voucher_id")
+    shown = F.element_at(F.array(t, some, few, F.lit(""), F.lit(None).cast("string")), (k % 5 + 1).cast("int"))
+    c = attempts.field_confidence(shown, (k % 7 + 1).cast("int"))
+    return vo.rendered(spark, sf_dir).withColumn("c", c).select("voucher_id", *[F.col(f"c.{f}").alias(f) for f in ("voucher_number", "date", "supplier", "amounts", "items")])
+
+
 RULES = {
     "voucher_number": (("{n}", ""), ("7", "Too short (minimum 2 digits);Value looks like a day/month"), ("123456", "Too long (maximum 5 digits);Outside reasonable voucher number range"), ("2024", "Value is a year (2020-2030), not a voucher number"), ("12", "Value looks like a day/month"), ("12a", "Must be numeric"), ("", "Empty value")),
     "voucher_date": (("2024-03-05", ""), ("2019-01-01", "Year outside reasonable range (2020-2030)"), ("2025-12-31", "Date is in the future"), ("2031-01-01", "Year outside reasonable range (2020-2030);Date is in the future"), ("{s}", "Invalid date format"), ("", "Empty value")),
