@@ -19,6 +19,11 @@ def test_repaired_numbers(spark, raw, want):
     assert one(spark, raw, values.repaired_number) == (None if want is None else Decimal(want))
 
 
+@pytest.mark.parametrize("raw,want", [("lOlO.Ol", "1010.01"), ("-O.SO", "-0.50"), ("SOIL", None), ("B.D", None), ("l.OO.", None)])
+def test_amounts_of_letters_alone(spark, raw, want):
+    assert one(spark, raw, values.repaired_number) == (None if want is None else Decimal(want))
+
+
 @pytest.mark.parametrize("raw,want", [("9/1/2026", (2026, 1, 9)), ("31/02/2024", None), ("05-12-2021", (2021, 12, 5)), ("05.12.2031", None), ("05/12/24", None), (None, None), ("x", None)])
 def test_dates(spark, raw, want):
     assert one(spark, raw, values.calendar_date) == (datetime.date(*want) if want else None)
