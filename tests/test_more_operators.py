@@ -117,3 +117,9 @@ def test_anchors_of_all_fields_in_one_pass(spark):
     model = spark.createDataFrame([("S", "voucher_number", "Vouch No", 5), ("S", "net_total", "Net Total", 3), ("S", "deduction_Comm", "Comm", 1), ("S", "voucher_date", "Date", 2), ("S", "gross_total", "Net Total", 1)], "supplier_key string, field string, anchor string, n long")
     got = {(r.voucher_id, r.field): r["value"] for r in learn.find_all(rows, model).collect()}
     assert got == {(1, "voucher_number"): "77", (1, "net_total"): "12.00", (1, "gross_total"): "12.00", (1, "deduction_Comm"): "3.50", (1, "voucher_date"): "03/04/2024"}
+
+
+def test_labels_beside_other_letters(spark):
+    docs = spark.createDataFrame([("élan 5 Élan 6 x_ab 7 İ 8 no\u000b9",), (None,)], "text string")
+    got = [tuple(r) for r in evaluate.frequent_labels(docs, "text").collect()]
+    assert got == [("lan", 2), ("i", 1)]
