@@ -35,3 +35,12 @@ def test_plain_places_need_no_pattern(spark, monkeypatch):
     monkeypatch.setattr(learn.F, "regexp_extract_all", failing)
     made = rows.select(learn.anchor(F.col("t"), F.col("v")).alias("a")).collect()
     assert [r.a for r in made] == ["Net", "Supp Name"]
+
+
+def test_few_pairs_meet_the_matcher(spark, monkeypatch):
+    """Windows as long as an anchor, but of other characters, are told apart without the matcher."""
+    rows = spark.createDataFrame([(1, "Voucher Number 123\n299.52 1198.08\n1 299.52 1198.08", "RAVI"), (2, "Vaucher Number 55\n11", "RAVI")], "voucher_id long, raw_ocr_text string, supplier_name string")
+    model = spark.createDataFrame([("RAVI", "voucher_number", "Voucher Number", 3, 1)], "supplier_key string, field string, anchor string, n long, first_seen long")
+    assert {(r.voucher_id, r.value) for r in learn.find_by_anchor(rows, model, "voucher_number").collect()} == {(1, "123"), (2, "55")}
+    monkeypatch.setattr(learn, "ratio", lambda a, b: F.raise_error(F.lit("compared")).cast("double"))
+    assert [r.value for r in learn.find_by_anchor(rows.where("voucher_id = 1"), model, "voucher_number").collect()] == ["123"]
