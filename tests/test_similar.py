@@ -51,3 +51,10 @@ def test_few_pairs_meet(spark):
 def test_empty(spark):
     for names, known in (([], ["abcd"]), (["abcd"], []), ([], [])):
         assert similar.similar(*frames(spark, names, known), 0.82).count() == 0
+
+
+def test_names_are_extracted_once(spark, sf):
+    """The plan begins at stored names: extraction isn't in it, let alone once for each branch."""
+    from slipmill.plans.queries import QUERIES
+
+    assert "SHARMA" not in QUERIES["fixed_names"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
