@@ -42,17 +42,19 @@ def upsert_to_end(texts: DataFrame, store: Snapshots, state: str, after: Callabl
     Each voucher is there once, as it came last: a micro-batch and its number enter the tables in one commit, so that one
     that Spark runs again after a failure is known and left out, and a voucher that comes in two batches is replaced. The
     ledger goes by the query's own id: a query with a new checkpoint folder numbers its batches anew. `after` is called
-    with each batch's number once it is in. The layers are compacted as soon as there are more than most_layers.
+    with each batch's number once it is in. The layers are compacted as soon as there are more than most_layers. Texts are
+    dealt over all tasks, however few files they came in, and which of a voucher's texts stands is settled before extraction.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        write_vouchers(one_per_id(batch), store, query_id(batch.sparkSession, state), number)
+        dealt = batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), "voucher_id")
+        write_vouchers(extract_stream(one_per_id(dealt)), store, query_id(batch.sparkSession, state), number)
         if len(store.manifest()["layers"]) > most_layers:
             store.compact()
         if after:
             after(number)
 
-    extract_stream(texts).writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    texts.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def batch_counts(events: DataFrame) -> DataFrame:

@@ -68,3 +68,17 @@ def test_term_patterns_are_fixed(spark):
     made = docs.select(text.fix_terms(F.col("x")).alias("y"))
     assert "aggregate(" not in made._jdf.queryExecution().analyzed().toString()  # patterns out of rows are compiled for each text
     assert [r.y for r in made.collect()] == ["Voucher 12 Total 5\nDate 1", "Voucner 123", "Voucher Total 1"]
+
+
+def test_streamed_texts_are_dealt(spark, tmp_path, monkeypatch):
+    from slipmill.sources.snapshots import Snapshots
+    from slipmill.streaming import streams
+
+    rows = [(1, "Voucher Number 12\nTotal 1 50.00"), (1, "Voucher Number 13\nTotal 1 50.00"), (2, "Voucher Number 34\nTotal 1 60.00")]
+    spark.createDataFrame(rows, "voucher_id long, raw_ocr_text string").coalesce(1).write.parquet(f"{tmp_path}/texts")
+    made, write = [], streams.write_vouchers
+    monkeypatch.setattr(streams, "write_vouchers", lambda parsed, *rest: (made.append(parsed._jdf.queryExecution().analyzed().toString()), write(parsed, *rest))[1])
+    store = Snapshots(spark, f"file://{tmp_path}/store")
+    streams.upsert_to_end(spark.readStream.schema("voucher_id long, raw_ocr_text string").parquet(f"{tmp_path}/texts"), store, f"file://{tmp_path}/state")
+    assert "RepartitionByExpression" in made[0]  # before, one file was one task
+    assert {r.voucher_id: r.voucher_number for r in store.read()["master"].collect()} == {1: "13", 2: "34"}
