@@ -22,3 +22,11 @@ def test_all_ten_models_are_trained(spark, sf):
     got, want = compared(spark, sf, "trained_models")
     assert set(got) == {"values", "substitutions", "anchors", "sources", "patterns", "contexts", "suppliers", "places", "neighbours", "crops"}
     assert got == want and all(n > 0 for n, _ in got.values())
+
+
+def plan_size(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_deductions_are_made_once(spark, sf):
+    assert plan_size(queries.QUERIES["v2_deductions"](spark, sf)) < 60_000  # 8,100,000 where a filter repeated them
