@@ -55,3 +55,7 @@ def test_missing_fields_of_few_rows(spark):
     rows = spark.createDataFrame([(None, None, "x"), (None, "y", "x"), ("z", "y", "x")], "a string, b string, c string")
     assert sorted(tuple(r) for r in evaluate.missing_fields(rows, ("a", "b", "c")).collect()) == [("a", 2, 1.0), ("b", 1, 0.5)]
     assert evaluate.missing_fields(rows.where("false"), ("a", "b", "c")).count() == 0
+
+
+def test_items_are_made_once(spark, sf):
+    assert plan_size(queries.QUERIES["v2_items"](spark, sf)) < 30_000  # 81,000 where a filter repeated them
