@@ -4,9 +4,11 @@ import glob
 import os
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from slipmill.operators import evaluate
-from slipmill.plans import queries, records  # noqa: F401  records adds its queries
+from slipmill.operators import evaluate, profiles
+from slipmill.plans import queries, records, vouchers  # noqa: F401  records adds its queries
 
 
 def compared(spark, sf, name):
@@ -59,3 +61,19 @@ def test_missing_fields_of_few_rows(spark):
 
 def test_items_are_made_once(spark, sf):
     assert plan_size(queries.QUERIES["v2_items"](spark, sf)) < 30_000  # 81,000 where a filter repeated them
+
+
+@pytest.mark.parametrize("profile", ["v1", "base", "robust"])
+def test_heads_alone_are_those_of_whole_extraction(spark, sf, profile):
+    v = vouchers.rendered(spark, sf, noisy=True).where("voucher_id % 40 < 3")
+    odd = F.when(F.col("voucher_id") % 40 == 0, F.regexp_replace("raw_ocr_text", r"(?m)^(Total|Grand|Supp|Voucher).*$", "x rs 55.00 ttal ? 12.50 amt: 5 net payable 9")).otherwise(F.col("raw_ocr_text"))
+    v = v.withColumn("raw_ocr_text", odd)
+    columns = ("voucher_id", *queries.SCORED, "overall")
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(profiles.extract(v, profile, heads_only=True)) == rows(profiles.extract(v, profile))
+
+
+def test_robust_items_of_one_pass(spark):
+    text = "Mango 1 2.50 2.50\nGrape\n12 1 12"
+    made = spark.createDataFrame([(text,)], "t string").select(F.inline(profiles.robust_items(F.col("t"), F.lit(None)))).collect()
+    assert [(r.item_name, float(r.quantity), float(r.unit_price), float(r.line_amount)) for r in made] == [("Mango", 1, 2.5, 2.5), ("Grape", 12, 1, 12)]
