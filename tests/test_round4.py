@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from slipmill.operators import evaluate, profiles
+from slipmill.operators import evaluate, learn, profiles
 from slipmill.plans import queries, records, vouchers  # noqa: F401  records adds its queries
 
 
@@ -77,3 +77,10 @@ def test_robust_items_of_one_pass(spark):
     text = "Mango 1 2.50 2.50\nGrape\n12 1 12"
     made = spark.createDataFrame([(text,)], "t string").select(F.inline(profiles.robust_items(F.col("t"), F.lit(None)))).collect()
     assert [(r.item_name, float(r.quantity), float(r.unit_price), float(r.line_amount)) for r in made] == [("Mango", 1, 2.5, 2.5), ("Grape", 12, 1, 12)]
+
+
+def test_anchors_of_several_lengths_share_windows(spark):
+    """Equal and near windows are found for anchors of one word and of two; those of other lengths of words aren't."""
+    rows = spark.createDataFrame([(1, "s", "Voucher Nunber 123\nTotal 5"), (2, "S ", "Voucher Number 77\nTotai 6"), (3, "t", "Voucher Number 5")], "voucher_id long, supplier_name string, raw_ocr_text string")
+    model = spark.createDataFrame([("S", "voucher_number", "Voucher Number", 3, 1), ("S", "gross_total", "Total", 2, 1), ("S", "net_total", "Grand Total", 2, 1)], "supplier_key string, field string, anchor string, n long, first_seen long")
+    assert sorted((r.voucher_id, r.field, r.value) for r in learn.find_all(rows, model, 0.75).collect()) == [(1, "gross_total", "5"), (1, "voucher_number", "123"), (2, "gross_total", "6"), (2, "voucher_number", "77")]
