@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from slipmill.functions import text
 from slipmill.operators import evaluate, learn, profiles
 from slipmill.plans import queries, records, vouchers  # noqa: F401  records adds its queries
 
@@ -74,8 +75,8 @@ def test_heads_alone_are_those_of_whole_extraction(spark, sf, profile):
 
 
 def test_robust_items_of_one_pass(spark):
-    text = "Mango 1 2.50 2.50\nGrape\n12 1 12"
-    made = spark.createDataFrame([(text,)], "t string").select(F.inline(profiles.robust_items(F.col("t"), F.lit(None)))).collect()
+    shown = "Mango 1 2.50 2.50\nGrape\n12 1 12"
+    made = spark.createDataFrame([(shown,)], "t string").select(F.inline(profiles.robust_items(F.col("t"), F.lit(None)))).collect()
     assert [(r.item_name, float(r.quantity), float(r.unit_price), float(r.line_amount)) for r in made] == [("Mango", 1, 2.5, 2.5), ("Grape", 12, 1, 12)]
 
 
@@ -84,3 +85,15 @@ def test_anchors_of_several_lengths_share_windows(spark):
     rows = spark.createDataFrame([(1, "s", "Voucher Nunber 123\nTotal 5"), (2, "S ", "Voucher Number 77\nTotai 6"), (3, "t", "Voucher Number 5")], "voucher_id long, supplier_name string, raw_ocr_text string")
     model = spark.createDataFrame([("S", "voucher_number", "Voucher Number", 3, 1), ("S", "gross_total", "Total", 2, 1), ("S", "net_total", "Grand Total", 2, 1)], "supplier_key string, field string, anchor string, n long, first_seen long")
     assert sorted((r.voucher_id, r.field, r.value) for r in learn.find_all(rows, model, 0.75).collect()) == [(1, "gross_total", "5"), (1, "voucher_number", "123"), (2, "gross_total", "6"), (2, "voucher_number", "77")]
+
+
+def test_decimal_misreads_are_seen_wherever_a_fix_matches(spark):
+    """The one pattern that lets texts by matches in each text in which a fix matches, as a whole or in one of its lines."""
+    made = ["12on", "x\n45h", "77do\ny", "123d", "1234567890123.00", "a.00", "b00", "999o0", "podon", "8. x", "8.\nx", "x 1234 y", "x 1234\u0085", "x\n1234", "1.234.00", "1.2.34", "12.345", "5.000.00"]
+    docs = spark.createDataFrame([(x,) for x in made], "t string")
+    fixes = (*text.DECIMAL_FIXES, *text.POINT_FIXES)
+    hit = lambda c: F.greatest(*[c.rlike(p).cast("int") for p, _ in fixes]) == 1
+    seen = F.col("t").rlike(text.DECIMAL_MISREADS) | F.col("t").rlike(text.POINT_MISREADS)
+    assert docs.where(hit(F.col("t")) | F.exists(F.split("t", "\n"), hit)).count() == len(made)
+    assert docs.where(~seen).count() == 0
+    assert spark.range(1).where(F.lit("Total 3 1234.56\n(-) Un1oading 10.07").rlike(text.DECIMAL_MISREADS)).count() == 0
