@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slipmill.functions import text
-from slipmill.operators import evaluate, learn, profiles
+from slipmill.operators import evaluate, extract, learn, profiles
 from slipmill.plans import queries, records, vouchers  # noqa: F401  records adds its queries
 
 
@@ -97,3 +97,8 @@ def test_decimal_misreads_are_seen_wherever_a_fix_matches(spark):
     assert docs.where(hit(F.col("t")) | F.exists(F.split("t", "\n"), hit)).count() == len(made)
     assert docs.where(~seen).count() == 0
     assert spark.range(1).where(F.lit("Total 3 1234.56\n(-) Un1oading 10.07").rlike(text.DECIMAL_MISREADS)).count() == 0
+
+
+def test_patterns_of_deductions_begin_with_a_class():
+    """Where a pattern begins with alternatives or letters in both cases, Java compares them at every character."""
+    assert all(p.startswith(("[", r"\(")) for *_, patterns in extract.QUALITY_DEDUCTIONS for p in patterns)
